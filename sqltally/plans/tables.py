@@ -72,3 +72,53 @@ def event_questions(execs: DataFrame) -> DataFrame:
 
 def with_difficulty(scores: DataFrame) -> DataFrame:
     return scores.withColumn("difficulty", difficulty_of(F.col("question_id")))
+
+# Columns of the given tables (name, Spark type), in file order.
+TABLE_COLUMNS = {
+    "region": [("r_regionkey", "INT"), ("r_name", "STRING")],
+    "nation": [("n_nationkey", "INT"), ("n_name", "STRING"), ("n_regionkey", "INT")],
+    "customer": [("c_custkey", "BIGINT"), ("c_name", "STRING"), ("c_nationkey", "INT"),
+                 ("c_acctbal", "DOUBLE"), ("c_mktsegment", "STRING")],
+    "supplier": [("s_suppkey", "BIGINT"), ("s_name", "STRING"), ("s_nationkey", "INT"),
+                 ("s_acctbal", "DOUBLE")],
+    "part": [("p_partkey", "BIGINT"), ("p_name", "STRING"), ("p_brand", "STRING"), ("p_type", "STRING"),
+             ("p_size", "INT"), ("p_retailprice", "DOUBLE")],
+    "orders": [("o_orderkey", "BIGINT"), ("o_custkey", "BIGINT"), ("o_orderstatus", "STRING"),
+               ("o_totalprice", "DOUBLE"), ("o_orderdate", "TIMESTAMP_NTZ"), ("o_orderpriority", "STRING")],
+    "lineitem": [("l_orderkey", "BIGINT"), ("l_partkey", "BIGINT"), ("l_suppkey", "BIGINT"),
+                 ("l_linenumber", "INT"), ("l_quantity", "DOUBLE"), ("l_extendedprice", "DOUBLE"),
+                 ("l_discount", "DOUBLE"), ("l_tax", "DOUBLE"), ("l_returnflag", "STRING"),
+                 ("l_linestatus", "STRING"), ("l_shipdate", "TIMESTAMP_NTZ")],
+    "events": [("event_id", "BIGINT"), ("ts", "TIMESTAMP_NTZ"), ("user_id", "BIGINT"), ("event_type", "STRING"),
+               ("value", "DOUBLE"), ("props", "STRING")],
+    "documents": [("doc_id", "BIGINT"), ("text", "STRING"), ("lang", "STRING"), ("source", "STRING"),
+                  ("n_chars", "BIGINT")],
+    "embeddings": [("vec_id", "BIGINT"), ("embedding", "ARRAY<FLOAT>"), ("label", "INT")],
+    "pages": [("page_id", "BIGINT"), ("url", "STRING"), ("html", "STRING")],
+    "benchmark": [("item_id", "BIGINT"), ("text", "STRING")],
+    "labels": [("doc_id", "BIGINT"), ("quality", "INT"), ("toxic", "INT")],
+    "conversations": [("conv_id", "BIGINT"), ("turn", "BIGINT"), ("role", "STRING"), ("text", "STRING")],
+}
+
+# Declared keys of the two stand-in databases.
+PRIMARY_KEYS = [
+    ("region", ["r_regionkey"]), ("nation", ["n_nationkey"]), ("customer", ["c_custkey"]),
+    ("supplier", ["s_suppkey"]), ("part", ["p_partkey"]), ("orders", ["o_orderkey"]),
+    ("events", ["event_id"]), ("documents", ["doc_id"]), ("embeddings", ["vec_id"]),
+    ("pages", ["page_id"]), ("benchmark", ["item_id"]), ("conversations", ["conv_id", "turn"]),
+]
+CANDIDATE_KEYS = [("lineitem", ["l_orderkey", "l_linenumber"])]  # expected not to hold
+FOREIGN_KEYS = [
+    ("nation", "n_regionkey", "region", "r_regionkey"),
+    ("customer", "c_nationkey", "nation", "n_nationkey"),
+    ("supplier", "s_nationkey", "nation", "n_nationkey"),
+    ("orders", "o_custkey", "customer", "c_custkey"),
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+    ("lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("labels", "doc_id", "documents", "doc_id"),
+]
+
+
+def db_of(table: str) -> str:
+    return "star" if table in STAR_TABLES else "text"
