@@ -122,3 +122,46 @@ FOREIGN_KEYS = [
 
 def db_of(table: str) -> str:
     return "star" if table in STAR_TABLES else "text"
+
+
+def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw model responses from the assistant turns of ``conversations``:
+    the text wrapped in a fenced ``sql`` block with a trailing comment, except
+    every third turn, left bare (a response without a statement)."""
+    c = read(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    bare = ((F.col("conv_id") + F.col("turn")) % 3) == 0
+    resp = F.when(bare, F.col("text")).otherwise(
+        F.concat(F.lit("```sql\n"), F.col("text"), F.lit(" -- generated\n```")))
+    return c.select("conv_id", "turn", resp.alias("response"))
+
+
+def reasoning_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``<think>`` / ``<answer>`` responses: the user turn's text as the
+    reasoning of the next assistant turn; every third one lacks the tags."""
+    c = read(spark, sf_dir, "conversations")
+    bare = ((F.col("conv_id") + F.col("turn")) % 3) == 0
+    resp = F.when(bare, F.col("text")).otherwise(F.concat(
+        F.lit("<think>\n"), F.col("text"), F.lit("\n</think>\n<answer> "),
+        F.col("role"), F.lit(" "), F.col("turn").cast("string"), F.lit(" </answer>")))
+    return c.select("conv_id", "turn", resp.alias("response"))
+
+
+def bench_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions from ``benchmark``: database ``star`` or ``text`` by parity,
+    the first sentence as evidence except for every third item."""
+    b = read(spark, sf_dir, "benchmark")
+    return b.select(
+        F.col("item_id").alias("question_id"),
+        F.when(F.col("item_id") % 2 == 0, F.lit("star")).otherwise(F.lit("text")).alias("db_id"),
+        F.col("text").alias("question"),
+        F.when(F.col("item_id") % 3 == 0, F.lit(None).cast("string"))
+         .otherwise(F.substring_index("text", ".", 1)).alias("evidence"),
+        difficulty_of(F.col("item_id")).alias("difficulty"))
+
+
+def echo_model(prompts: list, n: int) -> list:
+    """Deterministic stand-in for a model callable (tests and registered
+    queries): candidate j of a prompt is a statement naming j and the
+    prompt length."""
+    return [[f"```sql\nSELECT {j} AS candidate, {len(p)} AS prompt_chars\n```" for j in range(n)]
+            for p in prompts]
