@@ -116,6 +116,26 @@ def curves(score_frames: dict[str, DataFrame], questions: DataFrame | None = Non
     ).withColumn("fraction", _ratio("correct", "n", 1.0))
 
 
+def curves_from_columns(per_question: DataFrame, score_cols: dict[str, str]) -> DataFrame:
+    """M5 from one frame holding several 0/1 score columns per question
+    (``{"vote": "vote_correct", ...}``): one pass, one rollup, no union of
+    recomputed inputs.  Same output as :func:`curves`."""
+    rows = F.array(*[F.struct(F.lit(name).alias("metric"), F.col(col).cast("bigint").alias("r"))
+                     for name, col in score_cols.items()])
+    tagged = per_question.select(F.coalesce(F.col("difficulty"), F.lit("simple")).alias("level"),
+                                 F.inline(rows))
+    agg = (tagged.rollup("metric", "level")
+           .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("r"), F.lit(0)).alias("correct"),
+                F.grouping("metric").alias("gm"), F.grouping("level").alias("gl"))
+           .filter(F.col("gm") == 0))
+    return agg.select(
+        "metric",
+        F.when(F.col("gl") == 1, F.lit(TOTAL)).otherwise(F.col("level")).alias("level"),
+        F.col("n").cast("bigint").alias("n"),
+        F.col("correct").cast("bigint").alias("correct"),
+    ).withColumn("fraction", _ratio("correct", "n", 1.0))
+
+
 def score_grid(acc: DataFrame) -> DataFrame:
     """K9: the M1 frame as a grid, one row per measure, one column per level."""
     levels = LEVELS + [TOTAL]

@@ -28,6 +28,7 @@ Rules (kept from the original evaluation kit):
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,24 +62,39 @@ def label_correct(execs: DataFrame, gold: DataFrame, empty_gold_counts: bool = F
                  .drop("gold_valid", "gold_n_distinct", "gold_fp")
 
 
-def vote_groups(execs: DataFrame) -> DataFrame:
-    """V2: one row per (question, distinct valid result)."""
-    return (execs.filter(F.col("valid"))
-            .groupBy("question_id", "fp")
+def result_groups(execs: DataFrame, carry: tuple = ()) -> DataFrame:
+    """One pass over the candidates: a partial (map-side combined) aggregation
+    per (question, valid, result).  Invalid candidates form one group per
+    question.  Vote groups and the per-question summary both derive from this
+    much smaller frame, so the candidate table is scanned and shuffled once."""
+    right_ord = F.when(F.col("correct") == 1, F.col("ord"))
+    return (execs.withColumn("fp", F.when(F.col("valid"), F.col("fp")))
+            .groupBy("question_id", "valid", "fp")
             .agg(F.count(F.lit(1)).alias("votes"),
                  F.min("ord").alias("first_ord"),
                  F.min_by("sql", "ord").alias("sql"),
-                 F.max("correct").alias("correct")))
+                 F.max("correct").alias("correct"),
+                 F.max(right_ord).alias("last_correct_ord"),
+                 F.max_by("sql", right_ord).alias("last_correct_sql"),
+                 *[F.any_value(c).alias(c) for c in carry]))
+
+
+def vote_groups(execs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """V2: one row per (question, distinct valid result)."""
+    g = groups if groups is not None else result_groups(execs)
+    return g.filter(F.col("valid")).select("question_id", "fp", "votes", "first_ord", "sql", "correct")
 
 
-def question_summary(execs: DataFrame) -> DataFrame:
+def question_summary(execs: DataFrame, groups: DataFrame | None = None, carry: tuple = ()) -> DataFrame:
     """Per question over all candidates: size, fallback SQL and pass@n parts."""
-    return (execs.groupBy("question_id")
-            .agg(F.count(F.lit(1)).alias("sampling_num"),
-                 F.count_if(F.col("valid")).alias("n_valid"),
-                 F.min_by("sql", "ord").alias("first_sql"),
+    g = groups if groups is not None else result_groups(execs, carry)
+    return (g.groupBy("question_id")
+            .agg(F.sum("votes").cast("bigint").alias("sampling_num"),
+                 F.coalesce(F.sum(F.when(F.col("valid"), F.col("votes"))), F.lit(0)).cast("bigint").alias("n_valid"),
+                 F.min_by("sql", "first_ord").alias("first_sql"),
                  F.max("correct").alias("any_correct"),
-                 F.max_by("sql", F.when(F.col("correct") == 1, F.col("ord"))).alias("last_correct_sql")))
+                 F.max_by("last_correct_sql", "last_correct_ord").alias("last_correct_sql"),
+                 *[F.any_value(c).alias(c) for c in carry]))
 
 
 def _winners(groups: DataFrame) -> DataFrame:
@@ -102,14 +118,25 @@ def _runner_up(groups: DataFrame, winners: DataFrame) -> DataFrame:
     return g.groupBy("question_id").agg(before.alias("b"), after.alias("a"))
 
 
-def consensus(execs: DataFrame, all_invalid_sql: str = "first") -> dict[str, DataFrame]:
-    """V2-V6 in one plan; returns ``groups, winner, top2, pass_at_n``.
+def consensus(execs: DataFrame, all_invalid_sql: str = "first", carry: tuple = (),
+              persist: bool = True) -> dict[str, DataFrame]:
+    """V2-V6 in one plan; returns ``groups, winner, top2, pass_at_n,
+    per_question`` and ``result_groups``.
 
     ``all_invalid_sql``: ``"first"`` (candidate 0, deterministic) or
-    ``"error"`` (the text ``Error SQL``).
+    ``"error"`` (the text ``Error SQL``).  ``carry`` names per-question
+    columns (e.g. ``difficulty``) passed through to every output.
+
+    The grouped frame feeds both the summary and the vote path; Catalyst
+    would push each path's filters below the aggregation and scan the
+    candidates twice, so it is persisted (memory and disk; lost blocks are
+    recomputed from lineage).  Call ``result_groups.unpersist()`` when done.
     """
-    groups = vote_groups(execs)
-    summary = question_summary(execs)
+    rg = result_groups(execs, carry)
+    if persist:
+        rg = rg.persist(StorageLevel.MEMORY_AND_DISK)
+    groups = vote_groups(execs, rg)
+    summary = question_summary(execs, rg, carry)
     winners = _winners(groups)
     runners = _runner_up(groups, winners)
 
@@ -126,7 +153,7 @@ def consensus(execs: DataFrame, all_invalid_sql: str = "first") -> dict[str, Dat
     has_valid = F.col("w_votes").isNotNull()
 
     top = top.select(
-        "question_id", "sampling_num",
+        "question_id", "sampling_num", *carry,
         F.when(has_valid, F.col("w_votes")).otherwise(F.lit(1)).cast("bigint").alias("votes"),
         F.when(has_valid, F.col("w_correct")).otherwise(F.lit(0)).cast("int").alias("correct"),
         F.when(has_valid, F.col("w_sql")).otherwise(fallback).alias("sql"),
@@ -137,11 +164,11 @@ def consensus(execs: DataFrame, all_invalid_sql: str = "first") -> dict[str, Dat
         F.col("any_correct"), F.col("last_correct_sql"), F.col("first_sql"),
     )
 
-    winner = top.select("question_id", "votes", "correct", "sql", "winner_ord")
+    winner = top.select("question_id", *carry, "votes", "correct", "sql", "winner_ord")
 
     both = F.col("single") | ~F.col("has_valid")
     top2 = top.select(
-        "question_id", "sampling_num",
+        "question_id", *carry, "sampling_num",
         F.when(F.col("has_valid"), F.greatest(F.col("correct"), F.col("r_correct")))
          .otherwise(F.lit(0)).cast("int").alias("correct"),
         F.when(both, F.array(F.col("correct"))).otherwise(
@@ -153,13 +180,21 @@ def consensus(execs: DataFrame, all_invalid_sql: str = "first") -> dict[str, Dat
     )
 
     pass_at_n = top.select(
-        "question_id",
+        "question_id", *carry,
         F.when(F.col("has_valid"), F.coalesce(F.col("any_correct"), F.lit(0))).otherwise(F.lit(0))
          .cast("int").alias("correct"),
         F.when(F.col("has_valid"), F.coalesce(F.col("last_correct_sql"), F.col("first_sql")))
          .otherwise(F.col("sql")).alias("sql"),
     )
-    return {"groups": groups, "winner": winner, "top2": top2, "pass_at_n": pass_at_n}
+    per_question = top.select(
+        "question_id", *carry,
+        F.col("correct").alias("vote_correct"),
+        F.when(F.col("has_valid"), F.greatest(F.col("correct"), F.col("r_correct"))).otherwise(F.lit(0))
+         .cast("int").alias("top2_correct"),
+        F.when(F.col("has_valid"), F.coalesce(F.col("any_correct"), F.lit(0))).otherwise(F.lit(0))
+         .cast("int").alias("pass_correct"))
+    return {"groups": groups, "winner": winner, "top2": top2, "pass_at_n": pass_at_n,
+            "per_question": per_question, "result_groups": rg}
 
 
 def vote_winner(execs: DataFrame, all_invalid_sql: str = "first") -> DataFrame:

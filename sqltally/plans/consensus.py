@@ -16,16 +16,20 @@ def vote_and_score(execs: DataFrame, questions: DataFrame | None = None,
                    all_invalid_sql: str = "first") -> dict[str, DataFrame]:
     """V8: vote, then the three curves (vote, pass@n, top-2) by difficulty.
 
-    ``execs`` must carry ``correct``; when ``questions`` is omitted it must
-    also carry ``difficulty``.
+    ``execs`` must carry ``correct``; without ``questions`` it must carry
+    ``difficulty``, which then travels through the per-question aggregation
+    (no extra join or scan).
     """
     if questions is None:
-        questions = execs.groupBy("question_id").agg(F.first("difficulty").alias("difficulty"))
-    res = vote.consensus(execs.drop("difficulty") if "difficulty" in execs.columns else execs,
-                         all_invalid_sql)
-    frames = {"vote": res["winner"], "pass_at_n": res["pass_at_n"], "top2": res["top2"]}
-    res["curves"] = metrics.curves(frames, questions)
-    res["accuracy"] = metrics.accuracy_by_difficulty(res["winner"], questions)
+        res = vote.consensus(execs, all_invalid_sql, carry=("difficulty",))
+        pq = res["per_question"]
+    else:
+        base = execs.drop("difficulty") if "difficulty" in execs.columns else execs
+        res = vote.consensus(base, all_invalid_sql)
+        pq = metrics.attach_difficulty(res["per_question"], questions)
+    res["curves"] = metrics.curves_from_columns(
+        pq, {"vote": "vote_correct", "pass_at_n": "pass_correct", "top2": "top2_correct"})
+    res["accuracy"] = metrics.accuracy_by_difficulty(pq, score_col="vote_correct")
     return res
 
 
