@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sqltally.operators.fingerprint import fingerprint
+from sqltally.operators.fingerprint import (EMPTY_FP, fingerprint, grouped_fingerprint_of_hashes,
+                                            with_row_hashes)
 from sqltally.session import scratch_path
 
 # Error categories of the original kit, in matching order, with
@@ -125,53 +126,127 @@ def statement_key(db_id: Column, sql: Column) -> Column:
     return F.sha2(F.concat_ws("\u0001", db_id, sql), 256)
 
 
-def run_one(db: Database, sql: str, timeout: float | None) -> dict:
-    """Run one statement under a deadline; never raises."""
-    sess = db.session
-    sc = sess.sparkContext
+def _error_row(e: Exception) -> dict:
+    cond = e.getCondition() if hasattr(e, "getCondition") else None
+    return {"status": "error", "detail": category_of_condition(cond),
+            "message": (cond or type(e).__name__) + ": " + str(e)[:300]}
+
+
+def _with_deadline(sc, timeout: float | None, fn):
+    """Run ``fn()`` with its jobs tagged; cancel them by tag at the deadline.
+
+    After the deadline the watchdog keeps cancelling the tag until ``fn``
+    returns, so a job submitted just after the first cancel (planning can
+    outlast a short deadline) is stopped too.  Spark cancellation is
+    cooperative: a killed task stops at its next check; on a cluster,
+    ``spark.task.reaper.enabled`` with ``spark.task.reaper.killTimeout``
+    recycles executors whose tasks do not.  Driver-side planning (e.g.
+    constant-folding a huge literal) cannot be interrupted.
+
+    Returns ``(value, exception, timed_out)``."""
     tag = f"sqltally-{uuid.uuid4().hex}"
     fired = threading.Event()
+    done = threading.Event()
 
-    def cancel():
+    def watchdog():
+        if done.wait(timeout):
+            return
         fired.set()
-        sc.cancelJobsWithTag(tag)
+        while not done.is_set():
+            sc.cancelJobsWithTag(tag)
+            done.wait(0.5)
 
-    timer = threading.Timer(timeout, cancel) if timeout else None
-    t0 = time.time()
     sc.addJobTag(tag)
+    guard = threading.Thread(target=watchdog, daemon=True) if timeout else None
     try:
-        if timer:
-            timer.start()
+        if guard:
+            guard.start()
+        return fn(), None, False
+    except Exception as e:  # noqa: BLE001 - reported as a row by the caller
+        return None, e, fired.is_set()
+    finally:
+        done.set()
+        sc.removeJobTag(tag)
+
+
+def run_one(db: Database, sql: str, timeout: float | None) -> dict:
+    """Run one statement under a deadline; never raises."""
+    sess = db.session
+    t0 = time.time()
+
+    def go():
         df = sess.sql(readonly_sql(sql))  # analysis errors surface here, no job
-        row = fingerprint(df).collect()[0]
+        return fingerprint(df).collect()[0]
+
+    row, err, timed_out = _with_deadline(sess.sparkContext, timeout, go)
+    if err is None:
         out = {"status": "success", "detail": None, "message": None,
                "arity": int(row["arity"]), "n_rows": int(row["n_rows"]),
                "n_distinct": int(row["n_distinct"]), "fp": row["fp"]}
-    except Exception as e:  # noqa: BLE001 - every failure becomes a row
-        if fired.is_set():
-            out = {"status": "timeout", "detail": None, "message": "execute sql timeout."}
-        else:
-            cond = e.getCondition() if hasattr(e, "getCondition") else None
-            out = {"status": "error", "detail": category_of_condition(cond),
-                   "message": (cond or type(e).__name__) + ": " + str(e)[:300]}
-    finally:
-        if timer:
-            timer.cancel()
-        sc.removeJobTag(tag)
+    elif timed_out:
+        out = {"status": "timeout", "detail": None, "message": "execute sql timeout."}
+    else:
+        out = _error_row(err)
     out["seconds"] = time.time() - t0
     return out
 
 
+def run_batch(db: Database, items: list[tuple[str, str]], timeout: float | None) -> list[dict]:
+    """Run several statements of one database as one Spark job.
+
+    Each statement is analysed alone (errors need no job); the analysed ones
+    are hashed and fingerprinted together, grouped by statement key.  If the
+    job fails or misses the deadline, every statement is run alone, so a bad
+    or slow statement gets its own status and the others their results.
+    """
+    out, analysed = [], []
+    for key, sql in items:
+        t0 = time.time()
+        try:
+            analysed.append((key, sql, db.session.sql(readonly_sql(sql))))
+        except Exception as e:  # noqa: BLE001
+            out.append({**_error_row(e), "stmt_key": key, "seconds": time.time() - t0})
+    if len(analysed) <= 1:
+        return out + [{**run_one(db, sql, timeout), "stmt_key": key} for key, sql, _ in analysed]
+
+    parts = [with_row_hashes(df).select(F.lit(key).alias("stmt_key"), "h1", "h2")
+             for key, _, df in analysed]
+    union = parts[0]
+    for p_ in parts[1:]:
+        union = union.unionAll(p_)
+    summary = grouped_fingerprint_of_hashes(union, ["stmt_key"])
+    t0 = time.time()
+    rows, err, _ = _with_deadline(db.session.sparkContext, timeout, summary.collect)
+    if err is not None:
+        return out + [{**run_one(db, sql, timeout), "stmt_key": key} for key, sql, _ in analysed]
+    elapsed = time.time() - t0
+    got = {r["stmt_key"]: r for r in rows}
+    for key, _, df in analysed:
+        arity = len(df.columns)
+        r = got.get(key)
+        if r is None:  # no rows at all: the empty result
+            out.append({"stmt_key": key, "status": "success", "detail": None, "message": None,
+                        "arity": arity, "n_rows": 0, "n_distinct": 0, "fp": EMPTY_FP, "seconds": elapsed})
+        else:
+            out.append({"stmt_key": key, "status": "success", "detail": None, "message": None,
+                        "arity": arity, "n_rows": int(r["n_rows"]), "n_distinct": int(r["n_distinct"]),
+                        "fp": f"{arity}|{r['n_distinct']}|{r['s1']}|{r['x2']}", "seconds": elapsed})
+    return out
+
+
 def run_workload(spark: SparkSession, statements: DataFrame, databases: dict,
                  timeout: float | None = 30.0, parallelism: int = 8,
-                 results_path: str | None = None, batch_size: int = 256) -> DataFrame:
+                 results_path: str | None = None, batch_size: int = 256,
+                 statements_per_job: int = 16) -> DataFrame:
     """Execute every ``(db_id, sql)`` row of ``statements``.
 
     Returns ``statements`` with ``stmt_key, status, detail, message, valid,
     arity, n_rows, n_distinct, fp, seconds``.  Identical statements on the
-    same database run once.  A NULL ``sql`` is status ``no_sql``.
-    ``results_path`` (default: a new folder under ``spark.checkpoint.dir``)
-    makes the run resumable.
+    same database run once; up to ``statements_per_job`` statements of one
+    database share a Spark job (:func:`run_batch`).  A NULL ``sql`` is status
+    ``no_sql``.  ``results_path`` (default: a new folder under
+    ``spark.checkpoint.dir``) makes the run resumable; results are appended
+    every ``batch_size`` statements.
     """
     results_path = results_path or scratch_path(spark, "workload")
     keyed = statements.withColumn("stmt_key", statement_key(F.col("db_id"), F.col("sql")))
@@ -188,25 +263,31 @@ def run_workload(spark: SparkSession, statements: DataFrame, databases: dict,
             spark.createDataFrame(pending, RESULT_SCHEMA).write.mode("append").parquet(results_path)
             pending.clear()
 
-    def task(key, db_id, sql):
+    def task(db_id, items):
         db = databases.get(db_id)
         if db is None:
-            res = {"status": "error", "detail": "no such table",
-                   "message": f"unknown database {db_id}", "seconds": 0.0}
-        else:
-            res = run_one(db, sql, timeout)
-        res["stmt_key"] = key
-        return res
+            return [{"stmt_key": k, "status": "error", "detail": "no such table",
+                     "message": f"unknown database {db_id}", "seconds": 0.0} for k, _ in items]
+        return run_batch(db, items, timeout)
 
     with cf.ThreadPoolExecutor(max_workers=parallelism) as pool:
         inflight: set = set()
+        buffers: dict = {}
+
+        def submit(db_id):
+            inflight.add(pool.submit(task, db_id, buffers.pop(db_id)))
+
         for r in todo.toLocalIterator():
-            inflight.add(pool.submit(task, r["stmt_key"], r["db_id"], r["sql"]))
+            buffers.setdefault(r["db_id"], []).append((r["stmt_key"], r["sql"]))
+            if len(buffers[r["db_id"]]) >= statements_per_job:
+                submit(r["db_id"])
             if len(inflight) >= 2 * parallelism:
                 finished, inflight = cf.wait(inflight, return_when=cf.FIRST_COMPLETED)
                 pending.extend(_rows(finished))
                 if len(pending) >= batch_size:
                     flush()
+        for db_id in list(buffers):
+            submit(db_id)
         finished, _ = cf.wait(inflight)
         pending.extend(_rows(finished))
         flush()
@@ -222,8 +303,8 @@ def run_workload(spark: SparkSession, statements: DataFrame, databases: dict,
 def _rows(futures) -> list[dict]:
     rows = []
     for f in futures:
-        r = f.result()
-        rows.append({k: r.get(k) for k in RESULT_SCHEMA.fieldNames()})
+        for r in f.result():
+            rows.append({k: r.get(k) for k in RESULT_SCHEMA.fieldNames()})
     return rows
 
 

@@ -90,6 +90,17 @@ def grouped_fingerprint(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def grouped_fingerprint_of_hashes(hashed: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: ``n_rows, n_distinct, s1, x2`` from ``keys + h1, h2`` rows
+    (several results stacked, e.g. a batch of statements)."""
+    distinct = hashed.groupBy(*keys, "h1", "h2").agg(F.count(F.lit(1)).alias("m"))
+    return distinct.groupBy(*keys).agg(
+        F.sum("m").cast("bigint").alias("n_rows"),
+        F.count(F.lit(1)).cast("bigint").alias("n_distinct"),
+        F.sum(F.col("h1").cast("decimal(38,0)")).cast("string").alias("s1"),
+        F.bit_xor("h2").alias("x2"))
+
+
 def result_set(df: DataFrame) -> DataFrame:
     """The result as a set of canonical rows (R2): one ``row`` array column."""
     body = positional(df)

@@ -50,8 +50,10 @@ def test_readonly_wrapper_keeps_queries(db):
 
 
 def test_timeout_cancels(db):
-    slow = ("SELECT count(*) FROM orders a CROSS JOIN orders b CROSS JOIN orders c "
-            "CROSS JOIN orders d")
+    # data-dependent bounds: nothing the optimizer can fold on the driver
+    slow = ("SELECT count(*) FROM orders "
+            "LATERAL VIEW explode(sequence(1, CAST(o_custkey % 7 AS INT) + 1000000)) a AS x "
+            "LATERAL VIEW explode(sequence(1, CAST(o_orderkey % 5 AS INT) + 1000)) b AS y")
     r = execute.run_one(db, slow, timeout=1.0)
     assert r["status"] == "timeout"
     assert r["seconds"] < 20
@@ -92,3 +94,25 @@ def test_compare_results_and_exact_sets(spark, db):
     assert not compare.sets_equal(a, c)
     diff = compare.diff_results(a, execute.run_rows(db, "SELECT r_name FROM region WHERE r_regionkey > 0"))
     assert diff.filter(F.col("side") == "a_only").count() >= 1
+
+
+def test_batch_equals_single(db):
+    items = [("a", "SELECT r_name FROM region"), ("b", "SELECT COUNT(*) FROM orders"),
+             ("c", "SELECT * FROM region WHERE r_regionkey < 0"), ("d", "SELECT nocol FROM region"),
+             ("e", "SELECT o_orderstatus, COUNT(*) FROM orders GROUP BY o_orderstatus")]
+    batch = {r["stmt_key"]: r for r in execute.run_batch(db, items, timeout=30)}
+    for key, sql in items:
+        one = execute.run_one(db, sql, timeout=30)
+        for f in ("status", "detail", "arity", "n_rows", "n_distinct", "fp"):
+            assert batch[key].get(f) == one.get(f), (key, f)
+
+
+def test_batch_falls_back_on_timeout(db):
+    # data-dependent bounds: nothing the optimizer can fold on the driver
+    slow = ("SELECT count(*) FROM orders "
+            "LATERAL VIEW explode(sequence(1, CAST(o_custkey % 7 AS INT) + 1000000)) a AS x "
+            "LATERAL VIEW explode(sequence(1, CAST(o_orderkey % 5 AS INT) + 1000)) b AS y")
+    items = [("fast", "SELECT COUNT(*) FROM region"), ("slow", slow)]
+    got = {r["stmt_key"]: r for r in execute.run_batch(db, items, timeout=6.0)}
+    assert got["fast"]["status"] == "success"
+    assert got["slow"]["status"] == "timeout"
