@@ -235,9 +235,9 @@ def run_batch(db: Database, items: list[tuple[str, str]], timeout: float | None)
 
 
 def run_workload(spark: SparkSession, statements: DataFrame, databases: dict,
-                 timeout: float | None = 30.0, parallelism: int = 8,
+                 timeout: float | None = 30.0, parallelism: int = 16,
                  results_path: str | None = None, batch_size: int = 256,
-                 statements_per_job: int = 16) -> DataFrame:
+                 statements_per_job: int = 8) -> DataFrame:
     """Execute every ``(db_id, sql)`` row of ``statements``.
 
     Returns ``statements`` with ``stmt_key, status, detail, message, valid,

@@ -218,13 +218,21 @@ def check_primary_keys(tables: dict, declared: list[tuple[str, list[str]]]) -> D
 
 def check_foreign_keys(tables: dict, declared: list[tuple[str, str, str, str]]) -> DataFrame:
     """For each ``(table, column, ref_table, ref_column)``: child rows whose
-    non-NULL value has no parent (left anti join; AQE turns it into a
-    broadcast join only when the parent side is measured small)."""
+    non-NULL value has no parent.
+
+    Child values are first counted per value (a partial aggregation, so a
+    value held by a large share of the rows collapses map-side), then the
+    distinct values are anti-joined with the parent keys and their counts
+    summed.  AQE turns the join into a broadcast only when a side is measured
+    small.
+    """
     out = None
     for t, c, rt, rc in declared:
-        child = tables[t].select(F.col(c).alias("k")).filter(F.col("k").isNotNull())
+        child = (tables[t].select(F.col(c).alias("k")).filter(F.col("k").isNotNull())
+                 .groupBy("k").agg(F.count(F.lit(1)).alias("m")))
         parent = tables[rt].select(F.col(rc).alias("k"))
-        orphans = child.join(parent, "k", "left_anti").agg(F.count(F.lit(1)).alias("n_orphans"))
+        orphans = child.join(parent, "k", "left_anti").agg(
+            F.coalesce(F.sum("m"), F.lit(0)).alias("n_orphans"))
         row = orphans.select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"),
                              F.lit(rt).alias("ref_table"), F.lit(rc).alias("ref_column"),
                              F.col("n_orphans").cast("bigint").alias("n_orphans"),

@@ -62,7 +62,7 @@ def _results_path(spark: SparkSession, sf_dir: str, path: str) -> str:
 
 
 def executions(spark: SparkSession, sf_dir: str, path: str = WORKLOAD_FILE,
-               timeout: float = 30.0, parallelism: int = 8,
+               timeout: float = 30.0, parallelism: int = 16,
                results_path: str | None = None, reuse: bool = True) -> DataFrame:
     """All statements executed; results kept under ``spark.checkpoint.dir``
     keyed by workload, tables and library version, so reruns resume."""

@@ -104,3 +104,12 @@ def test_unknown_database_flagged(spark):
     s = spark.createDataFrame([("db", "SCHEMA")], "db_id string, text string")
     r = prompts.build_prompts(q, s).collect()[0]
     assert r.schema_found is False
+
+
+def test_key_checks_count_rows(spark):
+    child = spark.createDataFrame([(1,), (1,), (2,), (2,), (3,), (None,)], "k long")
+    parent = spark.createDataFrame([(1,), (1,), (None,)], "k long")
+    fk = profile.check_foreign_keys({"c": child, "p": parent}, [("c", "k", "p", "k")]).collect()[0]
+    assert fk.n_orphans == 3 and fk.holds is False
+    pk = profile.check_primary_keys({"p": parent}, [("p", ["k"])]).collect()[0]
+    assert (pk.n_duplicate_keys, pk.n_null_rows, pk.holds) == (1, 1, False)
