@@ -20,16 +20,26 @@ from sqltally.functions.text import extract_sql
 RESPONSE_SCHEMA = "question_id long, ord int, response string"
 
 
-def generate_candidates(prompts: DataFrame, fn: Callable, n: int,
-                        partitions: int | None = None, max_attempts: int = 1) -> DataFrame:
-    """G8 (+G9 in the callable wrapper): ``(question_id, ord, response)``.
+def has_sql_block(response: str) -> bool:
+    """G9 validity: the response holds a fenced ``sql`` block."""
+    import re
+    return re.search(r"```sql\n(.*?)\n```", response or "", re.S) is not None
 
-    With ``max_attempts > 1`` a prompt is asked again, up to that many times,
-    while none of its responses holds a fenced ``sql`` block.
-    """
+
+def has_think_answer(response: str) -> bool:
+    """G10 validity: reasoning and answer tags are both present."""
     import re
+    return re.search(r"<think>(.*?)</think>\s*<answer>(.*?)</answer>", response or "", re.S) is not None
 
-    block = re.compile(r"```sql\n(.*?)\n```", re.S)
+
+def generate_candidates(prompts: DataFrame, fn: Callable, n: int,
+                        partitions: int | None = None, max_attempts: int = 1,
+                        is_valid: Callable[[str], bool] = has_sql_block) -> DataFrame:
+    """G8 (+G9/G10 in the callable wrapper): ``(question_id, ord, response)``.
+
+    With ``max_attempts > 1`` a prompt is asked again, up to that many times
+    (always bounded), while none of its responses passes ``is_valid``.
+    """
     src = prompts.select("question_id", "prompt")
     if partitions:
         src = src.repartition(partitions)
@@ -40,7 +50,7 @@ def generate_candidates(prompts: DataFrame, fn: Callable, n: int,
             texts = pdf["prompt"].fillna("").tolist()
             outs = fn(texts, n)
             for _ in range(max_attempts - 1):
-                retry = [i for i, o in enumerate(outs) if not any(block.search(r or "") for r in o)]
+                retry = [i for i, o in enumerate(outs) if not any(is_valid(r) for r in o)]
                 if not retry:
                     break
                 again = fn([texts[i] for i in retry], n)

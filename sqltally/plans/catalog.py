@@ -265,3 +265,70 @@ def q_three_curves(spark, sf_dir):
     execs = _execs(spark, sf_dir)
     res = vote_and_score(execs)
     return res["curves"]
+
+
+# ---------------------------------------------------------------------------
+# Sinks of the vote run, read back (K5-K7) and the id check (M4)
+# ---------------------------------------------------------------------------
+
+@register("winner_sql_file", "WITH " + _CANDIDATES_CTE + """
+SELECT replace(sql, chr(10), ' ') AS value FROM win
+""")
+def q_winner_sql_file(spark, sf_dir):
+    """K5: winners written one per line in id order, read back as lines."""
+    from sqltally.plans.consensus import write_winner_sql
+    from sqltally.session import scratch_path
+    path = scratch_path(spark, "winners")
+    write_winner_sql(_consensus(spark, sf_dir)["winner"], path)
+    return spark.read.text(path)
+
+
+@register("top2_table", "WITH " + _CANDIDATES_CTE + """
+SELECT question_id, CAST(CASE WHEN r_sql IS NULL THEN 1 ELSE 2 END AS INTEGER) AS n_entries,
+       CAST(CASE WHEN has_valid = 1 THEN votes ELSE 0 END AS BIGINT) AS votes_1, sql AS sql_1, r_sql AS sql_2
+FROM win
+""")
+def q_top2_table(spark, sf_dir):
+    """K6: the top-2 table written as Parquet (input of a later merge step)."""
+    from sqltally.plans.consensus import write_top2
+    from sqltally.session import scratch_path
+    path = scratch_path(spark, "top2")
+    write_top2(_consensus(spark, sf_dir)["top2"], path)
+    t = spark.read.parquet(path)
+    n = F.size("sql_list")
+    return t.select("question_id", n.cast("int").alias("n_entries"),
+                    F.col("vote_list")[0].alias("votes_1"), F.col("sql_list")[0].alias("sql_1"),
+                    F.when(n == 2, F.col("sql_list")[1]).alias("sql_2"))
+
+
+@register("metric_document", "WITH " + _CANDIDATES_CTE + ", acc AS (" + _ACC_SQL.format(src="win") + """)
+SELECT level, n, accuracy FROM acc
+""")
+def q_metric_document(spark, sf_dir):
+    """K7: the metric document as one JSON line, read back and flattened."""
+    from sqltally.session import scratch_path
+    acc = metrics.accuracy_by_difficulty(tables.with_difficulty(_consensus(spark, sf_dir)["winner"]))
+    path = scratch_path(spark, "metric")
+    metrics.metric_document(acc).coalesce(1).write.text(path)
+    levels = metrics.LEVELS + [metrics.TOTAL]
+    schema = ("counts STRUCT<" + ", ".join(f"{lv}: BIGINT" for lv in levels) + ">, accuracy STRUCT<"
+              + ", ".join(f"{lv}: DOUBLE" for lv in levels) + ">")
+    doc = spark.read.text(path).select(F.from_json("value", schema).alias("d"))
+    rows = F.array(*[F.struct(F.lit(lv).alias("level"), F.col(f"d.counts.{lv}").alias("n"),
+                              F.col(f"d.accuracy.{lv}").alias("accuracy")) for lv in levels])
+    return doc.select(F.inline(rows))
+
+
+@register("unmatched_ids", """
+SELECT DISTINCT CAST(floor(event_id / 16) AS BIGINT) AS question_id, 'scores_only' AS side FROM events
+WHERE CAST(floor(event_id / 16) AS BIGINT) NOT IN (SELECT item_id FROM benchmark)
+UNION ALL
+SELECT item_id, 'questions_only' FROM benchmark
+WHERE item_id NOT IN (SELECT CAST(floor(event_id / 16) AS BIGINT) FROM events)
+""")
+def q_unmatched_ids(spark, sf_dir):
+    """M4: scores (events-derived questions) against the question table
+    (``benchmark``); the ids on one side only."""
+    winner = _consensus(spark, sf_dir)["winner"]
+    questions = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"))
+    return metrics.unmatched_ids(winner, questions)

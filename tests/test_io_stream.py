@@ -122,3 +122,18 @@ def test_first_valid_attempt_and_resume(spark):
     todo = spark.range(5).withColumnRenamed("id", "question_id")
     done = spark.createDataFrame([(1,), (3,), (3,)], "question_id long")
     assert sorted(x.question_id for x in generate.resume(todo, done).collect()) == [0, 2, 4]
+
+
+def test_generate_retries_until_think_answer(spark):
+    prompts = spark.createDataFrame([(0, "p")], "question_id long, prompt string")
+    calls = []
+
+    def model(texts, n):
+        calls.append(1)
+        ok = len(calls) > 1
+        return [["<think> t </think> <answer> SELECT 1 </answer>" if ok else "<answer>x</answer>"] * n
+                for _ in texts]
+
+    out = generate.generate_candidates(prompts, model, 1, max_attempts=3,
+                                       is_valid=generate.has_think_answer).collect()
+    assert out[0].response.startswith("<think>")
