@@ -137,3 +137,14 @@ def test_generate_retries_until_think_answer(spark):
     out = generate.generate_candidates(prompts, model, 1, max_attempts=3,
                                        is_valid=generate.has_think_answer).collect()
     assert out[0].response.startswith("<think>")
+
+
+def test_write_if_absent_keeps_existing(spark):
+    path = scratch_path(spark, "keep")
+    sinks.write_json_if_absent(spark.createDataFrame([(1,)], "a int"), path)
+    sinks.write_json_if_absent(spark.createDataFrame([(2,), (3,)], "a int"), path)
+    assert [r.a for r in spark.read.json(path).collect()] == [1]
+    tpath = scratch_path(spark, "keep-text")
+    sinks.write_text_if_absent(spark.createDataFrame([("x",)], "value string"), tpath)
+    sinks.write_text_if_absent(spark.createDataFrame([("y",)], "value string"), tpath)
+    assert [r.value for r in spark.read.text(tpath).collect()] == ["x"]

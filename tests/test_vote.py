@@ -109,3 +109,23 @@ def test_against_literal_loop(spark, cases):
         assert p[q].sql == f"q{q}c{po}"
         # pass@n >= top-2 >= vote
         assert p[q].correct >= t[q].correct >= w[q].correct
+
+
+def test_hot_question_holds_a_third(spark):
+    """One question with a third of all candidates: same answers as the loop,
+    with skew handling on and tiny partitions so the hot key is split."""
+    rnd = random.Random(3)
+    cases = [[rnd.choice(["A", "B", "C", None]) for _ in range(8)] for _ in range(60)]
+    cases[7] = [rnd.choice(["A", "B", "C", "D", None]) for _ in range(240)]
+    gold = ["A"] * len(cases)
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")
+    try:
+        w, t, p = run(spark, cases, gold)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    for q, results in enumerate(cases):
+        wo, ro, votes, po, pc = literal_vote(results, gold[q])
+        assert w[q].sql == f"q{q}c{wo}"
+        assert t[q].vote_list == votes
+        assert p[q].sql == f"q{q}c{po}" and p[q].correct == pc
