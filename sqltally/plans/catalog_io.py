@@ -13,7 +13,8 @@ from sqltally.functions import text as T
 from sqltally.operators import profile
 from sqltally.plans import schema as S
 from sqltally.plans import tables as TB
-from sqltally.plans.catalog import ORACLE, register
+from sqltally.operators import vote
+from sqltally.plans.catalog import _CANDIDATES_CTE, ORACLE, register
 from sqltally.plans.catalog_schema import _columns_values
 from sqltally.plans.catalog_text import _EXTRACT, _RESP
 from sqltally.session import scratch_path
@@ -89,10 +90,9 @@ def q_questions_roundtrip(spark, sf_dir):
     q = TB.bench_questions(spark, sf_dir)
     obj = F.struct(F.col("question"), F.col("evidence"), F.col("db_id"),
                    F.lit(None).cast("string").alias("SQL"), F.col("difficulty"))
-    doc = q.agg(F.sort_array(F.collect_list(F.struct("question_id", obj.alias("o")))).alias("l")) \
-           .select(F.to_json(F.transform("l", lambda s: s["o"])).alias("value"))
     path = scratch_path(spark, "questions")
-    doc.coalesce(1).write.text(path)
+    sinks.write_document(q.select("question_id", F.to_json(obj).alias("o")), path,
+                         "question_id", "o", "[", "]")
     return files.read_questions(spark, path)
 
 
@@ -149,25 +149,17 @@ def q_stream_clean(spark, sf_dir):
     return spark.read.parquet(sink)
 
 
-@register("stream_accuracy", """
-SELECT coalesce(CASE WHEN q % 7 <= 2 THEN 'simple' WHEN q % 7 <= 4 THEN 'moderate'
-                     WHEN q % 7 = 5 THEN 'challenging' END, 'none') AS level,
-       CAST(count(*) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) AS correct
-FROM (
-  SELECT CAST(floor(event_id / 16) AS BIGINT) AS q,
-         CASE WHEN coalesce(event_type <> 'error', false)
-                   AND event_type = CASE CAST(floor(event_id / 16) AS BIGINT) % 5
-                                      WHEN 0 THEN 'click' WHEN 1 THEN 'view'
-                                      WHEN 2 THEN 'signup' WHEN 3 THEN 'purchase' END
-              THEN 1 ELSE 0 END AS c
-  FROM events WHERE event_id % 16 = 0) s
-GROUP BY 1
+@register("stream_accuracy", "WITH " + _CANDIDATES_CTE + """
+SELECT coalesce(difficulty, 'none') AS level, CAST(count(*) AS BIGINT) AS n,
+       CAST(sum(correct) AS BIGINT) AS correct
+FROM win GROUP BY 1
 """)
 def q_stream_accuracy(spark, sf_dir):
-    """First candidates as scored predictions, each sent twice (a retry),
-    joined with the static question table; running counts by difficulty."""
+    """Every question's voted answer as a scored prediction, each sent
+    twice (a retry), joined with the static question table; running counts
+    by difficulty."""
     execs = TB.event_executions(spark, sf_dir)
-    scored = execs.filter(F.col("ord") == 0).select("question_id", "correct")
+    scored = vote.consensus(execs.drop("difficulty"))["winner"].select("question_id", "correct")
     src, schema = _split_files(scored.unionByName(scored), "scored-in", spark)
     questions = TB.event_questions(execs)
     sink, ckpt = scratch_path(spark, "acc-out"), scratch_path(spark, "acc-ckpt")

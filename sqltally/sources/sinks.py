@@ -52,10 +52,25 @@ def write_predictions(df: DataFrame, path: str, single_document: bool = False,
     if not single_document:
         p.select(F.concat(F.lit("{"), entry, F.lit("}")).alias("value")).write.mode(mode).text(path)
         return
-    doc = p.select("question_id", entry.alias("e")).agg(
-        F.sort_array(F.collect_list(F.struct("question_id", "e"))).alias("l"))
-    doc.select(F.concat(F.lit("{"), F.array_join(F.transform("l", lambda s: s["e"]), ", "), F.lit("}"))
-               .alias("value")).coalesce(1).write.mode(mode).text(path)
+    write_document(p.select("question_id", entry.alias("e")), path, "question_id", "e", "{", "}", mode)
+
+
+def write_document(entries: DataFrame, path: str, key: str, text: str, open_: str, close: str,
+                   mode: str = "errorifexists") -> None:
+    """One JSON document (object or array) from ordered entries, without
+    gathering them into one row: each entry becomes a line (a comma before
+    all but the first), the opening and closing lines are added, and the
+    lines are range-sorted and written by one task, which streams them.
+    Only the smallest key is looked up on the driver."""
+    first = entries.agg(F.min(key).alias("m")).first()["m"]
+    body = entries.select(
+        F.lit(1).alias("_part"), F.col(key).alias("_k"),
+        F.when(F.col(key) == F.lit(first), F.col(text)).otherwise(F.concat(F.lit(", "), F.col(text)))
+         .alias("value"))
+    spark = entries.sparkSession
+    edges = spark.createDataFrame([(0, None, open_), (2, None, close)], body.schema)
+    (body.unionByName(edges).orderBy("_part", "_k").select("value")
+     .coalesce(1).write.mode(mode).text(path))
 
 
 def save_schema(columns: DataFrame, foreign_keys: DataFrame, path: str, mode: str = "errorifexists") -> None:
