@@ -207,3 +207,22 @@ def sample_rows_text(df: DataFrame, n: int = 3) -> DataFrame:
 
     text = F.concat(render(header), F.lit("\n"), F.array_join(F.transform(rows, render), "\n"))
     return agg.select(text.alias("text"))
+
+
+def with_sample_rows(ddl: DataFrame, rows_text: DataFrame, n: int) -> DataFrame:
+    """P10+P11: each table's DDL followed by its sample-row block.
+
+    ``rows_text(db_id, table_name, text)`` from :func:`sample_rows_text`.
+    """
+    r = rows_text.select("db_id", "table_name", F.col("text").alias("_rows"))
+    block = F.concat(F.lit(f" \n /* \n {n} example rows: \n SELECT * FROM `"), F.col("table_name"),
+                     F.lit(f"` LIMIT {n}; \n "), F.col("_rows"), F.lit(" \n */"))
+    return ddl.join(r, ["db_id", "table_name"], "left").select(
+        "db_id", "table_name",
+        F.when(F.col("_rows").isNull(), F.col("text")).otherwise(F.concat(F.col("text"), block)).alias("text"))
+
+
+def ddl_database_texts(ddl: DataFrame) -> DataFrame:
+    """P10: one DDL text per database, tables by name, separated by a blank line."""
+    t = ddl.groupBy("db_id").agg(F.sort_array(F.collect_list(F.struct("table_name", "text"))).alias("_t"))
+    return t.select("db_id", F.array_join(F.transform("_t", lambda s: s["text"]), "\n\n").alias("text"))

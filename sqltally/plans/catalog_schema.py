@@ -235,6 +235,15 @@ def q_ddl_text(spark, sf_dir):
     return schema_text.ddl_texts(S.columns(spark, dbs), S.primary_keys(spark), S.foreign_keys(spark))
 
 
+@register("ddl_db_text", f"""
+SELECT db_id, string_agg(text, {NL} || {NL} ORDER BY table_name) AS text FROM ({_ddl_oracle()}) d GROUP BY db_id
+""")
+def q_ddl_db_text(spark, sf_dir):
+    dbs = S.databases(spark, sf_dir)
+    ddl = schema_text.ddl_texts(S.columns(spark, dbs), S.primary_keys(spark), S.foreign_keys(spark))
+    return schema_text.ddl_database_texts(ddl)
+
+
 @register("sample_rows_text")
 def q_sample_rows_text(spark, sf_dir):
     """Rows-only check (value texts of floats and arrays are engine-specific);

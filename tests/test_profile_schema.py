@@ -113,3 +113,16 @@ def test_key_checks_count_rows(spark):
     assert fk.n_orphans == 3 and fk.holds is False
     pk = profile.check_primary_keys({"p": parent}, [("p", ["k"])]).collect()[0]
     assert (pk.n_duplicate_keys, pk.n_null_rows, pk.holds) == (1, 1, False)
+
+
+def test_ddl_database_text_with_rows(spark):
+    cols = spark.createDataFrame([
+        ("db", "b", 0, "x", "INT", "INT", True, None, ""),
+        ("db", "a", 0, "id", "BIGINT", "BIGINT", False, None, "")],
+        "db_id string, table_name string, position int, column_name string, type string, full_type string, "
+        "nullable boolean, default string, comment string")
+    ddl = schema_text.ddl_texts(cols)
+    rows = spark.createDataFrame([("db", "a", "id \n 1 ")], "db_id string, table_name string, text string")
+    text = schema_text.ddl_database_texts(schema_text.with_sample_rows(ddl, rows, 1)).collect()[0].text
+    assert text == ("CREATE TABLE `a` (\n  `id` BIGINT NOT NULL\n) \n /* \n 1 example rows: \n"
+                    " SELECT * FROM `a` LIMIT 1; \n id \n 1  \n */\n\nCREATE TABLE `b` (\n  `x` INT\n)")
