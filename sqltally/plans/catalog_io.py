@@ -161,9 +161,13 @@ def q_stream_accuracy(spark, sf_dir):
     execs = TB.event_executions(spark, sf_dir)
     scored = vote.consensus(execs.drop("difficulty"))["winner"].select("question_id", "correct")
     src, schema = _split_files(scored.unionByName(scored), "scored-in", spark)
-    questions = TB.event_questions(execs)
+    # the static side is a table: written once, scanned by each micro-batch
+    qpath = scratch_path(spark, "questions-static")
+    TB.event_questions(execs).write.parquet(qpath)
+    questions = spark.read.parquet(qpath)
     sink, ckpt = scratch_path(spark, "acc-out"), scratch_path(spark, "acc-ckpt")
-    INC.accuracy_stream(INC.file_stream(spark, src, schema, max_files_per_trigger=1), questions, sink, ckpt)
+    INC.accuracy_stream(INC.file_stream(spark, src, schema, max_files_per_trigger=1), questions, sink, ckpt,
+                        state_partitions=spark.sparkContext.defaultParallelism)
     return INC.latest(spark, sink, ["level"])
 
 
@@ -173,7 +177,8 @@ def q_stream_votes(spark, sf_dir):
     execs = TB.event_executions(spark, sf_dir).drop("difficulty")
     src, schema = _split_files(execs, "execs-in", spark)
     sink, ckpt = scratch_path(spark, "votes-out"), scratch_path(spark, "votes-ckpt")
-    INC.vote_stream(INC.file_stream(spark, src, schema, max_files_per_trigger=1), sink, ckpt)
+    INC.vote_stream(INC.file_stream(spark, src, schema, max_files_per_trigger=1), sink, ckpt,
+                    state_partitions=spark.sparkContext.defaultParallelism)
     v = INC.latest(spark, sink, ["question_id", "fp"])
     return v.select("question_id", "fp", F.col("votes").cast("bigint").alias("votes"),
                     "first_ord", "sql", "correct")

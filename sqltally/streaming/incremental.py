@@ -47,12 +47,24 @@ def clean_stream(responses: DataFrame, sink: str, checkpoint: str,
     q.awaitTermination()
 
 
-def _append_batches(agg: DataFrame, sink: str, checkpoint: str) -> None:
+def _append_batches(agg: DataFrame, sink: str, checkpoint: str,
+                    state_partitions: int | None = None) -> None:
+    """``state_partitions`` fixes the number of state-store partitions of a
+    new query (recorded in its checkpoint; later restarts keep it).  It is
+    applied only while the query starts: the query runs on its own copy of
+    the session settings, and the caller's setting is restored."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(sink)
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    spark = agg.sparkSession
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        q = (agg.writeStream.outputMode("update").foreachBatch(write)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
     q.awaitTermination()
 
 
@@ -65,19 +77,20 @@ def latest(spark: SparkSession, sink: str, keys: list[str]) -> DataFrame:
 
 
 def accuracy_stream(scored: DataFrame, questions: DataFrame, sink: str, checkpoint: str,
-                    score_col: str = "correct") -> None:
+                    score_col: str = "correct", state_partitions: int | None = None) -> None:
     """``scored`` (stream of ``question_id, correct``) joined with static
     ``questions(question_id, difficulty)``; each question counts once."""
     s = scored.dropDuplicates(["question_id"]).join(questions, "question_id")
     level = F.coalesce(F.col("difficulty"), F.lit("none")).alias("level")
     agg = s.groupBy(level).agg(F.count(F.lit(1)).alias("n"),
                                F.sum(F.col(score_col).cast("bigint")).alias("correct"))
-    _append_batches(agg, sink, checkpoint)
+    _append_batches(agg, sink, checkpoint, state_partitions)
 
 
-def vote_stream(execs: DataFrame, sink: str, checkpoint: str) -> None:
+def vote_stream(execs: DataFrame, sink: str, checkpoint: str,
+                state_partitions: int | None = None) -> None:
     """Running ``votes, first_ord, sql`` per (question, result)."""
     agg = (execs.filter(F.col("valid")).groupBy("question_id", "fp")
            .agg(F.count(F.lit(1)).alias("votes"), F.min("ord").alias("first_ord"),
                 F.min_by("sql", "ord").alias("sql"), F.max("correct").alias("correct")))
-    _append_batches(agg, sink, checkpoint)
+    _append_batches(agg, sink, checkpoint, state_partitions)
