@@ -99,3 +99,22 @@ def chat_messages(prompts: DataFrame, system: str = "") -> DataFrame:
     msg = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")),
                   F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")))
     return prompts.withColumn("messages", msg)
+
+
+def build_prompts_by_family(questions: DataFrame, schemas: DataFrame, family_col: str,
+                            templates: dict, dialect: str = "Spark SQL",
+                            use_evidence: bool = True) -> DataFrame:
+    """The template is chosen per row by a model-family column (``when``
+    chain); a family without a template gets a NULL prompt and
+    ``template_found = false`` instead of failing the run."""
+    q = attach_schema(questions, schemas)
+    ev = F.coalesce(F.col("evidence"), F.lit("")) if use_evidence else F.lit("")
+    vals = {"question": F.col("question"), "db_schema": F.col("db_schema"), "evidence": ev,
+            "dialect": F.lit(dialect)}
+    prompt = None
+    for family, template in templates.items():
+        filled = fill_template(template, vals)
+        hit = F.col(family_col) == F.lit(family)
+        prompt = F.when(hit, filled) if prompt is None else prompt.when(hit, filled)
+    return q.select("question_id", "db_id", family_col, prompt.alias("prompt"), "schema_found",
+                    prompt.isNotNull().alias("template_found"))

@@ -244,3 +244,28 @@ def q_resume(spark, sf_dir):
     todo = execs.select("question_id").distinct()
     done = execs.filter(F.col("fp") == "purchase").select("question_id")
     return generate.resume(todo, done)
+
+
+def _family_sql() -> str:
+    vals = {"question": "q.question", "db_schema": "s.text", "evidence": "q.evidence", "dialect": "'Spark SQL'"}
+    fam = "CASE WHEN q.question_id % 5 = 4 THEN 'unknown' WHEN q.question_id % 2 = 0 THEN 'sql_expert' ELSE 'reasoning' END"
+    return f"""
+SELECT question_id, db_id, family, prompt, schema_found, prompt IS NOT NULL AS template_found FROM (
+  SELECT q.question_id, q.db_id, {fam} AS family,
+         CASE WHEN {fam} = 'sql_expert' THEN {_template_sql(prompts.TEMPLATES['sql_expert'], vals)}
+              WHEN {fam} = 'reasoning' THEN {_template_sql(prompts.TEMPLATES['reasoning'], vals)} END AS prompt,
+         s.text IS NOT NULL AS schema_found
+  FROM ({_QUESTIONS}) q LEFT JOIN ({_schemas_sql()}) s ON q.db_id = s.db_id) x
+"""
+
+
+@register("prompts_by_family", _family_sql())
+def q_prompts_by_family(spark, sf_dir):
+    """Template chosen per question by a model-family column (one family
+    has no template and is flagged)."""
+    qid = F.col("question_id")
+    fam = (F.when(qid % 5 == 4, F.lit("unknown")).when(qid % 2 == 0, F.lit("sql_expert"))
+           .otherwise(F.lit("reasoning")))
+    q = TB.bench_questions(spark, sf_dir).withColumn("family", fam)
+    return prompts.build_prompts_by_family(q, _schemas(spark, sf_dir), "family",
+                                           {k: prompts.TEMPLATES[k] for k in ("sql_expert", "reasoning")})

@@ -126,3 +126,13 @@ def test_ddl_database_text_with_rows(spark):
     text = schema_text.ddl_database_texts(schema_text.with_sample_rows(ddl, rows, 1)).collect()[0].text
     assert text == ("CREATE TABLE `a` (\n  `id` BIGINT NOT NULL\n) \n /* \n 1 example rows: \n"
                     " SELECT * FROM `a` LIMIT 1; \n id \n 1  \n */\n\nCREATE TABLE `b` (\n  `x` INT\n)")
+
+
+def test_prompts_by_family(spark):
+    q = spark.createDataFrame([(1, "db", "q1", "e1", "a"), (2, "db", "q2", None, "b"), (3, "db", "q3", "", "zz")],
+                              "question_id long, db_id string, question string, evidence string, family string")
+    s = spark.createDataFrame([("db", "S")], "db_id string, text string")
+    p = {r.question_id: r for r in prompts.build_prompts_by_family(
+        q, s, "family", {"a": "A:{question}/{evidence}", "b": "B:{db_schema}/{question}"}).collect()}
+    assert p[1].prompt == "A:q1/e1" and p[2].prompt == "B:S/q2"
+    assert p[3].prompt is None and p[3].template_found is False
