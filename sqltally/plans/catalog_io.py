@@ -16,7 +16,7 @@ from sqltally.plans import tables as TB
 from sqltally.operators import vote
 from sqltally.plans.catalog import _CANDIDATES_CTE, ORACLE, register
 from sqltally.plans.catalog_schema import _columns_values
-from sqltally.plans.catalog_text import _EXTRACT, _RESP
+from sqltally.plans.catalog_text import _EXTRACT
 from sqltally.session import scratch_path
 from sqltally.sources import files, sinks
 from sqltally.streaming import incremental as INC
