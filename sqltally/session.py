@@ -25,6 +25,9 @@ DEFAULT_CONF = {
     "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Arrow batches handed to Python (example scan, generation) stay bounded
+    # even when rows carry whole documents
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     "spark.ui.enabled": "false",
     "spark.scheduler.mode": "FAIR",
 }
