@@ -32,15 +32,15 @@ def register(name: str, oracle: str | None = None):
 # Voting and metrics over candidate executions derived from ``events``
 # ---------------------------------------------------------------------------
 
-_CANDIDATES_CTE = """
+_CANDIDATES_TEMPLATE = """
 c AS (
-  SELECT CAST(floor(event_id / 16) AS BIGINT) AS question_id,
-         CAST(event_id % 16 AS INTEGER) AS ord,
+  SELECT CAST(floor(event_id / {n}) AS BIGINT) AS question_id,
+         CAST(event_id % {n} AS INTEGER) AS ord,
          'SELECT ''' || event_type || ''' /* candidate ' || CAST(event_id AS VARCHAR) || ' */' AS sql,
          coalesce(event_type <> 'error', false) AS valid,
          event_type AS fp,
          CASE WHEN coalesce(event_type <> 'error', false)
-                   AND event_type = CASE CAST(floor(event_id / 16) AS BIGINT) % 5
+                   AND event_type = CASE CAST(floor(event_id / {n}) AS BIGINT) % 5
                                       WHEN 0 THEN 'click' WHEN 1 THEN 'view'
                                       WHEN 2 THEN 'signup' WHEN 3 THEN 'purchase' END
               THEN 1 ELSE 0 END AS correct
@@ -107,6 +107,14 @@ pass AS (
 """
 
 
+def _candidates_cte(n: int) -> str:
+    """Oracle CTEs for candidates sliced ``n`` per question from ``events``."""
+    return _CANDIDATES_TEMPLATE.replace("{n}", str(n))
+
+
+_CANDIDATES_CTE = _candidates_cte(16)
+
+
 def _execs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.event_executions(spark, sf_dir)
 
@@ -141,7 +149,8 @@ def q_vote_winner(spark, sf_dir):
     return _consensus(spark, sf_dir)["winner"]
 
 
-@register("vote_top2", "WITH " + _CANDIDATES_CTE + """
+def _top2_oracle(n: int) -> str:
+    return "WITH " + _candidates_cte(n) + """
 SELECT question_id, sampling_num,
        CAST(CASE WHEN has_valid = 1 THEN greatest(correct, coalesce(r_correct, correct)) ELSE 0 END AS INTEGER) AS correct,
        CAST(CASE WHEN r_sql IS NULL THEN 1 ELSE 2 END AS INTEGER) AS n_entries,
@@ -152,9 +161,10 @@ SELECT question_id, sampling_num,
        sql AS sql_1,
        r_sql AS sql_2
 FROM win
-""")
-def q_vote_top2(spark, sf_dir):
-    t = _consensus(spark, sf_dir)["top2"]
+"""
+
+
+def _flat_top2(t):
     n = F.size("sql_list")
     return t.select(
         "question_id", F.col("sampling_num").cast("bigint").alias("sampling_num"), "correct",
@@ -167,6 +177,19 @@ def q_vote_top2(spark, sf_dir):
         F.when(n == 2, F.col("sql_list")[1]).alias("sql_2"))
 
 
+@register("vote_top2_pairs", _top2_oracle(2))
+def q_vote_top2_pairs(spark, sf_dir):
+    """V3-V6 with two candidates per question: ties at the top, single
+    groups and all-invalid fallbacks all occur."""
+    execs = tables.event_executions(spark, sf_dir, n=2).drop("difficulty")
+    return _flat_top2(vote.consensus(execs)["top2"])
+
+
+@register("vote_top2", _top2_oracle(16))
+def q_vote_top2(spark, sf_dir):
+    return _flat_top2(_consensus(spark, sf_dir)["top2"])
+
+
 @register("pass_at_n", "WITH " + _CANDIDATES_CTE + """
 SELECT question_id, correct, sql FROM pass
 """)
@@ -174,11 +197,22 @@ def q_pass_at_n(spark, sf_dir):
     return _consensus(spark, sf_dir)["pass_at_n"]
 
 
-@register("vote_all_invalid", "WITH " + _CANDIDATES_CTE + """
-SELECT question_id, sampling_num, first_sql AS sql FROM q WHERE has_valid = 0
-""")
+_ALL_INVALID_SQL = (
+    "WITH c AS (\n"
+    "  SELECT CAST(floor(event_id / 2) AS BIGINT) AS question_id, CAST(event_id % 2 AS INTEGER) AS ord,\n"
+    "         'SELECT ''' || event_type || ''' /* candidate ' || CAST(event_id AS VARCHAR) || ' */' AS sql,\n"
+    "         coalesce(event_type <> 'error', false) AS valid\n"
+    "  FROM events)\n"
+    "SELECT question_id, CAST(count(*) AS BIGINT) AS sampling_num, arg_min(sql, ord) AS sql\n"
+    "FROM c GROUP BY question_id HAVING max(CASE WHEN valid THEN 1 ELSE 0 END) = 0\n")
+
+
+@register("vote_all_invalid", _ALL_INVALID_SQL)
 def q_vote_all_invalid(spark, sf_dir):
-    return vote.all_invalid(_execs(spark, sf_dir))
+    """V6 with two candidates per question (so that some questions have no
+    valid candidate at all): the fallback SQL is candidate 0."""
+    return vote.all_invalid(tables.event_executions(spark, sf_dir, n=2)).select(
+        "question_id", F.col("sampling_num").cast("bigint").alias("sampling_num"), "sql")
 
 
 _ACC_SQL = """
