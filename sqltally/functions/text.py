@@ -22,6 +22,9 @@ PACK_SEP = "\t----- bird -----\t"
 PY_SPACE = ("[\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
             "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]")
 
+# The kit's patterns for a fenced sql block, a line comment,
+# the reasoning/answer pair and an e-mail address (with the Java flags that
+# give them Python's line and character rules).
 SQL_BLOCK = "(?s)```sql\\n(.*?)\\n```"
 LINE_COMMENT = "(?md)--.*?$"
 THINK_ANSWER = "(?s)<think>(.*?)</think>" + PY_SPACE + "*<answer>(.*?)</answer>"

@@ -9,38 +9,33 @@ SCHEMA = "question_id long, ord int, sql string, valid boolean, fp string, corre
 
 
 def literal_vote(results, gold=None):
-    """Plain-Python statement of the voting rules, used as the reference.
+    """The voting rules stated directly in plain Python (independent of the
+    Spark plan): groups by equal result, winner = most votes then earliest,
+    runner-up by the closed form documented in the README.
 
     ``results``: list of fingerprints in candidate order, None = invalid.
-    Returns (winner_sql_ord, runner_ord or None, votes list, pass_ord, pass_correct).
+    Returns (winner_ord, runner_ord or None, votes list, pass_ord, pass_correct).
     """
-    if all(r is None for r in results):
+    valid = [(i, r) for i, r in enumerate(results) if r is not None]
+    if not valid:
         return 0, None, [0], 0, 0
-    counts, first = {}, {}
-    for i, r in enumerate(results):
-        if r is None:
-            continue
-        if r not in counts:
-            counts[r] = 0
-            first[r] = i
-        counts[r] += 1
-    order = sorted(counts, key=lambda k: first[k])
-    votes = sorted(counts.values(), reverse=True)
-    m = votes[0]
-    t = votes[1] if len(votes) > 1 else m
-    top1 = top2 = None
-    for k in order:
-        if counts[k] == m:
-            top1 = k
-        if counts[k] == t:
-            top2 = k
-        if top1 is not None and top2 is not None:
-            break
-    right = [i for i, r in enumerate(results) if r is not None and gold is not None and r == gold]
-    pass_ord = right[-1] if right else 0
-    if top1 == top2:
-        return first[top1], None, [m], pass_ord, int(bool(right))
-    return first[top1], first[top2], [m, t], pass_ord, int(bool(right))
+    groups = {}
+    for i, r in valid:
+        groups.setdefault(r, []).append(i)
+    sizes = {min(idx): len(idx) for idx in groups.values()}  # first ord -> votes
+    m = max(sizes.values())
+    winner = min(f for f, v in sizes.items() if v == m)
+    ranked = sorted(sizes.values(), reverse=True)
+    t = ranked[1] if len(ranked) > 1 else m
+    if t == m:
+        runner = None
+    else:
+        earlier = [f for f, v in sizes.items() if v == t and f < winner]
+        runner = max(earlier) if earlier else min(f for f, v in sizes.items() if v == t)
+    right = [i for i, r in valid if gold is not None and r == gold]
+    pass_ord = max(right) if right else 0
+    votes = [m] if runner is None else [m, t]
+    return winner, runner, votes, pass_ord, int(bool(right))
 
 
 def frame(spark, cases, gold=None):
