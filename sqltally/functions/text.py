@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Separator between a predicted statement and its database id
-# in packed prediction files, and the failure marker of the kit.
+# in packed prediction files.
 PACK_SEP = "\t----- bird -----\t"
 
 # Characters Python treats as whitespace (str.isspace), as a regex class.
