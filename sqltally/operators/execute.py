@@ -247,6 +247,11 @@ def run_workload(spark: SparkSession, statements: DataFrame, databases: dict,
     ``no_sql``.  ``results_path`` (default: a new folder under
     ``spark.checkpoint.dir``) makes the run resumable; results are appended
     every ``batch_size`` statements.
+
+    Sharing jobs pays off for many light statements.  A shared job has the
+    per-statement deadline; when it misses it, its statements run again one
+    by one, so for statements that each take a large part of the deadline
+    (big tables) use ``statements_per_job=1``.
     """
     results_path = results_path or scratch_path(spark, "workload")
     keyed = statements.withColumn("stmt_key", statement_key(F.col("db_id"), F.col("sql")))
