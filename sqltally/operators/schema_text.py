@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The section markers of the M-Schema text.
 DB_MARK = "【DB_ID】"
@@ -184,7 +185,8 @@ def ddl_texts(columns: DataFrame, primary_keys: DataFrame | None = None,
 def sample_rows_text(df: DataFrame, n: int = 3) -> DataFrame:
     """The first ``n`` rows (ordered by all columns, so deterministic) as
     an aligned block: header and cells right-justified to the widest entry,
-    each followed by one space; NULL shows as ``None``.
+    each followed by one space; NULL shows as ``None``, an array or map as
+    its type and size (``array<float>[384]``).
 
     ``orderBy(...).limit(n)`` plans as a per-partition top-n and a merge, so
     only ``n`` rows per partition move.
@@ -192,7 +194,18 @@ def sample_rows_text(df: DataFrame, n: int = 3) -> DataFrame:
     names = df.columns
     cols = [F.col(f"`{c}`") for c in names]
     top = df.orderBy(*cols).limit(n)
-    cells = top.select(F.array(*[F.coalesce(c.cast("string"), F.lit("None")) for c in cols]).alias("cells"),
+
+    def cell(c, dtype):
+        # arrays and maps are shown by type and size, not element by element
+        if isinstance(dtype, (T.ArrayType, T.MapType)):
+            text = F.concat(F.lit(dtype.simpleString() + "["), F.size(c).cast("string"), F.lit("]"))
+        elif isinstance(dtype, T.StructType):
+            text = F.lit(dtype.simpleString())
+        else:
+            text = c.cast("string")
+        return F.when(c.isNull(), F.lit("None")).otherwise(text)
+
+    cells = top.select(F.array(*[cell(c, f.dataType) for c, f in zip(cols, df.schema.fields)]).alias("cells"),
                        F.struct(*cols).alias("_o"))
     header = F.array(*[F.lit(c) for c in names])
     agg = cells.agg(F.sort_array(F.collect_list(F.struct("_o", "cells"))).alias("_r"))

@@ -244,7 +244,35 @@ def q_ddl_db_text(spark, sf_dir):
     return schema_text.ddl_database_texts(ddl)
 
 
-@register("sample_rows_text")
+def _sample_rows_oracle(n: int = 3) -> str:
+    """DuckDB twin of ``sample_rows_text``: first ``n`` rows by all columns
+    (NULLs first, as Spark sorts), cells as text (NULL shown as ``None``),
+    right-justified to the widest entry, each followed by a space."""
+    parts = []
+    for t, cols in TB.TABLE_COLUMNS.items():
+        names = [c for c, _ in cols]
+        order = ", ".join(f'"{c}" ASC NULLS FIRST' for c in names)
+        def cell(c, typ):
+            if typ.startswith("ARRAY"):
+                return f"CASE WHEN \"{c}\" IS NULL THEN 'None' ELSE {_q(typ.lower() + '[')} || len(\"{c}\") || ']' END"
+            return f"coalesce(CAST(\"{c}\" AS VARCHAR), 'None')"
+        vals = ", ".join(f"{cell(c, typ)} AS v{i}" for i, (c, typ) in enumerate(cols))
+        widths = ", ".join(f"greatest({len(c)}, coalesce(max(length(v{i})), 0)) AS w{i}"
+                           for i, c in enumerate(names))
+        head = " || ".join(f"lpad({_q(c)}, CAST(w{i} AS INTEGER), ' ') || ' '" for i, c in enumerate(names))
+        line = " || ".join(f"lpad(v{i}, CAST(w{i} AS INTEGER), ' ') || ' '" for i in range(len(names)))
+        parts.append(f"""
+SELECT {_q(TB.db_of(t))} AS db_id, {_q(t)} AS table_name, text FROM (
+  WITH r AS (
+    SELECT {vals}, row_number() OVER (ORDER BY {order}) AS rn
+    FROM (SELECT * FROM {t} ORDER BY {order} LIMIT {n}) s),
+  w AS (SELECT {widths} FROM r)
+  SELECT (SELECT {head} FROM w) || {NL} ||
+         coalesce((SELECT string_agg({line}, {NL} ORDER BY rn) FROM r, w), '') AS text) x""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("sample_rows_text", _sample_rows_oracle())
 def q_sample_rows_text(spark, sf_dir):
     """Rows-only check (value texts of floats and arrays are engine-specific);
     the layout is tested against a hand-worked block in the unit tests."""
