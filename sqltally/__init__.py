@@ -10,4 +10,4 @@ Subpackages:
 * ``streaming`` incremental forms of cleaning, accuracy and vote counting
 """
 
-__version__ = "0.2.0"
+__version__ = "0.3.0"
