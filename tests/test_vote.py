@@ -124,3 +124,13 @@ def test_hot_question_holds_a_third(spark):
         assert w[q].sql == f"q{q}c{wo}"
         assert t[q].vote_list == votes
         assert p[q].sql == f"q{q}c{po}" and p[q].correct == pc
+
+
+def test_explode_and_slice_candidates(spark):
+    prompts = spark.createDataFrame([(0, "star", ["s0", "s1"]), (1, "text", ["t0"])],
+                                    "question_id long, db_id string, pred_sqls array<string>")
+    rows = {(r.question_id, r.ord): r.sql for r in vote.explode_candidates(prompts).collect()}
+    assert rows == {(0, 0): "s0", (0, 1): "s1", (1, 0): "t0"}
+    flat = spark.range(7).withColumnRenamed("id", "idx")
+    got = [(r.question_id, r.ord) for r in vote.candidate_slice(flat, 3).orderBy("idx").collect()]
+    assert got == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2), (2, 0)]
