@@ -115,11 +115,60 @@ def q_ex_accuracy(spark, sf_dir):
     return metrics.accuracy_by_difficulty(scores, W.questions(spark))
 
 
-@register("workload_vote")
+# Canonical result set of one statement in DuckDB: each cell tagged by kind
+# (NULL and non-finite numbers as NULL, text, number by value), rows
+# de-duplicated and sorted into one string; NULL for an empty result.
+_CANON_SET = """(SELECT string_agg(r, chr(30) ORDER BY r) FROM (
+  SELECT DISTINCT concat_ws(chr(31), *COLUMNS(*)) AS r FROM (
+    SELECT CASE WHEN COLUMNS(*) IS NULL THEN 'z'
+                WHEN typeof(COLUMNS(*)) = 'VARCHAR' THEN 's:' || CAST(COLUMNS(*) AS VARCHAR)
+                WHEN isinf(TRY_CAST(COLUMNS(*) AS DOUBLE)) OR isnan(TRY_CAST(COLUMNS(*) AS DOUBLE)) THEN 'z'
+                WHEN TRY_CAST(COLUMNS(*) AS DOUBLE) = floor(TRY_CAST(COLUMNS(*) AS DOUBLE))
+                     THEN 'n:' || CAST(CAST(TRY_CAST(COLUMNS(*) AS DOUBLE) AS HUGEINT) AS VARCHAR)
+                ELSE 'n:' || CAST(TRY_CAST(COLUMNS(*) AS DOUBLE) AS VARCHAR) END
+    FROM (
+{sql}
+) t) u) v)"""
+
+
+def _vote_oracle() -> str:
+    rows = []
+    for q, ord_, sql, exp, _ in _statements():
+        valid = not exp.startswith("error:")
+        fp = f"coalesce({_CANON_SET.format(sql=_clean(sql))}, 'empty')" if valid else "CAST(NULL AS VARCHAR)"
+        rows.append(f"SELECT CAST({q['question_id']} AS BIGINT) AS question_id, CAST({ord_} AS INTEGER) AS ord, "
+                    f"{_q_sql(sql)} AS sql, {'true' if valid else 'false'} AS valid, {fp} AS fp")
+    stmts = "\nUNION ALL\n".join(rows)
+    return f"""
+WITH s AS ({stmts}),
+g AS (SELECT question_id, valid AS gold_valid, fp AS gold_fp FROM s WHERE ord = -1),
+c AS (
+  SELECT s.question_id, s.ord, s.sql, s.valid, s.fp,
+         CASE WHEN s.valid AND g.gold_valid AND g.gold_fp <> 'empty' AND s.fp = g.gold_fp THEN 1 ELSE 0 END AS correct
+  FROM s JOIN g ON s.question_id = g.question_id WHERE s.ord >= 0),
+grp AS (
+  SELECT question_id, fp, count(*) AS votes, min(ord) AS first_ord, arg_min(sql, ord) AS sql,
+         max(correct) AS correct
+  FROM c WHERE valid GROUP BY question_id, fp),
+w AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY votes DESC, first_ord) AS rn
+                 FROM grp) x WHERE rn = 1),
+q AS (SELECT question_id, arg_min(sql, ord) AS first_sql FROM c GROUP BY question_id)
+SELECT q.question_id, CAST(coalesce(w.votes, 1) AS BIGINT) AS votes,
+       CAST(coalesce(w.correct, 0) AS INTEGER) AS correct, coalesce(w.sql, q.first_sql) AS sql,
+       w.first_ord AS winner_ord
+FROM q LEFT JOIN w ON q.question_id = w.question_id
+"""
+
+
+def _q_sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@register("workload_vote", _vote_oracle())
 def q_workload_vote(spark, sf_dir):
-    """Consensus over the real executions (rows-only check: the fingerprint
-    equality relation has no DuckDB twin; the vote rule itself is checked on
-    the events-derived queries)."""
+    """Consensus over the real executions: fingerprints decide which
+    candidates agree; the DuckDB twin canonicalises each result set itself."""
     return W.voted(_execs(spark, sf_dir))["winner"]
 
 
