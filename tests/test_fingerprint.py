@@ -3,6 +3,8 @@ import decimal
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import types as T
 
 from sqltally.operators.fingerprint import EMPTY_FP, fingerprint, result_set
@@ -116,3 +118,31 @@ def test_property_shuffle_dup_repartition(spark):
 def test_result_set_distinct(spark):
     df = spark.createDataFrame([(1,), (1,), (2,)], "a long")
     assert result_set(df).count() == 2
+
+
+_TYPES = {"long": st.integers(-3, 3), "double": st.sampled_from([-1.0, 0.0, 1.0, 2.0, 2.5]),
+          "string": st.sampled_from(["1", "2", "a", ""])}
+
+
+@st.composite
+def _result(draw, types):
+    rows = draw(st.lists(st.tuples(*[st.one_of(st.none(), _TYPES[t]) for t in types]), max_size=6))
+    return rows
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.data())
+def test_fingerprint_equals_python_set_semantics(spark, data):
+    """Fingerprint equality == Python equality of the sets of row tuples
+    (1 == 1.0, '1' != 1, None == None), with arity mattering unless both empty."""
+    ta = data.draw(st.lists(st.sampled_from(list(_TYPES)), min_size=1, max_size=2))
+    tb = data.draw(st.one_of(st.just(ta), st.lists(st.sampled_from(list(_TYPES)), min_size=1, max_size=2)))
+    a, b = data.draw(_result(ta)), data.draw(_result(tb))
+    if data.draw(st.booleans()):
+        b = list(reversed(a)) + a[:1] if ta == tb else b  # same set, other order, a duplicate
+    schema = lambda ts: ", ".join(f"c{i} {t}" for i, t in enumerate(ts))
+    expect = (set(a) == set(b)) and (len(ta) == len(tb) or not a)
+    if not a and not b:
+        expect = True
+    got = fp(spark, a, schema(ta))["fp"] == fp(spark, b, schema(tb))["fp"]
+    assert got == expect, (ta, a, tb, b)
