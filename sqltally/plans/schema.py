@@ -75,3 +75,22 @@ def subset_text(spark: SparkSession, sf_dir: str, db_id: str, selected_columns:
                                           selected_columns=sel)
     lines = schema_text.column_lines(cols, m["examples"], m["pks"], example_num)
     return schema_text.database_texts(schema_text.table_texts(lines), fks)
+
+
+def cached_mschema(spark: SparkSession, sf_dir: str, example_num: int = 3, k: int = 5,
+                   cache_root: str | None = None) -> DataFrame:
+    """Database texts read from a Parquet cache when present, else built
+    and written.  The cache key holds everything the text depends on: the
+    table folder, the database/table set, example settings and the library
+    version (so a changed database list never reuses a stale text)."""
+    import hashlib
+
+    import sqltally
+    from sqltally.session import checkpoint_dir
+    from sqltally.sources.files import cached_table
+
+    layout = ";".join(f"{TB.db_of(t)}.{t}" for t in sorted(TB.STAR_TABLES + TB.TEXT_TABLES))
+    key = hashlib.sha256(f"{sf_dir}|{layout}|{example_num}|{k}|{sqltally.__version__}".encode()).hexdigest()[:16]
+    root = cache_root or f"{checkpoint_dir(spark)}/sqltally"
+    return cached_table(spark, f"{root}/mschema-{key}",
+                        lambda: mschema(spark, sf_dir, example_num, k)["databases"])

@@ -136,3 +136,14 @@ def test_prompts_by_family(spark):
         q, s, "family", {"a": "A:{question}/{evidence}", "b": "B:{db_schema}/{question}"}).collect()}
     assert p[1].prompt == "A:q1/e1" and p[2].prompt == "B:S/q2"
     assert p[3].prompt is None and p[3].template_found is False
+
+
+def test_cached_mschema_reuses_and_keys(spark):
+    from sqltally.plans import schema as S
+    from sqltally.session import scratch_path
+    root = scratch_path(spark, "mschema-cache")
+    a = S.cached_mschema(spark, "/root/testdata/sf0.001", cache_root=root).orderBy("db_id").collect()
+    b = S.cached_mschema(spark, "/root/testdata/sf0.001", cache_root=root).orderBy("db_id").collect()
+    assert [r.text for r in a] == [r.text for r in b] and len(a) == 2
+    c = S.cached_mschema(spark, "/root/testdata/sf0.001", example_num=1, cache_root=root).collect()
+    assert len(c) == 2 and {r.text for r in c} != {r.text for r in a}
