@@ -155,3 +155,21 @@ def metric_document(acc: DataFrame) -> DataFrame:
         F.struct(*[F.col(f"n_{lv}").alias(lv) for lv in levels]).alias("counts"),
         F.struct(*[F.col(f"a_{lv}").alias(lv) for lv in levels]).alias("accuracy"))
     return w.select(F.to_json(doc).alias("json"))
+
+
+def grid_text(acc: DataFrame, width: int = 20) -> DataFrame:
+    """K9 as text: a header of levels, a ``count`` row and an ``accuracy``
+    row (two decimals), every cell left-aligned in ``width`` characters."""
+    levels = LEVELS + [TOTAL]
+    w = acc.agg(*[F.max(F.when(F.col("level") == lv, F.col("n"))).alias(f"n_{lv}") for lv in levels],
+                *[F.max(F.when(F.col("level") == lv, F.col("accuracy"))).alias(f"a_{lv}") for lv in levels])
+
+    def cell(c):
+        return F.rpad(c, width, " ")
+
+    header = F.concat(cell(F.lit("")), *[cell(F.lit(lv)) for lv in levels])
+    counts = F.concat(cell(F.lit("count")), *[cell(F.coalesce(F.col(f"n_{lv}").cast("string"), F.lit("")))
+                                             for lv in levels])
+    accs = F.concat(cell(F.lit("accuracy")),
+                    *[cell(F.coalesce(F.format_string("%.2f", F.col(f"a_{lv}")), F.lit(""))) for lv in levels])
+    return w.select(F.concat_ws("\n", header, counts, accs).alias("text"))

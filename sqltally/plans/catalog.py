@@ -366,3 +366,22 @@ def q_unmatched_ids(spark, sf_dir):
     winner = _consensus(spark, sf_dir)["winner"]
     questions = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"))
     return metrics.unmatched_ids(winner, questions)
+
+
+def _grid_text_oracle(width: int = 20) -> str:
+    levels = metrics.LEVELS + [metrics.TOTAL]
+    cell = lambda e: f"rpad({e}, {width}, ' ')"
+    head = " || ".join([cell("''")] + [cell(f"'{lv}'") for lv in levels])
+    cnt = " || ".join([cell("'count'")] + [cell(f"coalesce(CAST(max(CASE WHEN level = '{lv}' THEN n END) AS VARCHAR), '')")
+                                          for lv in levels])
+    acc = " || ".join([cell("'accuracy'")] + [cell(f"coalesce(printf('%.2f', max(CASE WHEN level = '{lv}' THEN accuracy END)), '')")
+                                             for lv in levels])
+    return ("WITH " + _CANDIDATES_CTE + ", acc AS (" + _ACC_SQL.format(src="win") + ")\n"
+            f"SELECT {head} || chr(10) || {cnt} || chr(10) || {acc} AS text FROM acc")
+
+
+@register("metric_grid_text", _grid_text_oracle())
+def q_metric_grid_text(spark, sf_dir):
+    """K9 as printed text: levels, counts and accuracy to two decimals."""
+    acc = metrics.accuracy_by_difficulty(tables.with_difficulty(_consensus(spark, sf_dir)["winner"]))
+    return metrics.grid_text(acc)

@@ -68,3 +68,12 @@ def test_grid_and_document(spark):
     assert round(grid["accuracy"].total, 2) == 66.62
     doc = metrics.metric_document(acc).collect()[0].json
     assert '"counts":{"simple":925' in doc
+
+
+def test_grid_text(spark):
+    s = scores_frame(spark, (666, 278, 78))
+    text = metrics.grid_text(metrics.accuracy_by_difficulty(s)).collect()[0].text
+    lines = text.split("\n")
+    assert lines[0].split() == ["simple", "moderate", "challenging", "total"]
+    assert lines[1].split() == ["count", "925", "464", "145", "1534"]
+    assert lines[2].split() == ["accuracy", "72.00", "59.91", "53.79", "66.62"]
