@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from sqltally.session import checkpoint_dir, scratch_path, table_path
 
@@ -34,3 +38,25 @@ def col(name: str) -> Column:
 def text_of(name: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(col(name).cast("string"), F.lit(""))
+
+
+STEP_ROWS = 1024  # rows handled at once in Python: bounds what a worker holds next to its Arrow batch
+
+
+def add_column(df: DataFrame, name: str, kind: DataType, f: Callable[[pa.Array], pa.Array], source: str) -> DataFrame:
+    """``df`` with a column that ``f`` makes, batch by batch, from column ``source``.
+
+    The other columns pass as Arrow data, with their exact values and nulls; a
+    column of the same name is replaced.
+    """
+    fields = [x for x in df.schema.fields if x.name.lower() != name.lower()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.schema.names
+            for part in (b.slice(k, STEP_ROWS) for k in range(0, b.num_rows, STEP_ROWS)):
+                made = f(part.column(names.index(source)))
+                yield pa.RecordBatch.from_arrays([part.column(names.index(x.name)) for x in fields] + [made],
+                                                 names=[x.name for x in fields] + [name])
+
+    return df.mapInArrow(run, StructType(fields + [StructField(name, kind)]))

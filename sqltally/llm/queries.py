@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sqltally.llm import bpe, licenses, secrets
+from sqltally.llm import bpe, licenses, lines, secrets, toxicity
 from sqltally.llm.common import read
 
 QUERIES = {
@@ -12,8 +12,11 @@ QUERIES = {
     "op2_secret_scan": lambda spark, d: secrets.query(read(spark, d, "documents")),
     "op3_byte_bpe": lambda spark, d: bpe.query(
         read(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+    "op4_line_dedup": lambda spark, d: lines.query(read(spark, d, "documents")),
+    "op5_toxicity": lambda spark, d: toxicity.query(read(spark, d, "documents"), read(spark, d, "labels")),
 }
 
 ORACLE = {
     "op1_license_scan": licenses.oracle_sql(),
+    "op4_line_dedup": lines.ORACLE,
 }

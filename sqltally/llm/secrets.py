@@ -29,13 +29,14 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from sqltally.llm.common import col, text_of, written
+from sqltally.llm.common import add_column, col, text_of, written
 
 # The patterns of the base kinds, in their order.
 KINDS = ["assign", "access", "hex", "owned"]
@@ -45,7 +46,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # maximal runs: the same as a run of any length,
 HEX = r"[0-9a-f]{24,}"
 BARE = r"[A-Za-z0-9+/_=-]{20,}"
 
-FOUND = "array<struct<start:bigint,kind:int,end:bigint,hash:string>>"
+FOUND = ArrayType(StructType([StructField("start", LongType()), StructField("kind", IntegerType()),
+                              StructField("end", LongType()), StructField("hash", StringType())]))
 
 
 def _entropy(s: str) -> float:
@@ -75,11 +77,10 @@ def find(text: str, assign=re.compile(ASSIGN, re.I | re.A), access=re.compile(AC
     return sorted(out)
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        b["found"] = [[{"start": s, "kind": k, "end": e, "hash": hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest()}
-                       for s, k, e, v in find(t)] for t in b.pop("_text")]
-        yield b
+def _scan(texts: pa.Array) -> pa.Array:
+    digest = lambda v: hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest()
+    return pa.array([[{"start": s, "kind": k, "end": e, "hash": digest(v)} for s, k, e, v in find(t)]
+                     for t in texts.to_pylist()], to_arrow_type(FOUND))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -89,9 +90,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.monotonically_increasing_id().alias("_row"), col(id_col).alias("_id"),
         col(owner_col).cast("string").alias("_owner"), col(repo_col).cast("string").alias("_repo"),
         text_of(text_col).alias("_text"))
-    kind = dict(rows.dtypes)["_id"]
-    return written(rows.mapInPandas(_scan, f"_row bigint, _id {kind}, _owner string, _repo string, found {FOUND}"),
-                   "secret-candidates")
+    return written(add_column(rows, "found", FOUND, _scan, "_text").drop("_text"), "secret-candidates")
 
 
 def ownership(cands: DataFrame) -> DataFrame:
