@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sqltally.llm import bpe, licenses, lines, neardup, secrets, toxicity
+from sqltally.llm import bpe, licenses, lines, neardup, packing, secrets, toxicity
 from sqltally.llm.common import read
 
 QUERIES = {
@@ -15,6 +15,8 @@ QUERIES = {
     "op4_line_dedup": lambda spark, d: lines.query(read(spark, d, "documents")),
     "op5_toxicity": lambda spark, d: toxicity.query(read(spark, d, "documents"), read(spark, d, "labels")),
     "op7_order_minhash": lambda spark, d: neardup.query(read(spark, d, "documents")),
+    "op8_best_two_fit": lambda spark, d: packing.query(
+        read(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
 }
 
 ORACLE = {
