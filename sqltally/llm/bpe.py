@@ -25,7 +25,7 @@ import base64
 import functools
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
@@ -33,15 +33,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from sqltally.llm.common import col, text_of
+from sqltally.llm.common import add_column, col, text_of
 
 # A space with white space next to it: the chunks between spaces are then not
 # independent, and the text is split as a whole.
 IRREGULAR = re.compile(r"\s[ ]|[ ]\s|[ ]$")
 CACHE_ENTRIES = 300_000  # chunks and pieces that a worker remembers; others are encoded again in each batch
 CACHE_CHARS = 64
+MEMO_ENTRIES = 300_000  # remembered answers on adjacent tokens
+LETTERS_BELOW = "\u02b0"  # up to here isalpha() and the pattern's letters are the same
 
 
 class Encoder:
@@ -103,7 +105,7 @@ class Encoder:
                     if a == limit:
                         ok = True
                         break
-        if len(self.memo) >= 1_000_000:
+        if len(self.memo) >= MEMO_ENTRIES:
             self.memo.clear()
         self.memo[key] = ok
         return ok
@@ -141,10 +143,19 @@ class Encoder:
         return out
 
 
+def _ranks(blob: bytes) -> dict[bytes, int]:
+    """Token to rank, from lines of base64 token, space, rank."""
+    return {base64.b64decode(a): int(b) for a, b in (x.split() for x in blob.splitlines() if x)}
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(blob: bytes) -> Encoder:
-    """The tables of a rank file (lines of base64 token, space, rank)."""
-    return Encoder({base64.b64decode(a): int(b) for a, b in (x.split() for x in blob.splitlines() if x)})
+    return Encoder(_ranks(blob))
+
+
+@functools.lru_cache(maxsize=2)
+def decoder(blob: bytes) -> dict[int, bytes]:
+    return {r: t for t, r in _ranks(blob).items()}
 
 
 class _Memory(dict):
@@ -181,7 +192,13 @@ def encode_texts(texts: list[str], blob: bytes, pattern: str) -> list[bytes]:
     def ids(text: str) -> bytes:
         return b"".join(map(piece.__getitem__, split(text)))
 
-    chunk = _Memory(lambda c: ids(" " + c), kept_chunks)
+    def after_space(c: str) -> bytes:
+        if c.isalpha() and max(c) < LETTERS_BELOW and words_whole:
+            return piece[" " + c]
+        return ids(" " + c)
+
+    words_whole = split(" a") == [" a"] and split(" ab") == [" ab"]
+    chunk = _Memory(after_space, kept_chunks)
     out = []
     for t in texts:
         if IRREGULAR.search(t):
@@ -192,20 +209,6 @@ def encode_texts(texts: list[str], blob: bytes, pattern: str) -> list[bytes]:
     return out
 
 
-def _add(df: DataFrame, name: str, kind, f: Callable[[pa.Array], pa.Array], source: str) -> DataFrame:
-    """``df`` with a column that ``f`` makes, batch by batch, from column ``source``."""
-    fields = [x for x in df.schema.fields if x.name.lower() != name.lower()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = b.schema.names
-            made = f(b.column(names.index(source)))
-            yield pa.RecordBatch.from_arrays([b.column(names.index(x.name)) for x in fields] + [made],
-                                             names=[x.name for x in fields] + [name])
-
-    return df.mapInArrow(run, StructType(fields + [StructField(name, kind)]))
-
-
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` with ``ids_col`` array<int>, the tokens of each whole text.
 
@@ -222,7 +225,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
 
     rest = [col(c) for c in df.columns if c.lower() not in (text_col.lower(), ids_col.lower())]
     texts = df.select(*rest, text_of(text_col).alias("_encode_text"))
-    out = _add(texts, ids_col, ArrayType(IntegerType()), made, "_encode_text")
+    out = add_column(texts, ids_col, ArrayType(IntegerType()), made, "_encode_text")
     return out.drop("_encode_text")
 
 
@@ -232,10 +235,10 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
 
     def made(ids: pa.Array) -> pa.Array:
-        of = encoder(ranks.value).token.__getitem__
+        of = decoder(ranks.value).__getitem__
         return pa.array([b"".join(map(of, x or ())) for x in ids.to_pylist()], pa.binary())
 
-    return _add(df, bytes_col, BinaryType(), made, ids_col)
+    return add_column(df, bytes_col, BinaryType(), made, ids_col)
 
 
 def query(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
