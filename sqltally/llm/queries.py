@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sqltally.llm import bpe, licenses, lines, neardup, packing, secrets, toxicity
+from sqltally.llm import bpe, licenses, lines, neardup, packing, secrets, spotsigs, toxicity
 from sqltally.llm.common import read
 
 QUERIES = {
@@ -17,9 +17,11 @@ QUERIES = {
     "op7_order_minhash": lambda spark, d: neardup.query(read(spark, d, "documents")),
     "op8_best_two_fit": lambda spark, d: packing.query(
         read(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
+    "op10_spotsigs": lambda spark, d: spotsigs.query(read(spark, d, "documents")),
 }
 
 ORACLE = {
     "op1_license_scan": licenses.oracle_sql(),
     "op4_line_dedup": lines.ORACLE,
+    "op10_spotsigs": spotsigs.ORACLE,
 }
