@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sqltally.llm import bpe, licenses, lines, neardup, packing, secrets, spotsigs, toxicity
+from sqltally.llm import bpe, hamming, licenses, lines, neardup, packing, quality, secrets, spotsigs, toxicity
 from sqltally.llm.common import read
 
 QUERIES = {
@@ -14,14 +14,18 @@ QUERIES = {
         read(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
     "op4_line_dedup": lambda spark, d: lines.query(read(spark, d, "documents")),
     "op5_toxicity": lambda spark, d: toxicity.query(read(spark, d, "documents"), read(spark, d, "labels")),
+    "op6_quality_bayes": lambda spark, d: quality.query(read(spark, d, "documents"), read(spark, d, "labels")),
     "op7_order_minhash": lambda spark, d: neardup.query(read(spark, d, "documents")),
     "op8_best_two_fit": lambda spark, d: packing.query(
         read(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
+    "op9_hamming_topk": lambda spark, d: hamming.query(read(spark, d, "embeddings")),
     "op10_spotsigs": lambda spark, d: spotsigs.query(read(spark, d, "documents")),
 }
 
 ORACLE = {
     "op1_license_scan": licenses.oracle_sql(),
     "op4_line_dedup": lines.ORACLE,
+    "op6_quality_bayes": quality.oracle_sql(),
+    "op9_hamming_topk": hamming.ORACLE,
     "op10_spotsigs": spotsigs.ORACLE,
 }
