@@ -307,3 +307,8 @@ def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def query(docs: DataFrame) -> DataFrame:
     return classes(docs)
+
+
+def stage(docs: DataFrame) -> DataFrame:
+    """The pipeline's form: one document of each class."""
+    return distinct(docs)

@@ -47,7 +47,8 @@ HEX = r"[0-9a-f]{24,}"
 BARE = r"[A-Za-z0-9+/_=-]{20,}"
 
 FOUND = ArrayType(StructType([StructField("start", LongType()), StructField("kind", IntegerType()),
-                              StructField("end", LongType()), StructField("hash", StringType())]))
+                              StructField("end", LongType()), StructField("hash", StringType()),
+                              StructField("length", LongType())]))
 
 
 def _entropy(s: str) -> float:
@@ -62,7 +63,10 @@ def _looks_random(s: str) -> bool:
 
 def find(text: str, assign=re.compile(ASSIGN, re.I | re.A), access=re.compile(ACCESS), hexa=re.compile(HEX),
          bare=re.compile(BARE)) -> list[tuple[int, int, int, str]]:
-    """(start, kind, end, secret) of all candidates in one text, by start, then kind."""
+    """(start, kind, end, secret) of all candidates in one text, by start, then kind.
+
+    A secret is the end of its span.
+    """
     out = [(m.start(), 0, m.end(), m.group(2)) for m in assign.finditer(text) if len(m.group(2)) >= ASSIGN_MIN]
     out += [(m.start(), 1, m.end(), m.group()) for m in access.finditer(text)]
     out += [(m.start(), 2, m.end(), m.group()) for m in hexa.finditer(text)]
@@ -79,7 +83,7 @@ def find(text: str, assign=re.compile(ASSIGN, re.I | re.A), access=re.compile(AC
 
 def _scan(texts: pa.Array) -> pa.Array:
     digest = lambda v: hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest()
-    return pa.array([[{"start": s, "kind": k, "end": e, "hash": digest(v)} for s, k, e, v in find(t)]
+    return pa.array([[{"start": s, "kind": k, "end": e, "hash": digest(v), "length": len(v)} for s, k, e, v in find(t)]
                      for t in texts.to_pylist()], to_arrow_type(FOUND))
 
 
@@ -105,8 +109,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
          repo_col: str = "doc_id", example_owners: int = 5) -> DataFrame:
     """One row per row of ``docs``: (id, spans).
 
-    ``spans`` is array<struct<start, kind, end, hash, n_owners, n_repos, cls>>
-    by start, then kind; ``cls`` is ``live`` (one owner), ``example``
+    ``spans`` is array<struct<start, kind, end, hash, length, n_owners, n_repos, cls>>
+    by start, then kind (``length``: of the secret at the span's end); ``cls`` is ``live`` (one owner), ``example``
     (``example_owners`` or more) or ``shared``.  Bare tokens are kept where
     they are ``live``.
     """
@@ -117,12 +121,43 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     marked = (cands.select("_row", F.explode("found").alias("f")).select("_row", "f.*").join(spread, "hash")
               .withColumn("cls", cls).where((F.col("kind") < 3) | (F.col("cls") == "live"))
               .groupBy("_row").agg(F.array_sort(F.collect_list(
-                  F.struct("start", "kind", "end", "hash", "n_owners", "n_repos", "cls"))).alias("spans")))
+                  F.struct("start", "kind", "end", "hash", "length", "n_owners", "n_repos", "cls"))).alias("spans")))
     empty = F.array().cast(marked.schema["spans"].dataType)
     return (cands.select("_row", F.col("_id").alias(id_col)).join(marked, "_row", "left")
             .select(col(id_col), F.coalesce("spans", empty).alias("spans")))
 
 
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
+           repo_col: str = "doc_id", example_owners: int = 5) -> DataFrame:
+    """``docs`` with each secret in its texts replaced by ``[example]`` (copied by many owners) or ``[secret]``.
+
+    Every row stays; a null text stays null.  What a text holds and how far it
+    is spread depend on the text alone, so rows meet their spans by its digest.
+    """
+    digest = F.sha2(text_of(text_col), 256).alias("_digest")
+    keyed = docs.select("*", digest)
+    spans = (scan(keyed, "_digest", text_col, owner_col, repo_col, example_owners).where(F.size("spans") > 0)
+             .dropDuplicates(["_digest"]))
+    rows = keyed.join(spans.select("_digest", F.col("spans").alias("_spans")), "_digest", "left")
+    rows = rows.withColumn("_work", F.struct(text_of(text_col).alias("text"), "_spans"))
+    out = add_column(rows.drop("_digest", "_spans"), "_redacted", StringType(), _redacted, "_work")
+    return out.select(*[F.when(col(c).isNotNull(), F.col("_redacted")).alias(c) if c == text_col else col(c)
+                        for c in docs.columns])
+
+
+def _redacted(work: pa.Array) -> pa.Array:
+    out = []
+    for w in work.to_pylist():
+        text, done, parts = w["text"], 0, []
+        for s in w["_spans"] or ():
+            start = s["end"] - s["length"]
+            if start >= done:
+                parts += [text[done:start], "[example]" if s["cls"] == "example" else "[secret]"]
+                done = s["end"]
+        out.append("".join([*parts, text[done:]]))
+    return pa.array(out, pa.string())
+
+
 def span_text(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(
@@ -137,3 +172,9 @@ def query(docs: DataFrame) -> DataFrame:
     return s.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
                     F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"),
                     of("live").alias("n_live"), of("example").alias("n_example"))
+
+
+def stage(docs: DataFrame) -> DataFrame:
+    """The pipeline's form: secrets replaced, ``n_chars`` counted anew where it is there."""
+    out = redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in out.columns else out
