@@ -75,12 +75,16 @@ class Encoder:
         """Finds the last merge of a token: its halves stand next to each other under the earlier ranks."""
         for n in range(1, len(t)):
             a, b = self.ranks.get(t[:n], r), self.ranks.get(t[n:], r)
-            if a < r and b < r and self.fits(a, b):
+            if a < r and b < r and self._merged(a) and self._merged(b) and self.fits(a, b):
                 self.left[r], self.right[r], self.merged[a, b] = a, b, r
                 self.memo.pop((a, b), None)
                 return True
         return False
 
+    def _merged(self, r: int) -> bool:
+        """Whether merges lead to a token."""
+        return self.length[r] == 1 or self.left[r] != r
+
     def fits(self, a: int, b: int) -> bool:
         """Whether BPE can leave tokens a and b side by side."""
         known = self.memo.get((a, b))

@@ -53,8 +53,9 @@ SENTENCES = {
     "gpl-copy": (
         "You should have received a copy of the GNU General Public License along with this program"),
     "apache2-line": "Licensed under the Apache License, Version 2.0",
-    "apache2-grant": "Licensed under the Apache License, Version 2.0 (the \"License\")",
-    "apache2-use": "you may not use this file except in compliance with the License",
+    "apache2-grant": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+        "compliance with the License"),
     "apache2-copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "cc-by-nc-4-line": "Licensed under CC BY-NC 4.0",
     "cc-by-4-line": "Licensed under CC BY 4.0",
@@ -75,7 +76,7 @@ SENTENCES = {
     "isc-grant": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
         "hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    "mpl2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "mpl2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
     "unlicense": "This is free and unencumbered software released into the public domain",
     "cc0-line": "Released under CC0 1.0",
     "public-domain": "This work is in the public domain",
@@ -97,7 +98,6 @@ RULES = [
     ("MIT", ["mit-grant", "mit-notice"]),
     ("MIT", ["mit-line"]),
     ("MIT", ["mit-licensed"]),
-    ("Apache-2.0", ["apache2-grant", "apache2-use"]),
     ("Apache-2.0", ["apache2-grant"]),
     ("Apache-2.0", ["apache2-line"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4-line"]),
@@ -112,9 +112,11 @@ RULES = [
 ]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# A sentence ends at closing marks before white space, at an empty line, and
-# at a line end before a capitalised word; other line ends are wrapped lines.
-END_MARKS = r"[.!?;:]+[ \t\r\n]+"
+# A sentence ends at closing marks before white space, before a numbered item, at
+# an empty line, and at a line end before a capitalised word; other line ends are
+# wrapped lines.
+END_MARKS = r"[.!?]+[ \t\r\n]+"
+LIST_ITEM = r"\r?\n[ \t]*[0-9]+[.)][ \t]+"
 EMPTY_LINE = r"\r?\n[ \t]*\r?\n"
 NEW_LINE_WORD = r"\r?\n([A-Z][a-z])"
 NOT_WORD = "[^a-z0-9\u0001]+"
@@ -133,7 +135,7 @@ def known() -> list[tuple[str, str]]:
 
 def sentences(text: Column) -> Column:
     """array<string>: the normalised sentences of a text, in order."""
-    cut = F.regexp_replace(text, END_MARKS, "\u0001")
+    cut = F.regexp_replace(F.regexp_replace(text, LIST_ITEM, "\u0001"), END_MARKS, "\u0001")
     cut = F.regexp_replace(cut, EMPTY_LINE, "\u0001")
     cut = F.regexp_replace(cut, NEW_LINE_WORD, "\u0001$1")
     words = F.regexp_replace(F.translate(cut, UPPER, LOWER), NOT_WORD, " ")
@@ -204,7 +206,8 @@ def oracle_sql() -> str:
     return f"""
 WITH known(sentence, id) AS (VALUES {pairs}),
 docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
-cut AS (SELECT row, doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{END_MARKS}', chr(1), 'g'),
+cut AS (SELECT row, doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+    '{LIST_ITEM}', chr(1), 'g'), '{END_MARKS}', chr(1), 'g'),
     '{EMPTY_LINE}', chr(1), 'g'), '{NEW_LINE_WORD}', chr(1) || '\\1', 'g') AS text FROM docs),
 words AS (SELECT row, doc_id, string_split(regexp_replace(translate(text, '{UPPER}', '{LOWER}'),
     '[^a-z0-9' || chr(1) || ']+', ' ', 'g'), chr(1)) AS parts FROM cut),
