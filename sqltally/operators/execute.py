@@ -21,6 +21,7 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,7 +130,7 @@ def statement_key(db_id: Column, sql: Column) -> Column:
 def _error_row(e: Exception) -> dict:
     cond = e.getCondition() if hasattr(e, "getCondition") else None
     return {"status": "error", "detail": category_of_condition(cond),
-            "message": (cond or type(e).__name__) + ": " + str(e)[:300]}
+            "message": (cond or type(e).__name__) + ": " + str(e)}
 
 
 def _with_deadline(sc, timeout: float | None, fn):
@@ -196,8 +197,8 @@ def run_batch(db: Database, items: list[tuple[str, str]], timeout: float | None)
 
     Each statement is analysed alone (errors need no job); the analysed ones
     are hashed and fingerprinted together, grouped by statement key.  If the
-    job fails or misses the deadline, every statement is run alone, so a bad
-    or slow statement gets its own status and the others their results.
+    job fails or misses the sum of their deadlines, every statement is run
+    alone, so a bad or slow statement gets its own status and the others theirs.
     """
     out, analysed = [], []
     for key, sql in items:
@@ -216,7 +217,8 @@ def run_batch(db: Database, items: list[tuple[str, str]], timeout: float | None)
         union = union.unionAll(p_)
     summary = grouped_fingerprint_of_hashes(union, ["stmt_key"])
     t0 = time.time()
-    rows, err, _ = _with_deadline(db.session.sparkContext, timeout, summary.collect)
+    limit = timeout * len(analysed) if timeout else timeout
+    rows, err, _ = _with_deadline(db.session.sparkContext, limit, summary.collect)
     if err is not None:
         return out + [{**run_one(db, sql, timeout), "stmt_key": key} for key, sql, _ in analysed]
     elapsed = time.time() - t0
@@ -248,18 +250,25 @@ def run_workload(spark: SparkSession, statements: DataFrame, databases: dict,
     ``spark.checkpoint.dir``) makes the run resumable; results are appended
     every ``batch_size`` statements.
 
-    Sharing jobs pays off for many light statements.  A shared job has the
-    per-statement deadline; when it misses it, its statements run again one
-    by one, so for statements that each take a large part of the deadline
-    (big tables) use ``statements_per_job=1``.
+    Sharing jobs pays off for many light statements.  A shared job has as much
+    time as its statements have together; when it misses that, they run again
+    one by one, each under its own deadline.
+
+    The statements are written before the first one runs: a frame that comes
+    from a sampling model must not be evaluated twice.  Stored timeouts and
+    errors that are not the statement's own (e.g. a lost executor) run again.
     """
     results_path = results_path or scratch_path(spark, "workload")
-    keyed = statements.withColumn("stmt_key", statement_key(F.col("db_id"), F.col("sql")))
+    keyed_path = scratch_path(spark, "statements")
+    statements.withColumn("stmt_key", statement_key(F.col("db_id"), F.col("sql"))).write.parquet(keyed_path)
+    keyed = spark.read.parquet(keyed_path)
     todo = keyed.filter(F.col("sql").isNotNull()).select("stmt_key", "db_id", "sql") \
                 .dropDuplicates(["stmt_key"])
     done = _read_results(spark, results_path)
     if done is not None:
-        todo = todo.join(done.select("stmt_key"), "stmt_key", "left_anti")
+        final = _latest(done).filter((F.col("status") == "success") | (F.col("status") == "error")
+                                     & (F.coalesce("detail", F.lit("others")) != "others"))
+        todo = todo.join(final.select("stmt_key"), "stmt_key", "left_anti")
 
     pending: list[dict] = []
 
@@ -300,7 +309,7 @@ def run_workload(spark: SparkSession, statements: DataFrame, databases: dict,
     results = _read_results(spark, results_path)
     if results is None:
         results = spark.createDataFrame([], RESULT_SCHEMA)
-    out = keyed.join(results.dropDuplicates(["stmt_key"]), "stmt_key", "left")
+    out = keyed.join(_latest(results), "stmt_key", "left")
     return out.withColumn("status", F.when(F.col("sql").isNull(), F.lit("no_sql")).otherwise(F.col("status"))) \
               .withColumn("valid", F.coalesce(F.col("status") == "success", F.lit(False)))
 
@@ -315,9 +324,20 @@ def _rows(futures) -> list[dict]:
 
 def _read_results(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.schema(RESULT_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001 - nothing written yet
-        return None
+        return spark.read.schema(RESULT_SCHEMA).parquet(path).withColumn("_at", F.col("_metadata.file_modification_time"))
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":  # nothing written yet
+            return None
+        raise
+
+
+def _latest(results: DataFrame) -> DataFrame:
+    """The last stored result of each statement; a success counts before any failure."""
+    if "_at" not in results.columns:
+        return results
+    names = [c for c in results.columns if c not in ("stmt_key", "_at")]
+    order = F.struct((F.col("status") == "success").cast("int"), F.col("_at"))
+    return results.groupBy("stmt_key").agg(F.max_by(F.struct(*names), order).alias("r")).select("stmt_key", "r.*")
 
 
 def status_summary(execs: DataFrame) -> DataFrame:

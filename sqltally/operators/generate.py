@@ -38,8 +38,16 @@ def generate_candidates(prompts: DataFrame, fn: Callable, n: int,
     """G8 (+G9/G10 in the callable wrapper): ``(question_id, ord, response)``.
 
     With ``max_attempts > 1`` a prompt is asked again, up to that many times
-    (always bounded), while none of its responses passes ``is_valid``.
+    (always bounded), while none of its responses passes ``is_valid``.  The
+    callable must return one list for each prompt; a prompt without responses
+    keeps one row, candidate 0 with a NULL response.
     """
+    def ask(texts):
+        outs = fn(texts, n)
+        if len(outs) != len(texts):
+            raise ValueError(f"the model returned {len(outs)} lists for {len(texts)} prompts")
+        return outs
+
     src = prompts.select("question_id", "prompt")
     if partitions:
         src = src.repartition(partitions)
@@ -48,16 +56,17 @@ def generate_candidates(prompts: DataFrame, fn: Callable, n: int,
         import pandas as pd
         for pdf in batches:
             texts = pdf["prompt"].fillna("").tolist()
-            outs = fn(texts, n)
+            outs = list(ask(texts))
             for _ in range(max_attempts - 1):
                 retry = [i for i, o in enumerate(outs) if not any(is_valid(r) for r in o)]
                 if not retry:
                     break
-                again = fn([texts[i] for i in retry], n)
-                for i, o in zip(retry, again):
+                again = ask([texts[i] for i in retry])
+                for i, o in zip(retry, again, strict=True):
                     outs[i] = o
             qids = pdf["question_id"].tolist()
-            rows = [(q, j, r) for q, o in zip(qids, outs) for j, r in enumerate(o)]
+            rows = [(q, j, r) for q, o in zip(qids, outs, strict=True)
+                    for j, r in enumerate(o if len(o) else [None])]
             yield pd.DataFrame(rows, columns=["question_id", "ord", "response"]).astype(
                 {"question_id": "int64", "ord": "int32"})
 
@@ -65,15 +74,15 @@ def generate_candidates(prompts: DataFrame, fn: Callable, n: int,
 
 
 def first_valid_attempt(attempts: DataFrame, key: str = "question_id", attempt_col: str = "attempt",
-                        response_col: str = "response", max_attempts: int = 3) -> DataFrame:
-    """G9/G10 in table form: the first attempt (within ``max_attempts``) whose
-    response holds a statement; questions without one keep ``sql`` NULL.
+                        response_col: str = "response") -> DataFrame:
+    """G9/G10 in table form: the first attempt whose response holds a
+    statement; questions without one keep ``sql`` NULL.  All logged attempts
+    count: the bound on asking belongs to :func:`generate_candidates`.
 
     A grouped ``min_by`` (partial aggregation) instead of a window, so one
     question with very many attempts is still split across tasks.
     """
-    a = attempts.filter(F.col(attempt_col) < max_attempts) \
-                .withColumn("_sql", extract_sql(F.col(response_col)))
+    a = attempts.withColumn("_sql", extract_sql(F.col(response_col)))
     return a.groupBy(key).agg(
         F.min_by("_sql", F.when(F.col("_sql").isNotNull(), F.col(attempt_col))).alias("sql"),
         F.min(F.when(F.col("_sql").isNotNull(), F.col(attempt_col))).alias("attempt"),

@@ -22,11 +22,14 @@ TOTAL = "total"
 
 
 def attach_difficulty(scores: DataFrame, questions: DataFrame | None) -> DataFrame:
-    """M6: pair scores with question rows by id (inner: both must exist)."""
+    """M6: every question row with its score; a question without a score gets 0
+    in each numeric column, so that it stays in the denominator.  Scores whose
+    question is unknown are reported by :func:`unmatched_ids`."""
     if questions is None:
         return scores
-    return scores.drop("difficulty").join(
-        questions.select("question_id", "difficulty"), "question_id")
+    paired = questions.select("question_id", "difficulty").join(scores.drop("difficulty"), "question_id", "left")
+    numeric = [c for c, t in scores.dtypes if c != "question_id" and t in ("int", "bigint", "smallint", "tinyint", "double")]
+    return paired.fillna(0, subset=numeric) if numeric else paired
 
 
 def _ratio(num: str, den: str, scale: float) -> F.Column:

@@ -100,8 +100,10 @@ def _sort_keys(c, dtype):
         return F.unix_date(c).cast("decimal(38,0)"), None, None
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(c.cast("timestamp")).cast("decimal(38,0)"), None, None
-    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return None, c.cast("double"), None
+    if isinstance(dtype, T.DecimalType):  # values that share a double stay apart by their digits
+        return None, c.cast("double"), c.cast("string")
     if isinstance(dtype, T.BinaryType):
         return None, None, F.hex(c)
     return None, None, c.cast("string")

@@ -37,14 +37,18 @@ ERROR_SQL = "Error SQL"
 
 def candidate_slice(flat: DataFrame, n: int, index_col: str = "idx") -> DataFrame:
     """V1: a flat, position-indexed candidate list back to (question, ord)."""
-    return flat.withColumn("question_id", F.floor(F.col(index_col) / F.lit(n)).cast("bigint")) \
+    return flat.withColumn("question_id", F.expr(f"`{index_col}` div {int(n)}").cast("bigint")) \
                .withColumn("ord", (F.col(index_col) % F.lit(n)).cast("int"))
 
 
 def explode_candidates(prompts: DataFrame, array_col: str = "pred_sqls") -> DataFrame:
-    """V1: one row per candidate from an ``ARRAY<STRING>`` column."""
+    """V1: one row per candidate from an ``ARRAY<STRING>`` column.
+
+    A question whose list is empty or NULL keeps one row, candidate 0 without a
+    statement, so that it still counts as a question answered wrongly."""
     others = [c for c in prompts.columns if c != array_col]
-    return prompts.select(*others, F.posexplode(array_col).alias("ord", "sql"))
+    out = prompts.select(*others, F.posexplode_outer(array_col).alias("ord", "sql"))
+    return out.withColumn("ord", F.coalesce("ord", F.lit(0)))
 
 
 def label_correct(execs: DataFrame, gold: DataFrame, empty_gold_counts: bool = False) -> DataFrame:

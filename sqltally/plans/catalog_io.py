@@ -22,17 +22,18 @@ from sqltally.sources import files, sinks
 from sqltally.streaming import incremental as INC
 
 WS = T.PY_SPACE
+TURNS = 1 << 32  # ids are conversation * TURNS + turn
 
 
 def _predictions(spark, sf_dir):
     r = TB.model_responses(spark, sf_dir)
-    return r.select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"),
+    return r.select((F.col("conv_id") * TURNS + F.col("turn")).alias("question_id"),
                     T.extract_sql("response").alias("sql"),
                     F.when(F.col("conv_id") % 2 == 0, F.lit("star")).otherwise(F.lit("text")).alias("db_id"))
 
 
 _PRED_ORACLE = f"""
-SELECT CAST(conv_id * 100 + turn AS BIGINT) AS question_id, sql,
+SELECT CAST(conv_id * {TURNS} + turn AS BIGINT) AS question_id, sql,
        CASE WHEN sql IS NULL THEN NULL WHEN conv_id % 2 = 0 THEN 'star' ELSE 'text' END AS db_id,
        CASE WHEN sql IS NULL THEN 'no_sql' ELSE 'ok' END AS status
 FROM ({_EXTRACT}) e
@@ -96,14 +97,14 @@ def q_questions_roundtrip(spark, sf_dir):
     return files.read_questions(spark, path)
 
 
-@register("progress_roundtrip", """
-SELECT CAST(conv_id * 100 + turn AS BIGINT) AS idx, role || ': ' || CAST(length(text) AS VARCHAR) AS value
+@register("progress_roundtrip", f"""
+SELECT CAST(conv_id * {TURNS} + turn AS BIGINT) AS idx, role || ': ' || CAST(length(text) AS VARCHAR) AS value
 FROM conversations
 """)
 def q_progress_roundtrip(spark, sf_dir):
     """K3 appends (two runs) -> S6 (JSON Lines, VARIANT values)."""
     c = TB.read(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), "turn",
+        (F.col("conv_id") * TURNS + F.col("turn")).alias("question_id"), "turn",
         F.concat("role", F.lit(": "), F.length("text").cast("string")).alias("value"))
     path = scratch_path(spark, "progress")
     sinks.append_progress(c.filter(F.col("turn") < 2), path)
@@ -134,9 +135,9 @@ def q_schema_roundtrip(spark, sf_dir):
 
 # --- streaming forms ---
 
-def _split_files(df, name, spark, n=4):
+def _split_files(df, name, spark):
     path = scratch_path(spark, name)
-    df.repartition(n).write.parquet(path)
+    df.write.parquet(path)
     return path, df.schema
 
 

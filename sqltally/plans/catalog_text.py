@@ -20,7 +20,6 @@ from sqltally.plans.catalog_schema import _db_sql, _fk_values, _lines_sql, _q, _
 WS = T.PY_SPACE
 NL = "chr(10)"
 N_CANDIDATES = 4
-MAX_ATTEMPTS = 6
 
 _RESP = f"""
 SELECT conv_id, turn,
@@ -221,14 +220,14 @@ def q_generate_candidates(spark, sf_dir):
 @register("first_valid_attempt", f"""
 SELECT a.conv_id, v.sql, v.attempt, a.n_attempts FROM (
   SELECT conv_id, CAST(count(*) AS BIGINT) AS n_attempts FROM ({_EXTRACT}) e
-  WHERE turn < {MAX_ATTEMPTS} GROUP BY conv_id) a
+  GROUP BY conv_id) a
 LEFT JOIN (
   SELECT conv_id, arg_min(sql, turn) AS sql, min(turn) AS attempt FROM ({_EXTRACT}) e
-  WHERE turn < {MAX_ATTEMPTS} AND sql IS NOT NULL GROUP BY conv_id) v ON a.conv_id = v.conv_id
+  WHERE sql IS NOT NULL GROUP BY conv_id) v ON a.conv_id = v.conv_id
 """)
 def q_first_valid_attempt(spark, sf_dir):
     r = TB.model_responses(spark, sf_dir).withColumnRenamed("turn", "attempt")
-    out = generate.first_valid_attempt(r, key="conv_id", max_attempts=MAX_ATTEMPTS)
+    out = generate.first_valid_attempt(r, key="conv_id")
     return out.select("conv_id", "sql", "attempt", F.col("n_attempts").cast("bigint").alias("n_attempts"))
 
 

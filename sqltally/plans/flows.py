@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from sqltally.functions.text import extract_sql, pack
 from sqltally.operators import compare, execute, generate, metrics, prompts, vote
 from sqltally.plans.consensus import vote_and_score
+from sqltally.session import scratch_path
 from sqltally.sources import files
 
 
@@ -43,14 +44,23 @@ def evaluate_files(spark: SparkSession, predictions_path: str, gold_path: str, q
             "unmatched": metrics.unmatched_ids(scores, questions)}
 
 
+def _stored(spark: SparkSession, responses: DataFrame) -> DataFrame:
+    """The model's responses, written once and read from then on: a sampling
+    model must not be asked again by a later action or a lost task."""
+    path = scratch_path(spark, "responses")
+    responses.write.parquet(path)
+    return spark.read.schema(responses.schema).parquet(path)
+
+
 def generate_and_vote(spark: SparkSession, prompt_table: DataFrame, questions: DataFrame, fn: Callable,
                       n: int, databases: dict, timeout: float = 30.0,
                       results_path: str | None = None) -> dict:
     """Flow B.  ``prompt_table(question_id, db_id, prompt)``,
     ``questions(question_id, gold_sql, difficulty)``."""
-    responses = generate.generate_candidates(prompt_table, fn, n)
-    cands = responses.join(prompt_table.select("question_id", "db_id"), "question_id") \
-                     .select("question_id", "ord", "db_id", extract_sql("response").alias("sql"))
+    responses = _stored(spark, generate.generate_candidates(prompt_table, fn, n))
+    cands = prompt_table.select("question_id", "db_id").join(responses, "question_id", "left") \
+                        .select("question_id", F.coalesce("ord", F.lit(0)).alias("ord"), "db_id",
+                                extract_sql("response").alias("sql"))
     golds = questions.join(prompt_table.select("question_id", "db_id"), "question_id") \
                      .select("question_id", F.lit(-1).alias("ord"), "db_id", F.col("gold_sql").alias("sql"))
     execs = execute.run_workload(spark, cands.unionByName(golds), databases, timeout=timeout,
@@ -69,7 +79,7 @@ def generate_sql(spark: SparkSession, questions: DataFrame, schemas: DataFrame,
     when no attempt produced a statement)."""
     p = (prompts.build_prompts(questions, schemas, template) if template
          else prompts.combined_prompt(questions, schemas))
-    responses = generate.generate_candidates(p, fn, 1, max_attempts=max_attempts)
-    out = responses.join(p.select("question_id", "db_id"), "question_id") \
-                   .select("question_id", "db_id", extract_sql("response").alias("sql"))
+    responses = _stored(spark, generate.generate_candidates(p, fn, 1, max_attempts=max_attempts))
+    out = p.select("question_id", "db_id").join(responses, "question_id", "left") \
+           .select("question_id", "db_id", extract_sql("response").alias("sql"))
     return out.withColumn("packed", pack(F.col("sql"), F.col("db_id")))

@@ -49,7 +49,7 @@ def event_executions(spark: SparkSession, sf_dir: str,
                      n: int = CANDIDATES_PER_QUESTION) -> DataFrame:
     """Candidate executions with voting correctness (empty gold never right)."""
     ev = read(spark, sf_dir, "events").select("event_id", "event_type")
-    qid = F.floor(F.col("event_id") / F.lit(n)).cast("bigint")
+    qid = F.expr(f"event_id div {int(n)}").cast("bigint")
     valid = F.coalesce(F.col("event_type") != F.lit("error"), F.lit(False))
     gold_pos = (qid % 5).cast("int")
     correct = valid & (gold_pos != EMPTY_GOLD_POS) & (F.col("event_type") == gold_fp_of(qid))

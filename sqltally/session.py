@@ -11,7 +11,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 # Settings a session needs for this library; applied only when not already set,
@@ -25,14 +27,18 @@ DEFAULT_CONF = {
     "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Arrow batches handed to Python (example scan, generation) stay bounded
-    # even when rows carry whole documents
+    # Arrow batches handed to Python (example scan, generation) are bounded by
+    # rows and by bytes, since a row may carry a whole document
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.ui.enabled": "false",
     "spark.scheduler.mode": "FAIR",
 }
 
 
+_SHIPPED: set = set()  # applications whose executors have the package
+
+
 def get_session(master: str | None = None, app: str = "sqltally",
                 shuffle_partitions: int | None = None,
                 extra: dict | None = None) -> SparkSession:
@@ -42,14 +48,37 @@ def get_session(master: str | None = None, app: str = "sqltally",
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
+    given = SparkContext._active_spark_context.getConf() if SparkContext._active_spark_context else SparkConf()
+    conf = {k: v for k, v in conf.items() if not given.contains(k)} | (extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    ship_package(spark)
     checkpoint_dir(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives executors this package, where they don't have it on their path.
+
+    Python functions of the operators are pickled by reference, so a worker
+    must be able to import the package."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="sqltally-package-")  # the driver serves it to the executors
+    path = os.path.join(folder, "sqltally.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    z.write(full, os.path.join("sqltally", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
@@ -62,6 +91,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir is None:
         conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if conf_dir is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="sqltally-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if current is None:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,12 +100,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_progress_log(spark: SparkSession, path: str) -> DataFrame:
     """JSON Lines ``{"<idx>": value}`` -> ``idx, value (VARIANT)``; a
-    repeated idx keeps its last record in file order."""
+    repeated idx keeps its last record: files by their time of writing (their
+    names are random), records of a file by their place in it."""
+    m = F.col("_metadata")
     src = spark.read.text(path).select(
-        F.input_file_name().alias("_f"), F.monotonically_increasing_id().alias("_o"), "value")
-    kv = src.select("_f", "_o", F.explode(_as_map("value")).alias("key", "v"))
+        m["file_modification_time"].alias("_t"), m["file_name"].alias("_f"), m["file_block_start"].alias("_b"),
+        F.monotonically_increasing_id().alias("_o"), "value")
+    kv = src.select("_t", "_f", "_b", "_o", F.explode(_as_map("value")).alias("key", "v"))
     return kv.groupBy(F.col("key").cast("bigint").alias("idx")).agg(
-        F.max_by("v", F.struct("_f", "_o")).alias("value"))
+        F.max_by("v", F.struct("_t", "_f", "_b", "_o")).alias("value"))
 
 
 def cached_table(spark: SparkSession, path: str, compute: Callable[[], DataFrame],
@@ -113,10 +117,13 @@ def cached_table(spark: SparkSession, path: str, compute: Callable[[], DataFrame
     and read it back.  Put everything the result depends on into ``path``
     (e.g. a hash of the database list) so a stale table is never reused."""
     try:
+        spark.read.text(f"{path}/_SUCCESS")  # a finished write
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent: build it
-        compute().write.mode(mode).parquet(path)
-        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    compute().write.mode(mode).parquet(path)
+    return spark.read.parquet(path)
 
 
 _FIELD = T.StructType([
