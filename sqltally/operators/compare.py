@@ -48,7 +48,9 @@ def diff_results(a: DataFrame, b: DataFrame, sep: str = "|") -> DataFrame:
 
     Rows are shown as their canonical cells joined by ``sep``.
     """
-    ra, rb = result_set(a), result_set(b)
-    only_a = ra.join(rb, "row", "left_anti").select(F.lit("a_only").alias("side"), "row")
-    only_b = rb.join(ra, "row", "left_anti").select(F.lit("b_only").alias("side"), "row")
-    return only_a.unionByName(only_b).select("side", F.array_join("row", sep).alias("row_text"))
+    # one grouping of both sides: each side is scanned and shuffled once
+    both = (result_set(a).withColumn("_in_b", F.lit(0)).unionByName(result_set(b).withColumn("_in_b", F.lit(1)))
+            .groupBy("row").agg(F.min("_in_b").alias("_first"), F.max("_in_b").alias("_last")))
+    side = F.when(F.col("_last") == 0, F.lit("a_only")).otherwise(F.lit("b_only"))
+    return both.where(F.col("_first") == F.col("_last")).select(
+        side.alias("side"), F.array_join("row", sep).alias("row_text"))
