@@ -22,12 +22,13 @@ looked at.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
-import zlib
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,7 @@ from sqltally.llm.common import add_column, col, text_of
 BUCKETS, DIM, LOW_N, HIGH_N = 1 << 20, 8, 3, 6
 MAX_ROWS = 8_000
 CACHE_WORDS = 500_000
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = re.compile(r"\w+").findall
 
 
@@ -48,17 +50,46 @@ def words(text: str) -> list[str]:
     return _WORDS(text.lower())
 
 
-def grams(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of a word's n-grams and of the word itself."""
-    w = f"<{word}>"
-    cut = [w[i:i + n] for n in range(LOW_N, HIGH_N + 1) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in [*cut, w]]
+def grams(some: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket): the n-grams of the words in ``<word>`` form and the words whole, as positions and buckets.
+
+    Polynomial hashes of code points, all words at once.
+    """
+    codes = np.frombuffer("".join(f"<{w}>" for w in some).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.array([len(w) + 2 for w in some], np.int64)
+    ends = np.cumsum(size)
+    row = np.repeat(np.arange(len(some)), size)
+    left = ends[row] - np.arange(len(codes))  # characters from here to the end of the word
+    powers = np.cumprod(np.full(int(size.max(initial=1)), _PRIME))
+    whole = np.add.reduceat(codes * powers[size[row] - left], ends - size) if len(some) else codes
+    rows, found = [np.arange(len(some))], [whole]
+    for n in range(LOW_N, HIGH_N + 1):
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            h = h * _PRIME + codes[at + k]
+        rows.append(row[at])
+        found.append(h)
+    h = np.concatenate(found)
+    h = (h ^ (h >> np.uint64(31))) * _PRIME
+    return np.concatenate(rows), ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
 @dataclass
 class Model:
     weights: np.ndarray  # one for each bucket: log odds of label 1 that an n-gram adds
     bias: float
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)  # tells models apart in the workers' caches
+
+    def of_words(self, some: list[str]) -> np.ndarray:
+        """The log odds that each word adds: the mean over its n-grams."""
+        row, bucket = grams(some)
+        return np.bincount(row, self.weights[bucket], len(some)) / np.maximum(1, np.bincount(row, minlength=len(some)))
+
+
+@functools.lru_cache(maxsize=1)
+def _known(name: str) -> dict[str, float]:
+    return {}
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -96,23 +127,14 @@ def _features(rows: pd.DataFrame, y: np.ndarray, min_docs: int, min_z: float) ->
     classes by ``min_z`` standard errors are trained; the others would only
     learn single texts by heart, and their embeddings stay zero.
     """
-    of: dict[str, np.ndarray] = {}
     texts, df = [], np.zeros((2, BUCKETS), np.int32)
     for ws, cs, label in zip(rows["words"], rows["counts"], y, strict=True):
-        count = np.frombuffer(cs, np.int32)
-        cut = []
-        for w in ws.split(" ") if ws else []:
-            g = of.get(w)
-            if g is None:
-                g = of[w] = np.array(grams(w), np.int32)
-            cut.append(g)
-        size = np.array([len(g) for g in cut], np.int64)
-        each = np.repeat(count / np.maximum(1, size * count.sum()), size)
-        g, at = np.unique(np.concatenate([*cut, np.zeros(0, np.int32)]), return_inverse=True)
-        texts.append((g, np.bincount(at, each, len(g)).astype(np.float32)))
+        count, some = np.frombuffer(cs, np.int32), ws.split(" ") if ws else []
+        row, bucket = grams(some)
+        size = np.bincount(row, minlength=len(some))
+        g, at = np.unique(bucket.astype(np.int32), return_inverse=True)
+        texts.append((g, np.bincount(at, (count / np.maximum(1, size * count.sum()))[row], len(g)).astype(np.float32)))
         df[label, g] += 1
-        if len(of) > 100_000:
-            of.clear()
     n = np.bincount(y, minlength=2)
     share = df.sum(0) / n.sum()
     error = np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1])) + 1e-9
@@ -125,7 +147,7 @@ def train(rows: pd.DataFrame, epochs: int = 15, batch: int = 32, rate: float = 2
           min_docs: int = 5, min_z: float = 5.0) -> Model:
     """Fits embeddings and softmax jointly (AdaGrad on the cross entropy)."""
     y = (rows["_label"].to_numpy(np.int64) > 0).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
-    prior = math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    prior = math.log((y.sum() + 1) / (len(y) - y.sum() + 2))  # without labels a text counts as clean
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), prior)
     texts = _features(rows, y, min_docs, min_z)
@@ -158,20 +180,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     """``docs`` with ``score_col``, the probability of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    class Words(dict):
-        def __missing__(self, w: str) -> float:
-            v = self[w] = float(shared.value.weights[grams(w)].mean())
-            return v
-
     def made(texts: pa.Array) -> pa.Array:
-        known, out = Words(), []
-        for t in texts.to_pylist():
-            ws = words(t)
-            z = shared.value.bias + (sum(map(known.__getitem__, ws)) / len(ws) if ws else 0.0)
-            out.append(1 / (1 + math.exp(-z)) if z > -700 else 0.0)
-            if len(known) > CACHE_WORDS:
-                known.clear()
-        return pa.array(out, pa.float64())
+        model = shared.value
+        known, bags = _known(model.name), [words(t) for t in texts.to_pylist()]
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new = list(set().union(*bags).difference(known))
+        known.update(zip(new, model.of_words(new).tolist(), strict=True))
+        z = [model.bias + (sum(map(known.__getitem__, b)) / len(b) if b else 0.0) for b in bags]
+        return pa.array([1 / (1 + math.exp(-x)) if x > -700 else 0.0 for x in z], pa.float64())
 
     rows = docs.withColumn("_score_text", text_of(text_col))
     return add_column(rows, score_col, DoubleType(), made, "_score_text").drop("_score_text")

@@ -172,7 +172,7 @@ def test_grams():
     sets = [sorted(bucket[row_of == i].tolist()) for i in range(3)]
     assert sets[0] == sets[2] != sets[1] and set(sets[0]) & set(sets[1])
     assert toxicity.grams([])[0].size == 0
-    assert toxicity.train(pd.DataFrame({"_label": [1], "words": ["a"], "counts": [np.array([1], np.int32).tobytes()]})).bias > 0
+    assert toxicity.train(pd.DataFrame({"_label": [1, 1], "words": ["a", "a"], "counts": [np.array([1], np.int32).tobytes()] * 2})).bias > 0
 
 
 def test_quality(spark, tmp_path):
