@@ -37,11 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 
-from sqltally.llm.bpe import CACHE_CHARS, CACHE_ENTRIES, IRREGULAR
-from sqltally.llm.common import STEP_ROWS, col, text_of, written
+from sqltally.llm.bpe import CACHE_CHARS, IRREGULAR
+from sqltally.llm.common import col, text_of, written
 
 CAPACITY = 1024
 END_ID = 2
+CACHE_ENTRIES = 600_000  # chunks that a worker remembers
+STEP_ROWS = 4096  # texts encoded at once
 GROUP_ROWS = 50_000  # pieces that a (length, salt) group has on average, at most
 
 
@@ -67,17 +69,31 @@ def encode_texts(texts: list[str], blob: str) -> list[bytes]:
     kept, t = _kept(blob), _tokenizer(blob)
 
     def encode(strings: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in t.encode_batch(strings, add_special_tokens=False)]
-
-    cut = [[x] if IRREGULAR.search(x) else x.split(" ") for x in texts]
-    new = list({c for chunks in cut for c in chunks[1:]} - kept.keys())
-    known = dict(zip(new, encode([" " + c for c in new]), strict=True))
+        return [array("I", e.ids).tobytes() for e in t.encode_batch_fast(strings, add_special_tokens=False)]
+
+    first, rest = [], []
+    for x in texts:
+        head, *tail = [x] if IRREGULAR.search(x) else x.split(" ")
+        first.append(head)
+        rest.append(tail)
+    new = list(set().union(*rest).difference(kept))
+    known = _Known(zip(new, encode([" " + c for c in new]), strict=True))
+    known.kept = kept
+    out = [a + b"".join(map(known.__getitem__, chunks)) for a, chunks in zip(encode(first), rest, strict=True)]
     for c in new[:max(0, CACHE_ENTRIES - len(kept))]:
         if len(c) <= CACHE_CHARS:
             kept[c] = known[c]
-    first = encode([chunks[0] for chunks in cut])
-    of = lambda c: known.get(c) or kept.get(c, b"")
-    return [a + b"".join(map(of, chunks[1:])) for a, chunks in zip(first, cut, strict=True)]
+    return out
+
+
+class _Known(dict):
+    """Chunks of these texts, or else of earlier ones."""
+
+    kept: dict[str, bytes]
+
+    def __missing__(self, chunk: str) -> bytes:
+        v = self[chunk] = self.kept[chunk]
+        return v
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
