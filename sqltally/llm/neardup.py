@@ -1,27 +1,28 @@
 """Near duplicates by Order MinHash, verified by banded alignment.
 
-1. Sketch.  A text's words are cut into k-mers (five words), each labelled with
-   its occurrence number.  For each of ``SKETCHES`` hash functions the k-mers
-   with the smallest hashes are taken and put back into text order; equal tuples
-   of two mean a bucket, so that order counts and edit similarity shows.
-2. Candidates.  In each bucket every text is paired with one leader, the
-   smallest key.  Texts in a bucket of three or more go on to finer buckets of
-   the same hash function with more of the smallest k-mers (``LEVELS``), where
-   they meet other leaders.  The pairs grow in proportion to the texts, not with
-   the square of a bucket, and no bucket is left out or cut short.
-3. Verification.  Pairs whose length or bag of words already rules them out go
+1. Sketch.  A text's words are cut into k-mers (four words), each labelled with
+   its occurrence number.  For each of ``SKETCHES`` hash functions the smallest
+   k-mer gives a bucket, and the three smallest, put back into text order, a
+   finer one.
+2. Linking.  In each bucket every text is paired with one leader, the smallest
+   key; these pairs grow in proportion to the texts and link most of them.
+3. The rest.  In each bucket that still holds several classes, all pairs of
+   texts of different classes are compared, in blocks of ``BLOCK`` texts, so
+   that no large bucket lands in one task.  None is left out or cut short: their
+   number grows with the square of a bucket of texts that are not similar.
+   Partners with the most possible pairs (such as the text that the others were
+   made from) go first; pairs that are in one class by then need no comparison.
+4. Verification.  Pairs whose length or bag of words already rules them out go
    first; both are exact bounds.  The rest are aligned, word by word, within the
-   band that the similarity allows (bit-parallel edit distance).  A text is
-   compared with its most likely leader first; other pairs are only compared if
-   they would join two classes.
-4. Classes are the connected components of the verified links, found by
+   band that the similarity allows (bit-parallel edit distance).
+5. Classes are the connected components of the verified links, found by
    alternating star contraction with joins and grouped minima.
 
 Texts are handled once each, by the MD5 of the text: copies meet again only at
 the end.  Intermediate tables are written to the shared scratch folder.
 
 Defined results: similarity is 1 - edit distance / longer length, in lower-case
-words; texts of fewer than five words have one k-mer; texts without words (a
+words; texts of fewer than four words have one k-mer; texts without words (a
 null counts as empty) are alike only if they are equal; the class id is the
 smallest document id of the class (null if it has none); rows with equal id and
 text stay as rows in ``classes`` and as one row in ``distinct``; an empty table
@@ -30,7 +31,6 @@ gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -43,11 +43,12 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 
 from sqltally.llm.common import add_column, col, text_of, written
 
-K = 5
+K = 4
 SIMILARITY = 0.8
-SKETCHES = 24
-LEVELS = (2, 3, 5)  # how many smallest k-mers make up a bucket's tuple
-BAG = 64  # counters in a text's bag of words
+SKETCHES = 32
+LEVELS = (1, 3)  # how many smallest k-mers make up a bucket's tuple; all pairs of the first level are settled
+BLOCK = 256  # texts of a bucket that are compared at once
+BAG = 128  # counters in a text's bag of words
 CACHE_WORDS = 500_000
 
 _WORDS = re.compile(r"\w+").findall
@@ -105,6 +106,14 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+def buckets_of(hashes: np.ndarray) -> np.ndarray:
+    """All buckets of a text: even numbers, but odd ones for the finer levels."""
+    every, one = sketch(hashes).view(np.uint64), np.uint64(1)
+    first, finer = every[:SKETCHES], every[SKETCHES:]
+    return np.concatenate([np.unique(first & ~one),
+                           np.unique(finer | one)]).view(np.int64)
+
+
 def _describe(texts: pa.Array, known=_Hashes()) -> pa.Array:
     out = []
     with np.errstate(over="ignore"):
@@ -114,12 +123,12 @@ def _describe(texts: pa.Array, known=_Hashes()) -> pa.Array:
             if len(known) > CACHE_WORDS:
                 known.clear()
             bag = np.minimum(np.bincount((h % np.uint64(BAG)).astype(np.int64), minlength=BAG), 255).astype(np.uint8)
-            out.append({"n": len(ws), "bag": bag.tobytes(), "sketch": sketch(h).tolist() if ws else []})
-    return pa.array(out, pa.struct([("n", pa.int32()), ("bag", pa.binary()), ("sketch", pa.list_(pa.int64()))]))
+            out.append({"n": len(ws), "bag": bag.tobytes(), "buckets": buckets_of(h).tolist() if ws else []})
+    return pa.array(out, pa.struct([("n", pa.int32()), ("bag", pa.binary()), ("buckets", pa.list_(pa.int64()))]))
 
 
 _DESCRIBED = StructType([StructField("n", IntegerType()), StructField("bag", BinaryType()),
-                         StructField("sketch", ArrayType(LongType()))])
+                         StructField("buckets", ArrayType(LongType()))])
 
 
 def text_key(text_col: str = "text") -> Column:
@@ -127,29 +136,23 @@ def text_key(text_col: str = "text") -> Column:
 
 
 def sketches(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, n, bag, sketch) for each different text with words, written."""
+    """(key, n, bag, buckets) for each different text with words, written."""
     rows = docs.select(text_key(text_col).alias("key"), text_of(text_col).alias("_t"))
     rows = add_column(rows, "d", _DESCRIBED, _describe, "_t").where("d.n > 0").select("key", "d.*")
-    return written(rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "bag", "sketch")]), "order-minhash")
+    return written(rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "bag", "buckets")]), "order-minhash")
+
+
+def members(texts: DataFrame) -> DataFrame:
+    """(bucket, key, leader, size) of every text in a bucket of two or more, written."""
+    rows = texts.select(F.explode("buckets").alias("bucket"), "key")
+    shared = rows.groupBy("bucket").agg(F.min("key").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    return written(rows.join(shared, "bucket"), "near-buckets")
 
 
-def candidates(texts: DataFrame) -> DataFrame:
+def candidates(rows: DataFrame) -> DataFrame:
     """(a, b, shared): pairs of a bucket's leader and a member, and in how many buckets."""
-    pairs, rows = [], texts.select("key", F.col("sketch").alias("s"), F.posexplode(F.slice("sketch", 1, SKETCHES)).alias("i", "v"))
-    for level in range(len(LEVELS)):
-        bucket = F.xxhash64("i", "v").alias("bucket")
-        members = rows.select(bucket, "key", "i", "s" if level + 1 < len(LEVELS) else F.lit(None).alias("s"))
-        small = members.groupBy("bucket").agg(F.min("key").alias("leader"), F.count("*").alias("size")).where("size > 1")
-        members = members.select("bucket", "key", "i").join(small, "bucket")
-        if level + 1 < len(LEVELS):
-            members = written(members, f"buckets-{level}")
-        pairs.append(members.where(F.col("key") != F.col("leader")).select(F.col("leader").alias("a"), F.col("key").alias("b")))
-        if level + 1 < len(LEVELS):
-            again = members.where("size > 2").select("key", "i")
-            values = texts.select("key", F.slice("sketch", SKETCHES * (level + 1) + 1, SKETCHES).alias("s"))
-            rows = again.join(values, "key").select("key", "i", F.col("s")[F.col("i")].alias("v"), F.lit(None).alias("s"))
-    every = functools.reduce(DataFrame.union, pairs)
-    return every.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return (rows.where(F.col("key") != F.col("leader")).groupBy(F.col("leader").alias("a"), F.col("key").alias("b"))
+            .agg(F.count("*").alias("shared")))
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +169,53 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b", "shared"]).filter(pa.array(least <= _allowed(n)))
 
 
+def _bound(n: np.ndarray, bags: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) lengths and bags of words don't rule out."""
+    far = np.maximum(n[i], n[j])
+    near = np.flatnonzero(abs(n[i] - n[j]) <= _allowed(far))
+    out = np.zeros(len(i), bool)
+    for at in (near[k:k + 50_000] for k in range(0, len(near), 50_000)):
+        d = bags[i[at]] - bags[j[at]]
+        more, all_ = np.maximum(d, 0).sum(1), d.sum(1)
+        out[at] = np.maximum(more, more - all_) <= _allowed(far[at])
+    return out
+
+
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The possible pairs of different classes in each block of a bucket."""
+    for b in batches:
+        for row in range(b.num_rows):
+            m = b["texts"][row].values
+            key, root, bag = (b"".join(m.field(c).to_pylist()) for c in ("key", "root", "bag"))
+            root = np.frombuffer(root, np.uint64).reshape(-1, 2)
+            bags = np.frombuffer(bag, np.uint8).reshape(-1, BAG).astype(np.int16)
+            n, own = m.field("n").to_numpy(), m.field("own").to_numpy()
+            i, j = np.triu_indices(len(n), 1)
+            cross = (root[i] != root[j]).any(1)
+            if b["x"][row].as_py() != b["y"][row].as_py():
+                cross &= own[i] != own[j]  # pairs inside one block have a group of their own
+            i, j = i[cross], j[cross]
+            good = _bound(n, bags, i, j)
+            if good.any():
+                pairs = [sorted((key[16 * p:16 * p + 16], key[16 * q:16 * q + 16])) for p, q in zip(i[good], j[good])]
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def crossing(rows: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b, shared): all possible pairs of different classes in a bucket of the first level."""
+    sides = (texts.join(known, "key", "left")
+             .select("key", "n", "bag", F.coalesce("root", "key").alias("root")))
+    rows = rows.where("bucket % 2 = 0").select("bucket", "key", "size").join(sides, "key")
+    several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    rows = rows.join(several.select("bucket"), "bucket")
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = (rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("key"), "parts").cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+    blocks = rows.groupBy("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(
+        F.collect_list(F.struct("key", "n", "bag", "root", "own")).alias("texts")).where(F.size("texts") > 1)
+    return blocks.select("x", "y", "texts").mapInArrow(_crossing, _PAIR).groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
 def _allowed(longer):
     """The largest edit distance that SIMILARITY allows."""
     return np.floor((1 - SIMILARITY) * longer + 1e-9).astype(np.int64)
@@ -264,18 +314,45 @@ def classes_of_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     described = sketches(docs, text_col)
     side = lambda s: described.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("bag").alias(f"bag_{s}"))
     kind = StructType([*_PAIR.fields, StructField("shared", LongType())])
-    pairs = written(candidates(described).join(side("a"), "a").join(side("b"), "b").mapInArrow(_possible, kind), "near-pairs")
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    kind = StructType([*_PAIR.fields, StructField("shared", LongType())])
+    rows = members(described)
+    pairs = written(candidates(rows).join(side("a"), "a").join(side("b"), "b").mapInArrow(_possible, kind), "near-pairs")
     texts = (docs.select(text_key(text_col).alias("key"), text_of(text_col).alias("text"))
              .groupBy("key").agg(F.first("text").alias("text")))
-    texts = written(texts.join(needed, "key", "left_semi"), "near-texts")
+    texts = written(texts.join(rows.select("key").distinct(), "key", "left_semi"), "near-texts")
     best = pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = verify(best, texts)
-    known = components(links)
+    known = components(verify(best, texts))
+    rest = apart(pairs.join(best, ["a", "b"], "left_anti"), known)
+    known = joined(known, verify(rest, texts))
+    # every other pair of a bucket whose texts are not in one class yet
+    pairs = written(crossing(rows, described, known).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "near-crossing")
+    if pairs.isEmpty():
+        return known
+    best = written(most_wanted(pairs), "near-wanted")
+    known = joined(known, verify(best, texts))
+    rest = apart(pairs.join(best, ["a", "b"], "left_anti"), known)
+    return joined(known, verify(rest, texts))
+
+
+def apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are not in one class."""
     root = lambda s: known.select(F.col("key").alias(s), F.col("root").alias(f"r{s}"))
-    rest = (pairs.join(best, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return (pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
             .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
-    return components(links.union(verify(rest, texts)))
+
+
+def joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with more links."""
+    return components(known.select(F.col("key").alias("a"), F.col("root").alias("b")).union(links))
+
+
+def most_wanted(pairs: DataFrame) -> DataFrame:
+    """(a, b): of each text, the pair with the partner that has the most pairs."""
+    ends = pairs.select(F.col("a").alias("key"), F.col("b").alias("mate"), "shared").union(
+        pairs.select(F.col("b").alias("key"), F.col("a").alias("mate"), "shared"))
+    degree = ends.groupBy(F.col("key").alias("mate")).agg(F.count("*").alias("degree"))
+    best = ends.join(degree, "mate").groupBy("key").agg(F.max(F.struct("degree", "shared", "mate")).alias("m"))
+    return best.select(F.least("key", "m.mate").alias("a"), F.greatest("key", "m.mate").alias("b")).distinct()
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

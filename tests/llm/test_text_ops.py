@@ -326,3 +326,24 @@ def test_hamming_by_brute_force(spark):
         d = sorted(((bits[q] != bits[i]).sum(), i) for i in range(300) if i != q)[:5]
         want += [(q, i, int(x), n + 1) for n, (x, i) in enumerate(d)]
     assert got == sorted(want)
+
+
+def scattered(rnd, ws, edits):
+    """``ws`` with so many words replaced."""
+    ws = ws[:]
+    for i in rnd.sample(range(len(ws)), edits):
+        ws[i] = "new" + str(rnd.randrange(10**9))
+    return ws
+
+
+def test_near_duplicates_of_a_base_of_middle_key(spark):
+    rnd = random.Random(21)
+    base = [f"w{rnd.randrange(3000)}" for _ in range(200)]
+    variants = [scattered(rnd, base, rnd.randint(24, 40)) for _ in range(300)]
+    md5 = lambda ws: hashlib.md5(" ".join(ws).encode()).digest()
+    middle = sorted(map(md5, variants))[150]
+    while md5(base) < middle:  # another spelling of the base with a key in the upper half
+        base = [w.upper() if rnd.random() < 0.5 else w for w in base]
+    docs = spark.createDataFrame([row(i, " ".join(t)) for i, t in enumerate([base, *variants])], SCHEMA)
+    got = [r.class_id for r in neardup.query(docs).collect()]
+    assert sum(c == 0 for c in got) >= 299  # brute force: one class of 301
