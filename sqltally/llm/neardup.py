@@ -3,7 +3,10 @@
 1. Sketch.  A text's words are cut into k-mers (four words), each labelled with
    its occurrence number.  For each of ``SKETCHES`` hash functions the smallest
    k-mer gives a bucket, and the three smallest, put back into text order, a
-   finer one.
+   finer one.  Texts of up to ``SHORT`` words may have no k-mer in common and be
+   similar all the same: they and the texts that can be similar to them also get
+   a bucket for each piece of words of which one must stand unchanged in both
+   (pigeonhole), so that no pair with a short text is missed.
 2. Linking.  In each bucket every text is paired with one leader, the smallest
    key; these pairs grow in proportion to the texts and link most of them.
 3. The rest.  In each bucket that still holds several classes, all pairs of
@@ -47,6 +50,7 @@ K = 4
 SIMILARITY = 0.8
 SKETCHES = 32
 LEVELS = (1, 3)  # how many smallest k-mers make up a bucket's tuple; all pairs of the first level are settled
+SHORT = 24  # pairs in which the shorter text has up to so many words are found without sketches
 BLOCK = 256  # texts of a bucket that are compared at once
 BAG = 128  # counters in a text's bag of words
 CACHE_WORDS = 500_000
@@ -106,11 +110,42 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+def _segments(n: int) -> list[tuple[int, int]]:
+    """(start, end) of one piece more than the edits that a text of ``n`` words allows."""
+    pieces = int(_allowed(n)) + 1
+    return [(i * n // pieces, (i + 1) * n // pieces) for i in range(pieces)]
+
+
+def short_buckets(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of which a text shares one with each similar text, if the shorter has up to SHORT words.
+
+    The longer text of a pair, of ``longer`` words, is cut into one piece more
+    than the edits allowed, so that one piece stands whole in the shorter, moved
+    by ``x`` words: at least abs(x) edits lie before it and abs(gap + x) after it.
+    """
+    n, out, runs = len(hashes), [], {}
+    longer = n
+    while longer - int(_allowed(longer)) <= min(n, SHORT):
+        most, gap = int(_allowed(longer)), longer - n
+        for i, (start, end) in enumerate(_segments(longer)):
+            size = end - start
+            if size not in runs:
+                h = np.zeros(max(0, n - size + 1), np.uint64)
+                for k in range(size):
+                    h = _mixed(h + hashes[k:k + len(h)])
+                runs[size] = h
+            low, high = -((most + gap) // 2), (most - gap) // 2
+            found = runs[size][max(0, start + low):max(0, start + high + 1)]
+            out.append(_mixed(found + np.uint64(longer * 1024 + i) * _MIX))
+        longer += 1
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
 def buckets_of(hashes: np.ndarray) -> np.ndarray:
     """All buckets of a text: even numbers, but odd ones for the finer levels."""
     every, one = sketch(hashes).view(np.uint64), np.uint64(1)
     first, finer = every[:SKETCHES], every[SKETCHES:]
-    return np.concatenate([np.unique(first & ~one),
+    return np.concatenate([np.unique(np.concatenate([first, short_buckets(hashes)]) & ~one),
                            np.unique(finer | one)]).view(np.int64)
 
 

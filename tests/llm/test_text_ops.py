@@ -347,3 +347,33 @@ def test_near_duplicates_of_a_base_of_middle_key(spark):
     docs = spark.createDataFrame([row(i, " ".join(t)) for i, t in enumerate([base, *variants])], SCHEMA)
     got = [r.class_id for r in neardup.query(docs).collect()]
     assert sum(c == 0 for c in got) >= 299  # brute force: one class of 301
+
+
+def test_near_duplicates_of_short_texts(spark):
+    rnd, texts = random.Random(22), []
+    for n in range(5, neardup.SHORT + 1):
+        for _ in range(4):
+            base = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+            most = int(neardup._allowed(n))
+            spread = base[:]
+            for k in range(most):  # as evenly as edits can be, so that no long run stays
+                spread[(k + 1) * n // (most + 1) - (k + 1 == n)] = "new" + str(rnd.randrange(10**9))
+            shorter = base[:]
+            for _ in range(most):
+                del shorter[rnd.randrange(len(shorter))]
+            texts += [base, spread, shorter]
+    docs = spark.createDataFrame([row(i, " ".join(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.class_id for r in neardup.query(docs).collect()}
+    want = {i: i - i % 3 for i, t in enumerate(texts) if neardup.similar(texts[i - i % 3], t)}
+    assert len(want) == len(texts) and got == want
+
+
+def test_near_duplicate_recall_at_the_least_similarity(spark):
+    rnd, texts = random.Random(23), []
+    for n in (25, 30, 40, 60, 200):
+        for _ in range(60):
+            base = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+            texts += [base, scattered(rnd, base, int(neardup._allowed(n)))]
+    docs = spark.createDataFrame([row(i, " ".join(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.class_id for r in neardup.query(docs).collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, len(texts), 2)) >= 0.98 * len(texts) / 2
