@@ -2,14 +2,17 @@ r"""Secret scan with corpus-wide ownership frequency.
 
 1. Every whole text is searched for three base kinds of secrets (``assign``,
    ``access``, ``hex``) and for bare credential-like tokens: runs of 20 or more
-   credential characters that mix upper or lower case letters with digits and
-   look random.
+   credential characters that look random: letters of both cases with digits,
+   or letters of one case in which letters and digits alternate.
 2. The hashes of all candidates are counted over the corpus by distinct owners
    (``owner_col``) and distinct repositories (``repo_col``).  A candidate that
    many owners show is a copied example; one that a single owner shows is
    owner-specific and looks live.
 3. Base spans always stay, each with its class.  Bare tokens are added as spans
-   of kind ``owned`` where a single owner shows them.
+   of kind ``owned`` where a single owner shows them.  For bare tokens copies of
+   one text count once, for the smallest of their owners, so that copying a text
+   does not make its token a shared one.  ``redact`` also replaces the bare
+   tokens that are shared.
 
 Only hashes and positions leave the scan; the found rows are written once to
 the shared scratch folder and both the counting and the marking read them.
@@ -57,8 +60,18 @@ def _entropy(s: str) -> float:
 
 
 def _looks_random(s: str) -> bool:
-    return (any(c.isdigit() for c in s) and any(c.isupper() for c in s) and any(c.islower() for c in s)
-            and _entropy(s) >= 3.5)
+    digit, upper, lower = any(c.isdigit() for c in s), any(c.isupper() for c in s), any(c.islower() for c in s)
+    if digit and upper and lower:
+        return _entropy(s) >= 3.5
+    if not digit or not (upper or lower):
+        return False
+    # one case: words joined with a year or a number are common, letters and digits in turns are not
+    return any(len(p) >= 20 and _turns(p) >= 3 and _entropy(p) >= 3.5 for p in re.split("[+/_=-]+", s))
+
+
+def _turns(s: str) -> int:
+    """How often a letter follows a digit or a digit a letter."""
+    return sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:]))
 
 
 def find(text: str, assign=re.compile(ASSIGN, re.I | re.A), access=re.compile(ACCESS), hexa=re.compile(HEX),
@@ -89,11 +102,11 @@ def _scan(texts: pa.Array) -> pa.Array:
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
-    """(_row, id, owner, repo, found) per row, written to the scratch folder."""
+    """(_row, id, owner, repo, text digest, found) per row, written to the scratch folder."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("_row"), col(id_col).alias("_id"),
         col(owner_col).cast("string").alias("_owner"), col(repo_col).cast("string").alias("_repo"),
-        text_of(text_col).alias("_text"))
+        F.sha2(text_of(text_col), 256).alias("_content"), text_of(text_col).alias("_text"))
     return written(add_column(rows, "found", FOUND, _scan, "_text").drop("_text"), "secret-candidates")
 
 
@@ -105,21 +118,29 @@ def ownership(cands: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
+def text_owners(cands: DataFrame) -> DataFrame:
+    """(hash, n_text_owners): distinct owners of the different texts that hold each bare token."""
+    seen = cands.select("_content", F.coalesce("_owner", F.lit("\u0000")).alias("owner"), F.explode("found").alias("f"))
+    by_text = seen.where("f.kind = 3").groupBy(F.col("f.hash").alias("hash"), "_content").agg(F.min("owner").alias("owner"))
+    by_owner = by_text.groupBy("hash", "owner").agg(F.lit(1).alias("one"))
+    return by_owner.groupBy("hash").agg(F.sum("one").alias("n_text_owners"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-         repo_col: str = "doc_id", example_owners: int = 5) -> DataFrame:
+         repo_col: str = "doc_id", example_owners: int = 5, bare: tuple[str, ...] = ("live",)) -> DataFrame:
     """One row per row of ``docs``: (id, spans).
 
     ``spans`` is array<struct<start, kind, end, hash, length, n_owners, n_repos, cls>>
     by start, then kind (``length``: of the secret at the span's end); ``cls`` is ``live`` (one owner), ``example``
-    (``example_owners`` or more) or ``shared``.  Bare tokens are kept where
-    they are ``live``.
+    (``example_owners`` or more) or ``shared``.  Bare tokens are
+    judged by the owners of different texts and kept where their class is one of ``bare``.
     """
     cands = candidates(docs, id_col, text_col, owner_col, repo_col)
-    spread = ownership(cands)
-    cls = (F.when(F.col("n_owners") == 1, "live").when(F.col("n_owners") >= example_owners, "example")
-           .otherwise("shared"))
+    spread = ownership(cands).join(text_owners(cands), "hash", "left")
+    owners = F.when(F.col("kind") == 3, F.col("n_text_owners")).otherwise(F.col("n_owners"))
+    cls = F.when(owners == 1, "live").when(owners >= example_owners, "example").otherwise("shared")
     marked = (cands.select("_row", F.explode("found").alias("f")).select("_row", "f.*").join(spread, "hash")
-              .withColumn("cls", cls).where((F.col("kind") < 3) | (F.col("cls") == "live"))
+              .withColumn("cls", cls).where((F.col("kind") < 3) | F.col("cls").isin(*bare))
               .groupBy("_row").agg(F.array_sort(F.collect_list(
                   F.struct("start", "kind", "end", "hash", "length", "n_owners", "n_repos", "cls"))).alias("spans")))
     empty = F.array().cast(marked.schema["spans"].dataType)
@@ -136,7 +157,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     """
     digest = F.sha2(text_of(text_col), 256).alias("_digest")
     keyed = docs.select("*", digest)
-    spans = (scan(keyed, "_digest", text_col, owner_col, repo_col, example_owners).where(F.size("spans") > 0)
+    spans = (scan(keyed, "_digest", text_col, owner_col, repo_col, example_owners, ("live", "shared")).where(F.size("spans") > 0)
              .dropDuplicates(["_digest"]))
     rows = keyed.join(spans.select("_digest", F.col("spans").alias("_spans")), "_digest", "left")
     rows = rows.withColumn("_work", F.struct(text_of(text_col).alias("text"), "_spans"))

@@ -377,3 +377,17 @@ def test_near_duplicate_recall_at_the_least_similarity(spark):
     docs = spark.createDataFrame([row(i, " ".join(t)) for i, t in enumerate(texts)], SCHEMA)
     got = {r.doc_id: r.class_id for r in neardup.query(docs).collect()}
     assert sum(got[i] == got[i + 1] for i in range(0, len(texts), 2)) >= 0.98 * len(texts) / 2
+
+
+def test_secret_bare_tokens_of_copies_and_of_one_case(spark):
+    copied, shared, base36, base32 = ("Ab9dEfG7hIjK2lMnOpQ4rStU", "Q9wErT7yUiOp2aSdFgHj4kLz", "k3j9x0qz7m2vw8r5t1yb6n4p",
+                                      "GEZDGNBVGY3TQOJQ4XK2W7MP")
+    rows = [row(1, f"see {copied} here", source="o1"), row(2, f"see {copied} here", source="o2"),
+            row(3, f"{shared} x", source="o1"), row(4, f"{shared} y", source="o2"),
+            row(5, f"a {base36} b"), row(6, f"a {base32} b"), row(7, "annual_report_of_the_company_2019 articles/2019/some-long-title")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = {r.doc_id: r.spans for r in secrets.query(docs).collect()}
+    assert out[1] == out[2] == "owned:4:28" and out[5] == out[6] == "owned:2:26" and out[7] == ""
+    red = {r.doc_id: r.text for r in secrets.stage(docs).collect()}
+    assert red[1] == red[2] == "see [secret] here" and red[3] == "[secret] x" and red[4] == "[secret] y"
+    assert red[7] == rows[6][1]
