@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sqltally.llm import bpe, hamming, jaccard, licenses, lines, neardup, packing, quality, secrets, spotsigs, toxicity
+from sqltally.llm import alignment, bpe, hamming, jaccard, licenses, lines, neardup, packing, quality, secrets, spotsigs, toxicity
 from sqltally.llm.common import read
 
 QUERIES = {
@@ -20,6 +20,8 @@ QUERIES = {
         read(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
     "op9_hamming_topk": lambda spark, d: hamming.query(read(spark, d, "embeddings")),
     "op10_spotsigs": lambda spark, d: spotsigs.query(read(spark, d, "documents")),
+    "op11_token_alignment": lambda spark, d: alignment.query(
+        read(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")),
     "op13_jaccard_join": lambda spark, d: jaccard.query(read(spark, d, "documents")),
 }
 

@@ -13,6 +13,9 @@ import xxhash
 STEP_BYTES = 4 << 20  # text handled at once; a longer text makes a step of its own
 _SHIFT, _MIX = np.uint64(29), np.uint64(0x9E3779B97F4A7C15)
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A"):ord("Z") + 1] += 32
+
 
 class Words(NamedTuple):
     """The words of several texts in order, as positions in a list of different words."""
@@ -31,12 +34,20 @@ def classes(space: bytes, ends: bytes = b"") -> np.ndarray:
     return out
 
 
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, data): the bytes of all values and, from 0 on, where each ends; a slice gives its own values only."""
+    if not len(texts):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    ends = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+    return ends.astype(np.int64) - int(ends[0]), data
+
+
 def words_of(texts: pa.Array, kinds: np.ndarray) -> Words:
     """The words of UTF-8 texts without nulls; A-Z count as a-z."""
-    lower = pc.ascii_lower(texts.cast(pa.large_string()))
-    ends = np.frombuffer(lower.buffers()[1], np.int64)[lower.offset:lower.offset + len(lower) + 1]
-    data = np.frombuffer(lower.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
-    ends = ends - ends[0]
+    ends, data = bytes_of(texts)
+    data = _LOWER[data]
     kind = kinds[data]
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = kind == 0
