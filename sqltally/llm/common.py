@@ -17,8 +17,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared scratch folder and read back.
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written to the shared scratch folder, in a folder for each value of ``by``, and read back.
 
     Cuts the lineage with files that every executor can read, so that a lost
     executor never costs more than the tasks that were running on it.
@@ -26,7 +26,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     checkpoint_dir(spark)
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

@@ -60,7 +60,7 @@ _BIT = np.uint64(64 - BITS.bit_length() + 1)
 def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(doc, value): the different shingles of each text, by text and value."""
     w = words_of(texts, _SPACE)
-    h, n = hashes(w.names)[w.ids], len(w.ids)
+    h, n = hashes(w.names.to_pylist())[w.ids], len(w.ids)
     end = np.searchsorted(w.doc, w.doc, "right")
     at = np.arange(n)
     value = np.zeros(n, np.uint64)

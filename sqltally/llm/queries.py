@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sqltally.llm import alignment, bpe, hamming, jaccard, licenses, lines, neardup, packing, quality, secrets, spotsigs, toxicity
+from sqltally.llm import alignment, bpe, collocations, hamming, jaccard, licenses, lines, neardup, packing, quality, secrets, spotsigs, toxicity
 from sqltally.llm.common import read
 
 QUERIES = {
@@ -22,6 +22,7 @@ QUERIES = {
     "op10_spotsigs": lambda spark, d: spotsigs.query(read(spark, d, "documents")),
     "op11_token_alignment": lambda spark, d: alignment.query(
         read(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")),
+    "op12_collocations": lambda spark, d: collocations.query(read(spark, d, "documents")),
     "op13_jaccard_join": lambda spark, d: jaccard.query(read(spark, d, "documents")),
 }
 
@@ -31,5 +32,6 @@ ORACLE = {
     "op6_quality_bayes": quality.oracle_sql(),
     "op9_hamming_topk": hamming.ORACLE,
     "op10_spotsigs": spotsigs.ORACLE,
+    "op12_collocations": collocations.ORACLE,
     "op13_jaccard_join": jaccard.ORACLE,
 }

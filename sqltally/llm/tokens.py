@@ -67,8 +67,8 @@ def words_of(texts: pa.Array, kinds: np.ndarray) -> Words:
     return Words(values.indices.to_numpy(), values.dictionary, doc, joined)
 
 
-def hashes(names: pa.Array) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, names.to_pylist()), np.uint64, len(names))
+def hashes(names: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
