@@ -18,7 +18,7 @@ from sqltally.plans.catalog import _CANDIDATES_CTE, ORACLE, register
 from sqltally.plans.catalog_schema import _columns_values
 from sqltally.plans.catalog_text import _EXTRACT
 from sqltally.session import scratch_path
-from sqltally.sources import files, sinks
+from sqltally.sources import files, ordered, sinks
 from sqltally.streaming import incremental as INC
 
 WS = T.PY_SPACE
@@ -72,8 +72,7 @@ def q_gold_roundtrip(spark, sf_dir):
     db = F.when(F.col("item_id") % 2 == 0, F.lit("star")).otherwise(F.lit("text"))
     line = F.when(F.col("item_id") % 7 == 3, flat).otherwise(F.concat(flat, F.lit("\t"), db))
     path = scratch_path(spark, "gold")
-    b.select("item_id", line.alias("value")).orderBy("item_id").select("value") \
-     .coalesce(1).write.text(path)
+    ordered.write_ordered(b.select("item_id", line.alias("value")), path, "item_id", "value")
     return files.read_gold(spark, path)
 
 
@@ -92,8 +91,7 @@ def q_questions_roundtrip(spark, sf_dir):
     obj = F.struct(F.col("question"), F.col("evidence"), F.col("db_id"),
                    F.lit(None).cast("string").alias("SQL"), F.col("difficulty"))
     path = scratch_path(spark, "questions")
-    sinks.write_document(q.select("question_id", F.to_json(obj).alias("o")), path,
-                         "question_id", "o", "[", "]")
+    ordered.write_ordered(q.select("question_id", F.to_json(obj).alias("o")), path, "question_id", "o", "[", "]", ", ")
     return files.read_questions(spark, path)
 
 

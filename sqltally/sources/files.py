@@ -2,10 +2,8 @@
 
 Position-keyed files (a JSON array of questions, a gold file with one
 statement per line, a single ``{"idx": sql}`` document) carry their id only
-as a position, so they are read as one document (``wholetext``) and
-``posexplode``d; that is one task per file by the nature of the format.  For
-large inputs use the keyed forms (JSON Lines / Parquet with an explicit id),
-which Spark reads split across tasks.
+as a position.  They are split at byte ranges all the same, and positions
+come from sums over the splits (see ``sources.ordered``).
 """
 
 from __future__ import annotations
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sqltally.functions.text import strip_py, unpack
+from sqltally.sources.ordered import json_elements, numbered_lines
 
 QUESTION_FIELDS = ("question STRING, evidence STRING, db_id STRING, SQL STRING, difficulty STRING")
 
@@ -29,10 +28,8 @@ def read_questions(spark: SparkSession, path: str, fmt: str = "json_array") -> D
     ``parquet`` must carry ``question_id``.
     """
     if fmt == "json_array":
-        doc = spark.read.text(path, wholetext=True)
-        arr = F.from_json("value", f"ARRAY<STRUCT<{QUESTION_FIELDS}>>")
-        q = doc.select(F.posexplode(arr).alias("question_id", "q")).select(
-            F.col("question_id").cast("bigint"), "q.*")
+        q = json_elements(spark, path).select(F.col("position").alias("question_id"),
+                                              F.from_json("element", QUESTION_FIELDS).alias("q")).select("question_id", "q.*")
     elif fmt == "jsonl":
         q = spark.read.schema(f"question_id BIGINT, {QUESTION_FIELDS}").json(path)
     else:
@@ -58,13 +55,16 @@ def read_predictions(spark: SparkSession, path: str, fmt: str = "document") -> D
     A non-text value (the kit writes ``0``) is status ``no_sql``; text without
     exactly one separator is ``malformed``; otherwise ``ok``.  Values are
     parsed as VARIANT so their JSON type stays visible.
-    ``fmt``: ``document`` (one JSON object) or ``jsonl`` (one object per line).
+    ``fmt``: ``document`` (one JSON object; of a repeated key the last entry
+    counts) or ``jsonl`` (one object per line).
     """
     if fmt == "document":
-        src = spark.read.text(path, wholetext=True)
+        entry = F.concat(F.lit("{"), "element", F.lit("}"))
+        src = json_elements(spark, path).select("position", entry.alias("value"))
+        kv = src.select("position", F.explode(_as_map("value")).alias("key", "v"))
+        kv = kv.groupBy("key").agg(F.max_by("v", "position").alias("v"))
     else:
-        src = spark.read.text(path)
-    kv = src.select(F.explode(_as_map("value")).alias("key", "v"))
+        kv = spark.read.text(path).select(F.explode(_as_map("value")).alias("key", "v"))
     is_text = F.schema_of_variant("v") == "STRING"
     packed = F.when(is_text, F.variant_get("v", "$", "string"))
     u = kv.select(F.col("key").cast("bigint").alias("question_id"), packed.alias("packed")) \
@@ -81,14 +81,10 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     Lines that do not split into exactly two parts get ``ok = false`` instead
     of failing the run.
     """
-    doc = spark.read.text(path, wholetext=True)
-    arr = doc.select(F.split("value", "\r\n|\r|\n", -1).alias("a"))
-    lines = arr.select(F.posexplode("a").alias("question_id", "line"), F.size("a").alias("n"))
-    # a final line end leaves one empty trailing element that is not a line
-    lines = lines.filter(~((F.col("question_id") == F.col("n") - 1) & (F.col("line") == "")))
-    parts = F.split(strip_py(F.col("line")), "\t", -1)
+    lines = numbered_lines(spark, path)
+    parts = F.split(strip_py(F.col("value")), "\t", -1)
     ok = F.size(parts) == 2
-    return lines.select(F.col("question_id").cast("bigint"),
+    return lines.select(F.col("position").alias("question_id"),
                         F.when(ok, parts[0]).alias("sql"), F.when(ok, parts[1]).alias("db_id"),
                         ok.alias("ok"))
 

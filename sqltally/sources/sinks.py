@@ -1,10 +1,9 @@
 """Writers for the evaluation kit's files (K1-K9).
 
 ``write_*_if_absent`` keep an existing output as the kit does (``ignore``
-mode); everything else defaults to failing on an existing path.  Keyed, split
-forms (JSON Lines, Parquet) are the default; the single-document forms the
-kit reads back are offered for small outputs only, because one document is
-necessarily written by one task.
+mode); everything else defaults to failing on an existing path.  Keyed forms
+(JSON Lines, Parquet) are the default; a single document is written as
+numbered parts, range by range (``sources.ordered``).
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sqltally.functions.text import pack
+from sqltally.sources.ordered import write_ordered
 
 
 def write_json_if_absent(df: DataFrame, path: str) -> None:
@@ -43,7 +43,8 @@ def write_predictions(df: DataFrame, path: str, single_document: bool = False,
     the number ``0``, as the kit does.
 
     Default: JSON Lines, one ``{"idx": value}`` per question, written in
-    parallel.  ``single_document=True``: one object sorted by id (one task).
+    parallel.  ``single_document=True``: one object sorted by id, in numbered
+    parts that make the document when put together.
     """
     p = packed_predictions(df)
     as_json = F.regexp_extract(F.to_json(F.array("packed")), r"(?s)^\[(.*)\]$", 1)
@@ -52,25 +53,7 @@ def write_predictions(df: DataFrame, path: str, single_document: bool = False,
     if not single_document:
         p.select(F.concat(F.lit("{"), entry, F.lit("}")).alias("value")).write.mode(mode).text(path)
         return
-    write_document(p.select("question_id", entry.alias("e")), path, "question_id", "e", "{", "}", mode)
-
-
-def write_document(entries: DataFrame, path: str, key: str, text: str, open_: str, close: str,
-                   mode: str = "errorifexists") -> None:
-    """One JSON document (object or array) from ordered entries, without
-    gathering them into one row: each entry becomes a line (a comma before
-    all but the first), the opening and closing lines are added, and the
-    lines are range-sorted and written by one task, which streams them.
-    Only the smallest key is looked up on the driver."""
-    first = entries.agg(F.min(key).alias("m")).first()["m"]
-    body = entries.select(
-        F.lit(1).alias("_part"), F.col(key).alias("_k"),
-        F.when(F.col(key) == F.lit(first), F.col(text)).otherwise(F.concat(F.lit(", "), F.col(text)))
-         .alias("value"))
-    spark = entries.sparkSession
-    edges = spark.createDataFrame([(0, None, open_), (2, None, close)], body.schema)
-    (body.unionByName(edges).orderBy("_part", "_k").select("value")
-     .coalesce(1).write.mode(mode).text(path))
+    write_ordered(p.select("question_id", entry.alias("e")), path, "question_id", "e", "{", "}", ", ", mode)
 
 
 def save_schema(columns: DataFrame, foreign_keys: DataFrame, path: str, mode: str = "errorifexists") -> None:
