@@ -328,6 +328,23 @@ def test_hamming_by_brute_force(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("bits", [None, 8, 11, 16])
+@pytest.mark.parametrize("dim", [7, 64, 100])
+def test_hamming_index_by_brute_force(bits, dim):
+    rnd = np.random.default_rng(dim)
+    centres = rnd.integers(0, 2, (6, dim))  # clustered codes, many of equal distance
+    codes = np.unique(centres[rnd.integers(0, 6, 500)] ^ (rnd.random((500, dim)) < 0.08), axis=0)
+    codes = codes[rnd.permutation(len(codes))]
+    asked = np.concatenate([codes[:20], rnd.integers(0, 2, (10, dim))])
+    pack = lambda x: np.packbits(np.pad(x.astype(np.uint8), ((0, 0), (0, -dim % 64))), axis=1, bitorder="little").view(np.uint64)
+    for k in (1, 5, 11, 10_000):
+        query, entry, distance = hamming.Index(pack(codes), dim, bits).nearest(pack(asked), k)
+        got = [[] for _ in asked]
+        for q, e, d in zip(query.tolist(), entry.tolist(), distance.tolist()):
+            got[q].append((d, e))
+        assert got == [sorted((int((a != c).sum()), i) for i, c in enumerate(codes))[:k] for a in asked]
+
+
 def scattered(rnd, ws, edits):
     """``ws`` with so many words replaced."""
     ws = ws[:]
