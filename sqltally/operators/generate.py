@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqltally.functions.text import extract_sql
+from sqltally.functions.text import SQL_BLOCK, extract_sql
 
 RESPONSE_SCHEMA = "question_id long, ord int, response string"
 
@@ -23,7 +23,7 @@ RESPONSE_SCHEMA = "question_id long, ord int, response string"
 def has_sql_block(response: str) -> bool:
     """G9 validity: the response holds a fenced ``sql`` block."""
     import re
-    return re.search(r"```sql\n(.*?)\n```", response or "", re.S) is not None
+    return re.search(SQL_BLOCK, response or "") is not None
 
 
 def has_think_answer(response: str) -> bool:

@@ -42,7 +42,7 @@ def profile_columns(spark: SparkSession, db_id: str, tables: dict,
         for pos, f in enumerate(tables[tname].schema.fields):
             c = comments.get((tname, f.name), f.metadata.get("comment", "")) or ""
             rows.append((db_id, tname, pos, f.name, simple_type(f.dataType),
-                         f.dataType.simpleString().upper(), f.nullable, None, c.strip()))
+                         f.dataType.simpleString().upper(), f.nullable, f.metadata.get("CURRENT_DEFAULT"), c.strip()))
     schema = ("db_id string, table_name string, position int, column_name string, type string, "
               "full_type string, nullable boolean, default string, comment string")
     return spark.createDataFrame(rows, schema)

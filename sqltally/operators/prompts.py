@@ -15,25 +15,6 @@ from pyspark.sql import functions as F
 
 SLOT = re.compile(r"\{(question|db_schema|evidence|dialect)\}")
 
-# Our own wording; any template with the four slots can be passed instead.
-TEMPLATES = {
-    "sql_expert": (
-        "You are an expert in {dialect}. Read the database description and the hints, then write one "
-        "{dialect} query that answers the question.\n\n"
-        "Question:\n{question}\n\nDatabase description:\n{db_schema}\n\nHints:\n{evidence}\n\n"
-        "Question:\n{question}\n\n```sql"),
-    "reasoning": (
-        "Database engine: {dialect}\n\nDatabase description:\n{db_schema}\n\n"
-        "Question:\n{evidence}\n{question}\n\n"
-        "Return only the columns the question asks for. Think first inside <think> </think>, then give "
-        "the final query inside <answer> </answer>."),
-}
-
-INSTRUCTION = ("Write only the SQL query for the request below, without explanation. "
-               "Start with ```sql and end with ```")
-STEP_BY_STEP = "\nWrite the SQL after reasoning step by step: "
-
-
 def fill_template(template: str, values: dict) -> Column:
     """Fill ``template`` with columns/literals given per slot name."""
     parts, pos = [], 0
@@ -56,7 +37,7 @@ def attach_schema(questions: DataFrame, schemas: DataFrame) -> DataFrame:
     return questions.join(s, "db_id", "left").withColumn("schema_found", F.col("db_schema").isNotNull())
 
 
-def build_prompts(questions: DataFrame, schemas: DataFrame, template: str = TEMPLATES["sql_expert"],
+def build_prompts(questions: DataFrame, schemas: DataFrame, template: str,
                   dialect: str = "Spark SQL", use_evidence: bool = True) -> DataFrame:
     """``prompts(question_id, db_id, prompt, schema_found)``."""
     q = attach_schema(questions, schemas)
@@ -66,32 +47,21 @@ def build_prompts(questions: DataFrame, schemas: DataFrame, template: str = TEMP
     return q.select("question_id", "db_id", prompt.alias("prompt"), "schema_found")
 
 
-def comment_prompt(question: Column, evidence: Column, dialect: str = "Spark SQL") -> Column:
-    """The question as SQL comments, with the knowledge line when present."""
-    has = evidence.isNotNull() & (evidence != "")
-    return F.when(has, F.concat(
-        F.lit("-- External knowledge: "), evidence,
-        F.lit(f"\n-- Using valid {dialect} and the external knowledge, answer the question for the tables above.\n-- "),
-        question)).otherwise(F.concat(
-            F.lit(f"-- Using valid {dialect}, answer the question for the tables above.\n-- "), question))
+def by_evidence(values: dict, given: str, missing: str) -> Column:
+    """Template ``given`` where there is evidence, else ``missing``."""
+    evidence = values["evidence"]
+    return F.when(evidence.isNotNull() & (evidence != ""), fill_template(given, values)).otherwise(fill_template(missing, values))
 
 
-def combined_prompt(questions: DataFrame, schemas: DataFrame, dialect: str = "Spark SQL",
-                    use_evidence: bool = True, step_by_step: bool = False,
-                    prefix: str | None = None) -> DataFrame:
-    """Schema, blank line, comment prompt, blank line, instruction;
-    ``step_by_step`` appends a reasoning cue, ``prefix`` a few-shot block."""
+def combined_prompt(questions: DataFrame, schemas: DataFrame, given: str, missing: str, dialect: str = "Spark SQL",
+                    use_evidence: bool = True, prefix: str = "", suffix: str = "") -> DataFrame:
+    """One of two templates by evidence, between a ``prefix`` (such
+    as worked examples) and a ``suffix`` (such as a cue to reason first)."""
     q = attach_schema(questions, schemas)
-    ev = F.col("evidence") if use_evidence else F.lit(None).cast("string")
-    parts = []
-    if prefix:
-        parts += [F.lit(prefix + "\n\n")]
-    parts += [F.coalesce(F.col("db_schema"), F.lit("")), F.lit("\n\n"),
-              comment_prompt(F.col("question"), ev, dialect)]
-    if step_by_step:
-        parts.append(F.lit(STEP_BY_STEP))
-    parts += [F.lit("\n\n" + INSTRUCTION)]
-    return q.select("question_id", "db_id", F.concat(*parts).alias("prompt"), "schema_found")
+    values = {"question": F.col("question"), "db_schema": F.col("db_schema"), "dialect": F.lit(dialect),
+              "evidence": F.col("evidence") if use_evidence else F.lit(None).cast("string")}
+    prompt = F.concat(F.lit(prefix), by_evidence(values, given, missing), F.lit(suffix))
+    return q.select("question_id", "db_id", prompt.alias("prompt"), "schema_found")
 
 
 def chat_messages(prompts: DataFrame, system: str = "") -> DataFrame:

@@ -15,7 +15,8 @@ from sqltally.plans import schema as S
 from sqltally.plans import tables as TB
 from sqltally.operators import vote
 from sqltally.plans.catalog import _CANDIDATES_CTE, ORACLE, register
-from sqltally.plans.catalog_schema import _columns_values
+from sqltally.operators.keys import union_all
+from sqltally.plans.catalog_schema import _columns_values, _defaults_sql
 from sqltally.plans.catalog_text import _EXTRACT
 from sqltally.session import scratch_path
 from sqltally.sources import files, ordered, sinks
@@ -112,23 +113,28 @@ def q_progress_roundtrip(spark, sf_dir):
 
 
 @register("schema_roundtrip", f"""
-SELECT db_id, table_name, column_name, type, pk AS primary_key FROM {_columns_values()} c
+SELECT c.db_id, c.table_name, c.column_name, c.type, c.pk AS primary_key, d."default", coalesce(d.autoincrement, false) AS autoincrement,
+       'the ' || c.table_name || ' table' AS table_comment
+FROM {_columns_values()} c LEFT JOIN ({_defaults_sql()}) d ON d.table_name = c.table_name AND d.column_name = c.column_name
 """)
 def q_schema_roundtrip(spark, sf_dir):
-    """K8 schema documents -> S9 loader."""
+    """K8 schema documents, with defaults and table comments -> S9 loader."""
     dbs = S.databases(spark, sf_dir)
     cols = S.columns(spark, dbs)
     pk = S.primary_keys(spark).select("db_id", "table_name", "column_name").withColumn("primary_key", F.lit(True))
     ex = profile.clean_examples(S.examples(dbs)).groupBy("db_id", "table_name", "column_name").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("examples"))
     full = cols.join(pk, ["db_id", "table_name", "column_name"], "left") \
-               .join(ex, ["db_id", "table_name", "column_name"], "left") \
+               .join(ex, ["db_id", "table_name", "column_name"], "left").drop("default") \
+               .join(S.defaults(S.all_tables(dbs)), ["table_name", "column_name"], "left") \
                .select("db_id", "table_name", "position", "column_name", F.col("full_type").alias("type"),
-                       "primary_key", "nullable", "comment", "examples")
+                       "primary_key", "nullable", "default", "autoincrement", "comment", "examples")
+    comments = union_all([profile.table_comments(spark, d, t, {x: f"the {x} table" for x in t}) for d, t in dbs.items()])
     path = scratch_path(spark, "schema")
-    sinks.save_schema(full, S.foreign_keys(spark), path)
-    back = files.load_schema(spark, path)["columns"]
-    return back.select("db_id", "table_name", "column_name", "type", "primary_key")
+    sinks.save_schema(full, S.foreign_keys(spark), path, comments=comments)
+    back = files.load_schema(spark, path)
+    return (back["columns"].join(back["tables"].withColumnRenamed("comment", "table_comment"), ["db_id", "table_name"])
+            .select("db_id", "table_name", "column_name", "type", "primary_key", "default", "autoincrement", "table_comment"))
 
 
 # --- streaming forms ---

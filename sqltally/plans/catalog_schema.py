@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sqltally.operators import profile, schema_text
+from sqltally.operators import keys, profile, schema_text
 from sqltally.plans import schema as S
 from sqltally.plans import tables as TB
 from sqltally.plans.catalog import register
@@ -308,3 +308,82 @@ def q_schema_check(spark, sf_dir):
     refs = base.unionByName(base.select("table_name", F.upper("column_name").alias("column_name"))) \
                .unionByName(base.select(F.concat("table_name", F.lit("s")).alias("table_name"), "column_name"))
     return profile.schema_check(cols, refs)
+
+
+# --- keys, references and defaults found in the data ---
+
+INTS, FAMILY = ("INT", "BIGINT"), {"INT": "n", "BIGINT": "n", "STRING": "s", "TIMESTAMP_NTZ": "t"}
+
+
+def _atomic_columns() -> list[tuple[str, str, str]]:
+    return [(t, c, typ) for t, cols in TB.TABLE_COLUMNS.items() for c, typ in cols if not typ.startswith("ARRAY")]
+
+
+def _single_keys_sql() -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT {_q(t)} AS table_name, {_q(c)} AS column_name, count(*) > 0 AND count({c}) = count(*) "
+        f"AND count(DISTINCT {c}) = count(*) AS holds, count(*) > 0 AND count({c}) = count(*) AS filled FROM {t}"
+        for t, c, _ in _atomic_columns())
+
+
+def _unique_oracle() -> str:
+    pairs = []
+    for t, cols in TB.TABLE_COLUMNS.items():
+        names = [c for c, typ in cols if not typ.startswith("ARRAY")]
+        pairs += [f"SELECT {_q(t)} AS table_name, {_q(a)} AS a, {_q(b)} AS b, (SELECT count(*) FROM (SELECT DISTINCT {a}, {b} FROM {t})) = "
+                  f"(SELECT count(*) FROM {t}) AS holds" for i, a in enumerate(names) for b in names[i + 1:]]
+    return f"""
+WITH one AS ({_single_keys_sql()}), two AS ({' UNION ALL '.join(pairs)})
+SELECT table_name, column_name AS key_columns, 1 AS n_columns FROM one WHERE holds
+UNION ALL
+SELECT p.table_name, p.a || ',' || p.b, 2 FROM two p JOIN one x ON x.table_name = p.table_name AND x.column_name = p.a
+JOIN one y ON y.table_name = p.table_name AND y.column_name = p.b
+WHERE p.holds AND x.filled AND y.filled AND NOT x.holds AND NOT y.holds
+"""
+
+
+@register("unique_check", _unique_oracle())
+def q_unique_check(spark, sf_dir):
+    """All minimal keys of up to two columns of all tables."""
+    found = keys.candidate_keys(S.all_tables(S.databases(spark, sf_dir)))
+    return spark.createDataFrame([(t, ",".join(c), len(c)) for t, c in found], "table_name string, key_columns string, n_columns int")
+
+
+def _inclusion_sql() -> str:
+    cols = [(t, c, FAMILY[typ]) for t, c, typ in _atomic_columns() if typ in FAMILY]
+    parts = [f"SELECT {_q(t)} AS table_name, {_q(c)} AS column_name, {_q(rt)} AS ref_table, {_q(rc)} AS ref_column, "
+             f"(SELECT count(DISTINCT {c}) FROM {t}) AS n_values, "
+             f"(SELECT count(*) FROM (SELECT {c} FROM {t} WHERE {c} IS NOT NULL EXCEPT SELECT {rc} FROM {rt})) AS missing"
+             for t, c, k in cols for rt, rc, rk in cols if k == rk and (t, c) != (rt, rc)]
+    return f"""
+WITH one AS ({_single_keys_sql()})
+SELECT d.table_name, d.column_name, d.ref_table, d.ref_column, d.n_values::BIGINT AS n_values FROM ({' UNION ALL '.join(parts)}) d
+JOIN one k ON k.table_name = d.ref_table AND k.column_name = d.ref_column WHERE k.holds AND d.missing = 0 AND d.n_values > 0
+"""
+
+
+@register("inclusion_check", _inclusion_sql())
+def q_inclusion_check(spark, sf_dir):
+    """Every column whose values all lie in a one-column key: all references that could be declared."""
+    tabs = S.all_tables(S.databases(spark, sf_dir))
+    return keys.inclusion_dependencies(tabs, keys.candidate_keys(tabs, most=1))
+
+
+def _defaults_sql() -> str:
+    parts = []
+    for t, c, typ in _atomic_columns():
+        even = "false"
+        if typ in INTS:
+            even = (f"(SELECT n > 1 AND n = d AND n = f AND (hi - lo) % (n - 1) = 0 AND (SELECT count(*) = 0 FROM {t} x "
+                    f"WHERE (x.{c} - lo) % greatest((hi - lo) // (n - 1), 1) <> 0) FROM (SELECT count(*) AS n, count(DISTINCT {c}) AS d, "
+                    f"count({c}) AS f, min({c})::BIGINT AS lo, max({c})::BIGINT AS hi FROM {t}) s)")
+        parts.append(f"SELECT {_q(t)} AS table_name, {_q(c)} AS column_name, (SELECT CAST({c} AS VARCHAR) FROM {t} WHERE {c} IS NOT NULL "
+                     f"GROUP BY {c} HAVING count(*) * 2 > (SELECT count(*) FROM {t})) AS \"default\", coalesce({even}, false) AS autoincrement")
+    return " UNION ALL ".join(parts)
+
+
+@register("default_check", _defaults_sql())
+def q_default_check(spark, sf_dir):
+    """Defaults that the data suggests and counting columns."""
+    tabs = S.all_tables(S.databases(spark, sf_dir))
+    return S.defaults(tabs)

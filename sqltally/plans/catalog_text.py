@@ -129,6 +129,11 @@ def q_error_category(spark, sf_dir):
 
 # --- prompts ---
 
+# Plain templates: what a prompt says is up to the user.
+PLAIN = "{dialect}\n{db_schema}\n{evidence}\n{question}"
+FAMILIES = {"plain": PLAIN, "short": "{question} | {db_schema}"}
+GIVEN, MISSING = "{db_schema}\n-- {evidence}\n-- {question}", "{db_schema}\n-- {question}"
+
 _QUESTIONS = """
 SELECT item_id AS question_id, CASE WHEN item_id % 2 = 0 THEN 'star' ELSE 'text' END AS db_id,
        text AS question, CASE WHEN item_id % 3 = 0 THEN NULL ELSE split_part(text, '.', 1) END AS evidence
@@ -156,7 +161,7 @@ def _prompts_sql(use_evidence: bool = True) -> str:
     vals = {"question": "q.question", "db_schema": "s.text",
             "evidence": "q.evidence" if use_evidence else "''", "dialect": "'Spark SQL'"}
     return f"""
-SELECT q.question_id, q.db_id, {_template_sql(prompts.TEMPLATES['sql_expert'], vals)} AS prompt,
+SELECT q.question_id, q.db_id, {_template_sql(PLAIN, vals)} AS prompt,
        s.text IS NOT NULL AS schema_found
 FROM ({_QUESTIONS}) q LEFT JOIN ({_schemas_sql()}) s ON q.db_id = s.db_id
 """
@@ -168,12 +173,12 @@ def _schemas(spark, sf_dir):
 
 @register("build_prompts", _prompts_sql())
 def q_build_prompts(spark, sf_dir):
-    return prompts.build_prompts(TB.bench_questions(spark, sf_dir), _schemas(spark, sf_dir))
+    return prompts.build_prompts(TB.bench_questions(spark, sf_dir), _schemas(spark, sf_dir), PLAIN)
 
 
 @register("evidence_off", _prompts_sql(use_evidence=False))
 def q_evidence_off(spark, sf_dir):
-    return prompts.build_prompts(TB.bench_questions(spark, sf_dir), _schemas(spark, sf_dir),
+    return prompts.build_prompts(TB.bench_questions(spark, sf_dir), _schemas(spark, sf_dir), PLAIN,
                                  use_evidence=False)
 
 
@@ -183,27 +188,33 @@ UNION ALL
 SELECT question_id, 1, 'user', prompt FROM ({_prompts_sql()}) p
 """)
 def q_messages(spark, sf_dir):
-    p = prompts.chat_messages(prompts.build_prompts(TB.bench_questions(spark, sf_dir), _schemas(spark, sf_dir)))
+    p = prompts.chat_messages(prompts.build_prompts(TB.bench_questions(spark, sf_dir), _schemas(spark, sf_dir), PLAIN))
     return p.select("question_id", F.posexplode("messages").alias("msg_ord", "m")).select(
         "question_id", "msg_ord", "m.role", "m.content")
 
 
-def _comment_sql() -> str:
-    with_ev = (f"'-- External knowledge: ' || q.evidence || {_q(chr(10) + '-- Using valid Spark SQL and the external knowledge, answer the question for the tables above.' + chr(10) + '-- ')}"
-               " || q.question")
-    without = f"{_q('-- Using valid Spark SQL, answer the question for the tables above.' + chr(10) + '-- ')} || q.question"
-    cp = f"CASE WHEN q.evidence IS NOT NULL AND q.evidence <> '' THEN {with_ev} ELSE {without} END"
+def _comment_sql(prefix: str = "", suffix: str = "") -> str:
+    vals = {"question": "q.question", "db_schema": "s.text", "evidence": "q.evidence", "dialect": "'Spark SQL'"}
     return f"""
-SELECT q.question_id, q.db_id,
-       coalesce(s.text, '') || {NL} || {NL} || {cp} || {_q(chr(10) + chr(10) + prompts.INSTRUCTION)} AS prompt,
-       s.text IS NOT NULL AS schema_found
+SELECT q.question_id, q.db_id, {_q(prefix)} || CASE WHEN q.evidence IS NOT NULL AND q.evidence <> '' THEN {_template_sql(GIVEN, vals)}
+       ELSE {_template_sql(MISSING, vals)} END || {_q(suffix)} AS prompt, s.text IS NOT NULL AS schema_found
 FROM ({_QUESTIONS}) q LEFT JOIN ({_schemas_sql()}) s ON q.db_id = s.db_id
 """
 
 
 @register("comment_prompt", _comment_sql())
 def q_comment_prompt(spark, sf_dir):
-    return prompts.combined_prompt(TB.bench_questions(spark, sf_dir), _schemas(spark, sf_dir))
+    return prompts.combined_prompt(TB.bench_questions(spark, sf_dir), _schemas(spark, sf_dir), GIVEN, MISSING)
+
+
+SHOTS, CUE = "-- how many\nSELECT count(*)\n\n", "\n-- steps:"
+
+
+@register("few_shot_prompt", _comment_sql(SHOTS, CUE))
+def q_few_shot_prompt(spark, sf_dir):
+    """The prompt between worked examples and a cue."""
+    return prompts.combined_prompt(TB.bench_questions(spark, sf_dir), _schemas(spark, sf_dir), GIVEN, MISSING,
+                                   prefix=SHOTS, suffix=CUE)
 
 
 @register("generate_candidates", f"""
@@ -213,7 +224,7 @@ SELECT question_id, CAST(j AS INTEGER) AS ord,
 FROM (SELECT question_id, prompt, unnest(range({N_CANDIDATES})) AS j FROM ({_prompts_sql()}) p) x
 """)
 def q_generate_candidates(spark, sf_dir):
-    p = prompts.build_prompts(TB.bench_questions(spark, sf_dir), _schemas(spark, sf_dir))
+    p = prompts.build_prompts(TB.bench_questions(spark, sf_dir), _schemas(spark, sf_dir), PLAIN)
     return generate.generate_candidates(p, TB.echo_model, N_CANDIDATES)
 
 
@@ -247,12 +258,12 @@ def q_resume(spark, sf_dir):
 
 def _family_sql() -> str:
     vals = {"question": "q.question", "db_schema": "s.text", "evidence": "q.evidence", "dialect": "'Spark SQL'"}
-    fam = "CASE WHEN q.question_id % 5 = 4 THEN 'unknown' WHEN q.question_id % 2 = 0 THEN 'sql_expert' ELSE 'reasoning' END"
+    fam = "CASE WHEN q.question_id % 5 = 4 THEN 'unknown' WHEN q.question_id % 2 = 0 THEN 'plain' ELSE 'short' END"
     return f"""
 SELECT question_id, db_id, family, prompt, schema_found, prompt IS NOT NULL AS template_found FROM (
   SELECT q.question_id, q.db_id, {fam} AS family,
-         CASE WHEN {fam} = 'sql_expert' THEN {_template_sql(prompts.TEMPLATES['sql_expert'], vals)}
-              WHEN {fam} = 'reasoning' THEN {_template_sql(prompts.TEMPLATES['reasoning'], vals)} END AS prompt,
+         CASE WHEN {fam} = 'plain' THEN {_template_sql(PLAIN, vals)}
+              WHEN {fam} = 'short' THEN {_template_sql(FAMILIES['short'], vals)} END AS prompt,
          s.text IS NOT NULL AS schema_found
   FROM ({_QUESTIONS}) q LEFT JOIN ({_schemas_sql()}) s ON q.db_id = s.db_id) x
 """
@@ -263,8 +274,25 @@ def q_prompts_by_family(spark, sf_dir):
     """Template chosen per question by a model-family column (one family
     has no template and is flagged)."""
     qid = F.col("question_id")
-    fam = (F.when(qid % 5 == 4, F.lit("unknown")).when(qid % 2 == 0, F.lit("sql_expert"))
-           .otherwise(F.lit("reasoning")))
+    fam = (F.when(qid % 5 == 4, F.lit("unknown")).when(qid % 2 == 0, F.lit("plain"))
+           .otherwise(F.lit("short")))
     q = TB.bench_questions(spark, sf_dir).withColumn("family", fam)
-    return prompts.build_prompts_by_family(q, _schemas(spark, sf_dir), "family",
-                                           {k: prompts.TEMPLATES[k] for k in ("sql_expert", "reasoning")})
+    return prompts.build_prompts_by_family(q, _schemas(spark, sf_dir), "family", FAMILIES)
+
+
+def thinking_model(texts: list, n: int) -> list:
+    """A stand-in model: the answer's tags are there for every other length of prompt only."""
+    return [[f"<think> {len(t)} </think> <answer> SELECT {j} </answer>" if len(t) % 2 else f"SELECT {j}" for j in range(n)] for t in texts]
+
+
+@register("retry_until_answer", """
+SELECT item_id AS question_id, CASE WHEN length(text) % 2 = 1 THEN CAST(length(text) AS VARCHAR) END AS thinking,
+       CASE WHEN length(text) % 2 = 1 THEN 'SELECT 0' END AS sql
+FROM benchmark
+""")
+def q_retry_until_answer(spark, sf_dir):
+    """Three attempts at most until thinking and answer are both there; a question without them stays, empty."""
+    q = TB.bench_questions(spark, sf_dir).select("question_id", F.col("question").alias("prompt"))
+    r = generate.generate_candidates(q, thinking_model, 1, max_attempts=3, is_valid=generate.has_think_answer)
+    both = q.join(r, "question_id", "left").withColumn("x", T.extract_answer("response"))
+    return both.select("question_id", F.col("x.think").alias("thinking"), F.col("x.answer").alias("sql"))

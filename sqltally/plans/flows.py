@@ -73,12 +73,11 @@ def generate_and_vote(spark: SparkSession, prompt_table: DataFrame, questions: D
                           questions.select("question_id", "difficulty"))
 
 
-def generate_sql(spark: SparkSession, questions: DataFrame, schemas: DataFrame, fn: Callable,
-                 max_attempts: int = 3, template: str | None = None) -> DataFrame:
+def generate_sql(spark: SparkSession, questions: DataFrame, schemas: DataFrame, fn: Callable, template: str,
+                 max_attempts: int = 3) -> DataFrame:
     """Flow C: ``question_id, db_id, sql, packed`` (``sql``/``packed`` NULL
     when no attempt produced a statement)."""
-    p = (prompts.build_prompts(questions, schemas, template) if template
-         else prompts.combined_prompt(questions, schemas))
+    p = prompts.build_prompts(questions, schemas, template)
     responses = _stored(spark, generate.generate_candidates(p, fn, 1, max_attempts=max_attempts))
     out = p.select("question_id", "db_id").join(responses, "question_id", "left") \
            .select("question_id", "db_id", extract_sql("response").alias("sql"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqltally.operators import profile, schema_text
+from sqltally.operators import keys, profile, schema_text
 from sqltally.plans import tables as TB
 
 
@@ -54,6 +54,12 @@ def foreign_keys(spark: SparkSession) -> DataFrame:
         rows, "db_id string, table_name string, column_name string, ref_table string, ref_column string")
 
 
+def defaults(tables: dict) -> DataFrame:
+    """``table_name, column_name, default, autoincrement`` found in the data."""
+    statistics = keys.column_statistics(tables)
+    return keys.column_defaults(tables, keys.candidate_keys(tables, 1, statistics), statistics)
+
+
 def mschema(spark: SparkSession, sf_dir: str, example_num: int = 3, k: int = 5) -> dict:
     """Frames of the whole profiling flow."""
     dbs = databases(spark, sf_dir)

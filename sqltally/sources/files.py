@@ -137,7 +137,7 @@ SCHEMA_DUMP = T.StructType([
 
 
 def load_schema(spark: SparkSession, path: str, multi_line: bool = False) -> dict:
-    """Saved schema documents -> ``columns`` and ``keys`` frames.
+    """Saved schema documents -> ``columns``, ``foreign_keys`` and ``tables`` frames.
 
     ``multi_line=False`` reads one document per line (as ``save_schema``
     writes them, split across tasks); ``True`` reads pretty-printed files
@@ -151,9 +151,11 @@ def load_schema(spark: SparkSession, path: str, multi_line: bool = False) -> dic
     cols = t.select("db_id", "table_name", F.posexplode(F.map_entries("t.fields")).alias("position", "f")) \
             .select("db_id", "table_name", "position", F.col("f.key").alias("column_name"),
                     F.col("f.value.type").alias("type"), F.col("f.value.primary_key").alias("primary_key"),
-                    F.col("f.value.nullable").alias("nullable"), F.col("f.value.comment").alias("comment"),
+                    F.col("f.value.nullable").alias("nullable"), F.col("f.value.default").alias("default"),
+                    F.col("f.value.autoincrement").alias("autoincrement"), F.col("f.value.comment").alias("comment"),
                     F.col("f.value.examples").alias("examples"))
     fks = doc.select("db_id", F.explode("foreign_keys").alias("fk")).select(
         "db_id", F.col("fk")[0].alias("table_name"), F.col("fk")[1].alias("column_name"),
         F.col("fk")[3].alias("ref_table"), F.col("fk")[4].alias("ref_column"))
-    return {"columns": cols, "foreign_keys": fks}
+    return {"columns": cols, "foreign_keys": fks,
+            "tables": t.select("db_id", "table_name", F.col("t.comment").alias("comment"))}

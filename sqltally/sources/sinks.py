@@ -56,20 +56,29 @@ def write_predictions(df: DataFrame, path: str, single_document: bool = False,
     write_ordered(p.select("question_id", entry.alias("e")), path, "question_id", "e", "{", "}", ", ", mode)
 
 
-def save_schema(columns: DataFrame, foreign_keys: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def save_schema(columns: DataFrame, foreign_keys: DataFrame, path: str, mode: str = "errorifexists",
+                comments: DataFrame | None = None) -> None:
     """K8: one schema document per database (``db_id, schema, tables,
-    foreign_keys``), tables and fields as JSON objects keyed by name."""
+    foreign_keys``), tables and fields as JSON objects keyed by name.
+
+    ``columns`` may hold ``default`` and ``autoincrement``; ``comments(db_id,
+    table_name, comment)`` are those of the tables."""
+    given = lambda name, other: F.col(name) if name in columns.columns else other
     field = F.struct(F.col("type"), F.coalesce(F.col("primary_key"), F.lit(False)).alias("primary_key"),
-                     F.col("nullable"), F.lit(None).cast("string").alias("default"),
-                     F.lit(False).alias("autoincrement"), F.coalesce(F.col("comment"), F.lit("")).alias("comment"),
+                     F.col("nullable"), given("default", F.lit(None)).cast("string").alias("default"),
+                     F.coalesce(given("autoincrement", F.lit(False)), F.lit(False)).alias("autoincrement"),
+                     F.coalesce(F.col("comment"), F.lit("")).alias("comment"),
                      F.coalesce(F.col("examples"), F.array().cast("array<string>")).alias("examples"))
+    if comments is None:
+        comments = columns.select("db_id", "table_name", F.lit("").alias("comment")).distinct()
     tables = (columns.groupBy("db_id", "table_name")
               .agg(F.map_from_entries(F.transform(
                   F.sort_array(F.collect_list(F.struct("position", "column_name", field.alias("f")))),
                   lambda s: F.struct(s["column_name"], s["f"]))).alias("fields"))
+              .join(comments.select("db_id", "table_name", "comment"), ["db_id", "table_name"], "left")
               .select("db_id", "table_name", F.struct(
                   "fields", F.array().cast("array<string>").alias("examples"),
-                  F.lit("").alias("comment")).alias("t")))
+                  F.coalesce("comment", F.lit("")).alias("comment")).alias("t")))
     by_name = lambda a, b: F.when(a["table_name"] < b["table_name"], -1).when(
         a["table_name"] > b["table_name"], 1).otherwise(0)
     per_db = tables.groupBy("db_id").agg(F.map_from_entries(F.array_sort(F.collect_list(

@@ -41,7 +41,7 @@ def test_flow_a_matches_workload_scores(spark):
 def test_flow_c_generates_packed_sql(spark):
     q = TB.bench_questions(spark, SF)
     schemas = spark.createDataFrame([("star", "S1"), ("text", "S2")], "db_id string, text string")
-    out = flows.generate_sql(spark, q, schemas, TB.echo_model).collect()
+    out = flows.generate_sql(spark, q, schemas, TB.echo_model, "{db_schema}: {question}").collect()
     assert len(out) == q.count()
     assert all(r.sql.startswith("SELECT 0 AS candidate") and r.packed.endswith(r.db_id) for r in out)
 

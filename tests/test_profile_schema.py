@@ -102,7 +102,7 @@ def test_template_fill_is_single_pass(spark):
 def test_unknown_database_flagged(spark):
     q = spark.createDataFrame([(1, "nodb", "q", "e")], "question_id long, db_id string, question string, evidence string")
     s = spark.createDataFrame([("db", "SCHEMA")], "db_id string, text string")
-    r = prompts.build_prompts(q, s).collect()[0]
+    r = prompts.build_prompts(q, s, "{question}").collect()[0]
     assert r.schema_found is False
 
 
