@@ -13,13 +13,14 @@
    into bands of sizes (a link joins equal or neighbouring bands only) and blocks
    of ``BLOCK``; a tile is two blocks.  All its pairs of different components are
    looked at, none is left out.
-6. Bound.  Each set has a bitmap in which every shingle flips one of ``BITS``
-   bits.  The bits in which two bitmaps differ are a lower bound of the shingles
-   that only one of them has, so that sizes minus bits bound the overlap from above.
-   The pairs left are settled by intersecting their sorted arrays.
-7. Components of the links, by grouped minima.
-
-Arrays travel for the pairs that pass the bound only, made again from the texts.
+6. Bound.  Each set has a bitmap in which every shingle flips one bit; larger sets
+   have longer ones, and the halves of a longer one, put together, are the shorter.
+   The bits in which two bitmaps differ are a lower bound of the shingles that only
+   one of them has, so that sizes minus bits bound the overlap from above.
+7. The pairs left are settled by intersecting their sorted arrays, made again from
+   the texts.  Pairs that hang together go to one place, in blocks, so that an array
+   travels once a block and not once a pair.
+8. Components of the links, by grouped minima.
 
 Defined results: words are runs without white space, A-Z as a-z; a text of fewer
 than five words is one shingle; one without words (a null is empty) has an empty
@@ -46,33 +47,43 @@ from sqltally.llm.tokens import classes, hashes, mixed, steps, words_of
 
 SHINGLE = 5
 PERCENT = 80
-SLOTS = 1 << 20  # counters of shingles, whatever the corpus
-SLOT_BLOCK = 1 << 14
-BITS = 512
+SLOTS = 1 << 22  # counters of shingles, whatever the corpus
+SLOT_BLOCK = 1 << 16
+LEAST_BITS, MOST_BITS = 64, 1 << 14  # of a bitmap; it has at least two bits a shingle in between
 BLOCK = 1024  # sets of a shingle that a tile holds on each side
+PLACE = 256  # sets of connected pairs that meet on each side when their arrays are compared
+PAIRS = 400_000  # pairs looked at at once
 BAND = 100 / PERCENT  # sizes of a band differ by less than this factor
 
 _SPACE = classes(b" \t\n\v\f\r")
 _TOP = np.uint64(64 - SLOTS.bit_length() + 1)
-_BIT = np.uint64(64 - BITS.bit_length() + 1)
 
 
-def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, value): the different shingles of each text, by text and value."""
+def _values(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, value): all shingles in the order of the texts."""
     w = words_of(texts, _SPACE)
     h, n = hashes(w.names.to_pylist())[w.ids], len(w.ids)
-    end = np.searchsorted(w.doc, w.doc, "right")
+    end = np.searchsorted(w.doc, np.arange(len(texts)), "right")[w.doc]
     at = np.arange(n)
     value = np.zeros(n, np.uint64)
     for k in range(size):
         more = at + k < end
-        value[more] = mixed(value[more] + h[(at + k)[more]])
+        if more.all():
+            value = mixed(value + (h[k:] if k else h))
+        else:
+            value[more] = mixed(value[more] + h[(at + k)[more]])
     first = np.ones(n, bool)
     first[1:] = w.doc[1:] != w.doc[:-1]
     whole = first | (at + size <= end)
-    doc, value = w.doc[whole], value[whole]
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
+    return w.doc[whole], value[whole]
+
+
+def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, value): the different shingles of each text, by text and value."""
+    doc, value = _values(texts, size)
+    ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+    for p, q in zip(ends[:-1], ends[1:]):
+        value[p:q].sort()
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
     return doc[new], value[new]
@@ -87,10 +98,11 @@ def frequencies(texts: DataFrame) -> bytes:
     """A level for each slot of shingles: twice the binary logarithm of its count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(SLOTS, np.int64)
+        n = np.zeros(SLOTS, np.uint32)
         with np.errstate(over="ignore"):
             for b in steps(batches, 0):
-                n += np.bincount((shingles(b.column(0))[1] >> _TOP).astype(np.int64), minlength=SLOTS)
+                slot, times = np.unique((_values(b.column(0))[1] >> _TOP).astype(np.uint32), return_counts=True)
+                n[slot] += times.astype(np.uint32)
         parts = [zlib.compress(n[k:k + SLOT_BLOCK].tobytes(), 1) for k in range(0, SLOTS, SLOT_BLOCK)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())],
                                          names=["block", "counts"])
@@ -99,7 +111,7 @@ def frequencies(texts: DataFrame) -> bytes:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for block, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                sums[block] = sums.get(block, 0) + np.frombuffer(zlib.decompress(counts.as_py()), np.int64)
+                sums[block] = sums.get(block, 0) + np.frombuffer(zlib.decompress(counts.as_py()), np.uint32).astype(np.int64)
         levels = [np.floor(2 * np.log2(1 + n)).astype(np.uint8).tobytes() for n in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())],
                                          names=["block", "counts"])
@@ -112,11 +124,19 @@ def frequencies(texts: DataFrame) -> bytes:
     return bytes(out)
 
 
-def bitmaps(doc: np.ndarray, value: np.ndarray, docs: int) -> np.ndarray:
-    """A row of BITS / 8 bytes for each text: the parity of the shingles of each bit."""
-    at = doc.astype(np.int64) * BITS + (mixed(value) >> _BIT).astype(np.int64)
-    odd = np.bincount(at, minlength=docs * BITS).astype(np.uint8) & 1
-    return np.packbits(odd.reshape(docs, BITS), axis=1)
+def bits_of(n: np.ndarray) -> np.ndarray:
+    """How many bits the bitmap of a set of ``n`` shingles has: a power of two."""
+    return np.clip(2 ** np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+
+
+def bitmaps(doc: np.ndarray, value: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For each text the parity of the shingles of each bit; ``n`` are the sets' sizes."""
+    bits = bits_of(n)
+    start = np.concatenate([[0], np.cumsum(bits)])
+    at = start[doc] + (mixed(value).astype(np.int64) & (bits[doc] - 1))
+    odd = (np.bincount(at, minlength=start[-1]) & 1).astype(np.uint8)
+    packed = np.packbits(odd, bitorder="little").tobytes()
+    return [packed[p // 8:q // 8] for p, q in zip(start[:-1], start[1:])]
 
 
 _DESCRIBED = [StructField("n", IntegerType()), StructField("key", BinaryType()), StructField("bits", BinaryType()),
@@ -132,68 +152,96 @@ def describe(rows: DataFrame, levels: bytes) -> DataFrame:
         for b in steps(batches, 2):
             with np.errstate(over="ignore"):
                 doc, value = shingles(b.column(2))
-                bits = bitmaps(doc, value, b.num_rows)
-            n = np.bincount(doc, minlength=b.num_rows)
+                n = np.bincount(doc, minlength=b.num_rows)
+                bits = bitmaps(doc, value, n)
             ends = np.concatenate([[0], np.cumsum(n)])
             keys = [hashlib.md5(value[ends[i]:ends[i + 1]]).digest() if n[i] else None for i in range(b.num_rows)]
-            order = np.argsort(doc.astype(np.int64) * 256 + level[(value >> _TOP).astype(np.int64)], kind="stable")
-            doc, value = doc[order], value[order]
-            mine = np.arange(len(doc)) - ends[doc] <= (n - least(n))[doc]
-            sizes = np.bincount(doc[mine], minlength=b.num_rows)
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()),
-                                              pa.array(value[mine].view(np.int64)))
+            rank, few = level[(value >> _TOP).astype(np.int64)], np.where(n > 0, n - least(n) + 1, 0)
+            first = [np.argsort(rank[p:p + k], kind="stable")[:f] + p for p, k, f in zip(ends[:-1], n, few) if k]
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(few)]), pa.int32()),
+                                              pa.array(value[np.concatenate(first) if first else []].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(keys, pa.binary()),
-                 pa.array([x.tobytes() for x in bits], pa.binary()), prefix], names=["id", "text_key", "n", "key", "bits", "prefix"])
+                 pa.array(bits, pa.binary()), prefix], names=["id", "text_key", "n", "key", "bits", "prefix"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields[:2], *_DESCRIBED]))
 
 
-def can_link(na: np.ndarray, nb: np.ndarray, xa: np.ndarray, xb: np.ndarray) -> np.ndarray:
-    """Whether sizes and bitmaps (rows of 64-bit words) leave room for a link."""
+class Sets:
+    """Sizes and bitmaps of the sets of a batch."""
+
+    def __init__(self, n: np.ndarray, bits: pa.Array):
+        self.n, self.words = n, bits_of(n) // 64
+        self.data = np.frombuffer(b"".join(bits.to_pylist()), np.uint64)
+        self.start = np.concatenate([[0], np.cumsum(self.words)])
+
+    def rows(self, which: np.ndarray, words: int) -> np.ndarray:
+        """The bitmaps of some sets, halved down to ``words`` 64-bit words each."""
+        out = np.empty((len(which), words), np.uint64)
+        own = self.words[which]
+        for w in np.unique(own).tolist():
+            mine = np.flatnonzero(own == w)
+            x = self.data[self.start[which[mine]][:, None] + np.arange(w)]
+            while x.shape[1] > words:
+                x = x[:, :x.shape[1] // 2] ^ x[:, x.shape[1] // 2:]
+            out[mine] = x
+        return out
+
+
+def can_link(a: Sets, i: np.ndarray, b: Sets, j: np.ndarray) -> np.ndarray:
+    """Of pairs of set i of ``a`` and set j of ``b``, whether sizes and bitmaps leave room for a link."""
+    na, nb = a.n[i], b.n[j]
     out = 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
-    at = np.flatnonzero(out)
-    for k in range(0, len(at), 100_000):
-        i = at[k:k + 100_000]
-        apart = np.bitwise_count(xa[i] ^ xb[i]).sum(1, dtype=np.int64)
-        total = na[i] + nb[i]
-        # overlap <= (total - apart) / 2, and it must be at least PERCENT of the union
-        out[i] = (100 + PERCENT) * (total - apart) >= 2 * PERCENT * total
+    words = np.minimum(a.words[i], b.words[j])
+    for w in np.unique(words[out]).tolist():
+        at = np.flatnonzero(out & (words == w))
+        for k in (at[p:p + (1 << 22) // w] for p in range(0, len(at), (1 << 22) // w)):
+            apart = np.bitwise_count(a.rows(i[k], w) ^ b.rows(j[k], w)).sum(1, dtype=np.int64)
+            total = na[k] + nb[k]
+            # overlap <= (total - apart) / 2, and it must be at least PERCENT of the union
+            out[k] = (100 + PERCENT) * (total - apart) >= 2 * PERCENT * total
     return out
 
 
-def _bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+_PAIR = StructType([StructField("a", LongType()), StructField("b", LongType())])
 
 
-_PAIR = StructType([StructField("a", LongType()), StructField("b", LongType())])
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            na, nb = (b[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("na", "nb"))
-            yield b.select(["a", "b"]).filter(pa.array(can_link(na, nb, _bits(b["xa"]), _bits(b["xb"]))))
+            x, y = (Sets(b["n" + s].to_numpy(zero_copy_only=False).astype(np.int64), b["x" + s]) for s in "ab")
+            at = np.arange(b.num_rows)
+            yield b.select(["a", "b"]).filter(pa.array(can_link(x, at, y, at)))
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs of different components of each tile that the bound lets pass."""
     for b in batches:
-        for row in range(b.num_rows):
-            m = b["sets"][row].values
-            band, own, root, sid, n = (m.field(c).to_numpy().astype(np.int64) for c in ("band", "own", "root", "sid", "n"))
-            bits = _bits(m.field("bits"))
-            tile, apart = b["tile"][row].as_py(), b["x"][row].as_py() != b["y"][row].as_py()
-            for i in range(len(n) - 1):
-                j = np.arange(i + 1, len(n))
-                good = (root[j] != root[i]) & (np.maximum(band[j], band[i]) == tile)
-                if apart:
-                    good &= own[j] != own[i]  # pairs inside one block have a tile of their own
-                j = j[good]
-                j = j[can_link(np.broadcast_to(n[i], len(j)), n[j], np.broadcast_to(bits[i], (len(j), bits.shape[1])), bits[j])]
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[j], sid[i])), pa.array(np.maximum(sid[j], sid[i]))],
-                                                     names=["a", "b"])
+        m = b["sets"].values
+        if not len(m):
+            continue
+        band, own, root, sid, n = (m.field(c).to_numpy().astype(np.int64) for c in ("band", "own", "root", "sid", "n"))
+        sets = Sets(n, m.field("bits"))
+        size = np.diff(b["sets"].offsets.to_numpy())
+        tile, apart = (np.repeat(x, size) for x in (b["tile"].to_numpy(), b["x"].to_numpy() != b["y"].to_numpy()))
+        after = np.repeat(np.cumsum(size), size) - np.arange(len(n)) - 1  # sets that follow each in its tile
+        done = np.concatenate([[0], np.cumsum(after)])
+        at = 0
+        while at < len(n):
+            end = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS, "right")) - 1)
+            i = np.repeat(np.arange(at, end), after[at:end])
+            j = i + 1 + np.arange(len(i)) - np.repeat(done[at:end] - done[at], after[at:end])
+            good = (root[i] != root[j]) & (abs(band[i] - band[j]) < 2)
+            # a pair belongs to the higher band's tile; pairs inside one block have a tile of their own
+            good &= ((tile[i] < 0) | (np.maximum(band[i], band[j]) == tile[i])) & (~apart[i] | (own[i] != own[j]))
+            i, j = i[good], j[good]
+            keep = can_link(sets, i, sets, j)
+            yield _pairs(*np.unique(np.stack([sid[i[keep]], sid[j[keep]]]), axis=1))
+            at = end
 
 
 def crossing(members: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
@@ -205,7 +253,7 @@ def crossing(members: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("int")
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = (rows.withColumn("band", band).withColumn("own", F.pmod(F.xxhash64("sid"), parts).cast("int"))
-            .withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+            .withColumn("tile", F.explode(F.when(parts > 1, F.array(F.col("band"), F.col("band") + 1)).otherwise(F.array(F.lit(-1)))))
             .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))))
     tiles = rows.groupBy("token", "tile", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(
         F.collect_list(F.struct("band", "own", "root", "sid", "n", "bits")).alias("sets"))
@@ -230,26 +278,32 @@ def verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["sid", "values"])
 
     kind = StructType([StructField("sid", LongType()), StructField("values", BinaryType())])
-    made = written(found.select("sid", "text").mapInArrow(arrays, kind), "jaccard-arrays")
-    side = lambda s: made.select(F.col("sid").alias(s), F.col("values").alias(f"v{s}"))
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b["va"], b["vb"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(y) < len(x):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    links = written(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "va", "vb").mapInArrow(linked, _PAIR),
-                    "jaccard-links")
-    discard(made)
-    discard(pairs)
-    return links
+    made = found.select("sid", "text").mapInArrow(arrays, StructType([StructField("sid", LongType()), StructField("values", BinaryType())]))
+    # where pairs meet: the sets that they connect, in blocks
+    group = components(pairs)
+    nodes = written(group.union(group.select(F.col("root").alias("key"), "root").distinct()), "jaccard-nodes")
+    parts = nodes.groupBy("root").agg(F.ceil(F.count("*") / PLACE).cast("int").alias("parts"))
+    group = written(nodes.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int")), "jaccard-places")
+    side = lambda s: group.select(F.col("key").alias(s), F.col("part").alias(f"p{s}"))
+    placed = (pairs.join(side("a"), "a").join(side("b"), "b").join(group.select(F.col("key").alias("a"), "root"), "a")
+              .select("root", F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y"), "a", "b"))
+    spread = (made.join(group.withColumnRenamed("key", "sid"), "sid")
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+              .select("root", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "sid", "values"))
+
+    def linked(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        of = {k: np.frombuffer(v.as_buffer(), np.uint64) for k, v in zip(sets["sid"].to_pylist(), sets["values"])}
+        keep = []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
+            x, y = of[a], of[b]
+            if len(y) < len(x):
+                x, y = y, x
+            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    where = ["root", "x", "y"]
+    return written(placed.groupBy(*where).cogroup(spread.groupBy(*where)).applyInArrow(linked, _PAIR), "jaccard-links")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

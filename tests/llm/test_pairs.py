@@ -256,6 +256,7 @@ def test_jaccard_against_all_pairs(spark, seed):
 def test_large_tiles_are_split(spark, monkeypatch):
     """Many sets under one shingle, of several components, dealt into many tiles."""
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "PLACE", 5)
     r = random.Random(4)
     common = " ".join(f"c{i}" for i in range(30))
     texts = [common + " " + " ".join(f"u{k // 2}-{i}" for i in range(r.randint(9, 11))) for k in range(120)]
@@ -272,5 +273,6 @@ def test_bound_never_loses_a_link():
         same = len(np.intersect1d(a, b))
         linked = 100 * same >= 80 * (len(a) + len(b) - same)
         with np.errstate(over="ignore"):
-            x, y = (jaccard.bitmaps(np.zeros(len(s), np.int64), s, 1).view(np.uint64) for s in (a, b))
-        assert not linked or jaccard.can_link(np.array([len(a)]), np.array([len(b)]), x, y)[0]
+            x, y = (jaccard.Sets(m, pa.array(jaccard.bitmaps(np.zeros(len(s), np.int64), s, m)))
+                    for s in (a, b) for m in [np.array([len(s)])])
+        assert not linked or jaccard.can_link(x, np.array([0]), y, np.array([0]))[0]
