@@ -14,8 +14,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sqltally.functions.text import SQL_BLOCK, extract_sql
+from sqltally.sources.stored import add_to_store, read_store, written_once
 
 RESPONSE_SCHEMA = "question_id long, ord int, response string"
 
@@ -73,6 +75,32 @@ def generate_candidates(prompts: DataFrame, fn: Callable, n: int,
     return src.mapInPandas(run, RESPONSE_SCHEMA)
 
 
+_KEPT = "key string, ord int, response string"
+
+
+def stored_generations(prompts: DataFrame, fn: Callable, n: int, store: str, model: str, **options) -> DataFrame:
+    """G8 + S8: ``(question_id, ord, response)``, kept under ``store`` across runs.
+
+    The key of a generation is the prompt's text, ``n`` and the name of the
+    ``model``.  A prompt that is there is not asked again; equal prompts are asked
+    once; a changed one is asked once more.
+    """
+    spark = prompts.sparkSession
+    key = F.sha2(F.concat_ws("\x1f", F.lit(model), F.lit(str(n)), F.coalesce("prompt", F.lit(""))), 256).alias("key")
+    asked = prompts.select("question_id", "prompt", key)
+    schema = T._parse_datatype_string(_KEPT)
+    known = read_store(spark, store, schema)
+    todo = (asked.join(known.select("key").distinct(), "key", "left_anti")
+            .groupBy("key").agg(F.min("question_id").alias("question_id"), F.first("prompt").alias("prompt")))
+    todo = written_once(todo, "prompts-to-ask")
+    if not todo.isEmpty():
+        answers = generate_candidates(todo, fn, n, **options).join(todo.select("question_id", "key"), "question_id")
+        add_to_store(answers.select("key", "ord", "response"), store)
+    # two runs at once may both have asked: the first answer of each place counts
+    kept = read_store(spark, store, schema).groupBy("key", "ord").agg(F.min("response").alias("response"))
+    return asked.join(kept, "key").select("question_id", "ord", "response")
+
+
 def first_valid_attempt(attempts: DataFrame, key: str = "question_id", attempt_col: str = "attempt",
                         response_col: str = "response") -> DataFrame:
     """G9/G10 in table form: the first attempt whose response holds a

@@ -17,11 +17,14 @@ compute inside ``mapInArrow``, one pass, no Python per row); only those
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sqltally.functions.text import has_url, is_email
+from sqltally.sources.stored import add_to_store, read_store, table_files, written_once
 
 ATOMIC = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType,
           T.TimestampNTZType, T.BinaryType)
@@ -56,37 +59,53 @@ def table_comments(spark: SparkSession, db_id: str, tables: dict,
     return spark.createDataFrame(rows, "db_id string, table_name string, comment string")
 
 
-def _local_smallest(k: int, string_cols: set):
+def _local_smallest(k: int, string_cols: set, by_file: bool = False):
+    """Keeps the k smallest distinct values of each column of a partition, or of
+    each file in it (``by_file``: the last column names the file; a partition's
+    rows come file by file)."""
     def fn(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        best = {}
-        names = None
-        schema = None
-        for rb in batches:
-            if names is None:
-                names, schema = rb.schema.names, rb.schema
-            for i, name in enumerate(names):
-                arr = rb.column(i).drop_null()
-                if name in string_cols:
-                    arr = arr.filter(pc.not_equal(arr, ""))
-                if i in best:
-                    arr = pa.concat_arrays([best[i], arr])
-                u = pc.unique(arr)
-                if len(u) > k:
-                    u = u.take(pc.array_sort_indices(u)[:k])
-                best[i] = u
-        if names is None:
-            return
-        for i, name in enumerate(names):
-            vals = best.get(i)
-            if vals is None or len(vals) == 0:
-                continue
-            n = len(vals)
-            cols = [vals if j == i else pa.nulls(n, type=f.type) for j, f in enumerate(schema)]
-            cols.append(pa.array([i] * n, type=pa.int32()))
-            yield pa.RecordBatch.from_arrays(cols, names=list(names) + ["__pos"])
+        best: dict = {}
+        schema = file = None
+
+        def held():
+            names = schema.names + ["__pos"]
+            for i, vals in best.items():
+                n = len(vals)
+                if n:
+                    cols = [vals if j == i else pa.nulls(n, type=f.type) for j, f in enumerate(schema)]
+                    if by_file:
+                        cols[-1] = pa.array([file] * n, schema.types[-1])
+                    yield pa.RecordBatch.from_arrays(cols + [pa.array([i] * n, type=pa.int32())], names=names)
+            if by_file and file is not None:  # a file is known, whether it has examples or not
+                cols = [pa.nulls(1, type=t) for t in schema.types[:-1]]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array([file], schema.types[-1]), pa.array([-1], pa.int32())], names=names)
+
+        for whole in batches:
+            schema = whole.schema
+            cuts = [0, whole.num_rows]
+            if by_file:
+                runs = pc.run_end_encode(whole.column(whole.num_columns - 1)) if whole.num_rows else None
+                cuts = [0, *(runs.run_ends.to_pylist() if runs is not None else [])]
+            for p, q in zip(cuts[:-1], cuts[1:]):
+                rb = whole.slice(p, q - p)
+                if by_file and rb.column(rb.num_columns - 1)[0].as_py() != file:
+                    yield from held()
+                    best, file = {}, rb.column(rb.num_columns - 1)[0].as_py()
+                for i, name in enumerate(schema.names[:-1] if by_file else schema.names):
+                    arr = rb.column(i).drop_null()
+                    if name in string_cols:
+                        arr = arr.filter(pc.not_equal(arr, ""))
+                    if i in best:
+                        arr = pa.concat_arrays([best[i], arr])
+                    u = pc.unique(arr)
+                    if len(u) > k:
+                        u = u.take(pc.array_sort_indices(u)[:k])
+                    best[i] = u
+        if schema is not None:
+            yield from held()
     return fn
 
 
@@ -116,21 +135,22 @@ def example_text(c, dtype):
     return c.cast("string")
 
 
-def column_examples(db_id: str, table_name: str, df: DataFrame, k: int = 5) -> DataFrame:
-    """``db_id, table_name, position, column_name, type, rank, value``.
+_STATE = ("j int, k_int decimal(38,0), k_dbl double, k_str string, value string")
 
-    Complex-typed columns (arrays, maps, structs) get no examples.
-    """
-    fields = [(i, f) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, ATOMIC)]
-    if not fields:
-        return df.sparkSession.createDataFrame(
-            [], "db_id string, table_name string, position int, column_name string, type string, "
-                "rank int, value string")
-    pruned = df.select(*[F.col(f"`{f.name}`") for _, f in fields])
-    out_schema = T.StructType([T.StructField(f.name, f.dataType, True) for _, f in fields]
+
+def _example_fields(df: DataFrame) -> list:
+    return [(i, f) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, ATOMIC)]
+
+
+def _example_state(df: DataFrame, k: int, by_file: bool = False) -> DataFrame:
+    """(j, k_int, k_dbl, k_str, value[, file]): the k smallest values of each partition or file; j counts the atomic columns."""
+    fields = _example_fields(df)
+    pruned = df.select(*[F.col(f"`{f.name}`") for _, f in fields],
+                       *([F.col("_metadata.file_path").alias("__file")] if by_file else []))
+    out_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in pruned.schema.fields]
                               + [T.StructField("__pos", T.IntegerType(), False)])
     strings = {f.name for _, f in fields if isinstance(f.dataType, T.StringType)}
-    local = pruned.mapInArrow(_local_smallest(k, strings), out_schema)
+    local = pruned.mapInArrow(_local_smallest(k, strings, by_file), out_schema)
 
     def pick(make):
         expr = None
@@ -141,25 +161,67 @@ def column_examples(db_id: str, table_name: str, df: DataFrame, k: int = 5) -> D
             expr = F.when(F.col("__pos") == j, v) if expr is None else expr.when(F.col("__pos") == j, v)
         return expr if expr is not None else F.lit(None)
 
-    pos_map = F.create_map(*[x for j, (i, _) in enumerate(fields) for x in (F.lit(j), F.lit(i))])
-    name_map = F.create_map(*[x for j, (_, f) in enumerate(fields) for x in (F.lit(j), F.lit(f.name))])
-    type_map = F.create_map(*[x for j, (_, f) in enumerate(fields)
-                              for x in (F.lit(j), F.lit(simple_type(f.dataType)))])
-    cand = local.select(
+    return local.select(
         F.col("__pos").alias("j"),
         pick(lambda c, t: _sort_keys(c, t)[0]).cast("decimal(38,0)").alias("k_int"),
         pick(lambda c, t: _sort_keys(c, t)[1]).cast("double").alias("k_dbl"),
         pick(lambda c, t: _sort_keys(c, t)[2]).cast("string").alias("k_str"),
-        pick(example_text).alias("value"),
-    ).dropDuplicates(["j", "k_int", "k_dbl", "k_str"])
-    w = Window.partitionBy("j").orderBy("k_int", "k_dbl", "k_str")
-    ranked = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select(
-        F.lit(db_id).alias("db_id"), F.lit(table_name).alias("table_name"),
-        F.element_at(pos_map, F.col("j")).alias("position"),
-        F.element_at(name_map, F.col("j")).alias("column_name"),
-        F.element_at(type_map, F.col("j")).alias("type"),
-        F.col("rank").cast("int").alias("rank"), "value")
+        pick(example_text).cast("string").alias("value"), *([F.col("__file").alias("file")] if by_file else []))
+
+
+def _ranked_examples(tables: list, state: DataFrame, k: int) -> DataFrame:
+    """The k smallest values of each column; ``tables`` are (db_id, name, DataFrame), ``state`` has the number ``t`` of each."""
+    spark, rows = state.sparkSession, []
+    for t, (db_id, name, df) in enumerate(tables):
+        rows += [(t, j, db_id, name, i, f.name, simple_type(f.dataType)) for j, (i, f) in enumerate(_example_fields(df))]
+    columns = spark.createDataFrame(rows, "t int, j int, db_id string, table_name string, position int, column_name string, type string")
+    w = Window.partitionBy("t", "j").orderBy("k_int", "k_dbl", "k_str")
+    ranked = (state.dropDuplicates(["t", "j", "k_int", "k_dbl", "k_str"])
+              .withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k))
+    return ranked.join(columns, ["t", "j"]).select("db_id", "table_name", "position", "column_name", "type", "rank", "value")
+
+
+def column_examples(db_id: str, table_name: str, df: DataFrame, k: int = 5) -> DataFrame:
+    """``db_id, table_name, position, column_name, type, rank, value``.
+
+    Complex-typed columns (arrays, maps, structs) get no examples.
+    """
+    if not _example_fields(df):
+        return df.sparkSession.createDataFrame(
+            [], "db_id string, table_name string, position int, column_name string, type string, "
+                "rank int, value string")
+    return _ranked_examples([(db_id, table_name, df)], _example_state(df, k).withColumn("t", F.lit(0)), k)
+
+
+def stored_examples(databases: dict, store: str, k: int = 5) -> DataFrame:
+    """P3 + P12 + S8: the examples of all tables of ``{db_id: {table: DataFrame}}``, kept file by file under ``store``.
+
+    A file's smallest values are kept with its size and time of change, so only
+    files that are new or have changed are read; files that are gone no longer
+    count.  The tables must be read from Parquet files.
+    """
+    tables = [(d, t, databases[d][t]) for d in sorted(databases) for t in sorted(databases[d])]
+    spark = tables[0][2].sparkSession
+    kinds = [hashlib.sha256(f"{d}|{t}|{df.schema.json()}|{k}".encode()).hexdigest()[:16] for d, t, df in tables]
+    schema = T._parse_datatype_string(_STATE + ", kind string, file string, size bigint, changed timestamp")
+    key = ["kind", "file", "size", "changed"]
+    files = None
+    for t, (_, _, df) in enumerate(tables):
+        if _example_fields(df):
+            f = table_files(df).select(F.lit(t).alias("t"), F.lit(kinds[t]).alias("kind"), "file", "size", "changed")
+            files = f if files is None else files.unionByName(f)
+    files = written_once(files, "table-files")
+    new: dict = {}
+    for r in files.join(read_store(spark, store, schema).select(key), key, "left_anti").collect():
+        new.setdefault(r.t, []).append(r.file)
+    states = None
+    for t, names in new.items():
+        s = _example_state(spark.read.schema(tables[t][2].schema).parquet(*names), k, by_file=True).withColumn("kind", F.lit(kinds[t]))
+        states = s if states is None else states.unionByName(s)
+    if states is not None:
+        add_to_store(states.join(files.drop("t"), ["kind", "file"]).select([f.name for f in schema]), store)
+    kept = read_store(spark, store, schema).join(files, key).where("j >= 0")
+    return _ranked_examples(tables, kept, k)
 
 
 def database_examples(db_id: str, tables: dict, k: int = 5) -> DataFrame:

@@ -13,6 +13,7 @@ from sqltally.operators import keys, profile, schema_text
 from sqltally.plans import schema as S
 from sqltally.plans import tables as TB
 from sqltally.plans.catalog import register
+from sqltally.session import scratch_path
 
 NL = "chr(10)"
 DATE_TYPES = "('DATE', 'TIME', 'DATETIME', 'TIMESTAMP', 'TIMESTAMP_NTZ')"
@@ -140,6 +141,16 @@ def q_column_examples(spark, sf_dir):
         "db_id", "table_name", "position", "column_name", "rank", "value")
 
 
+@register("stored_examples", "SELECT db_id, table_name, position, column_name, rank, value FROM ("
+          + _examples_sql() + ") q")
+def q_stored_examples(spark, sf_dir):
+    """P3 + S8: kept by the first call, read without any data column by the second."""
+    store = scratch_path(spark, "examples")
+    S.examples(S.databases(spark, sf_dir), store=store)
+    return S.examples(S.databases(spark, sf_dir), store=store).select(
+        "db_id", "table_name", "position", "column_name", "rank", "value")
+
+
 @register("examples_filtered", "SELECT db_id, table_name, column_name, rank, value FROM ("
           + _clean_sql("SELECT * FROM (" + _examples_sql() + ") q") + ") c")
 def q_examples_filtered(spark, sf_dir):

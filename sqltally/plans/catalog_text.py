@@ -15,6 +15,7 @@ from sqltally.plans import schema as S
 from sqltally.plans import tables as TB
 from sqltally.plans import workload as W
 from sqltally.plans.catalog import register
+from sqltally.session import scratch_path
 from sqltally.plans.catalog_schema import _db_sql, _fk_values, _lines_sql, _q, _tables_sql
 
 WS = T.PY_SPACE
@@ -228,6 +229,24 @@ def q_generate_candidates(spark, sf_dir):
     return generate.generate_candidates(p, TB.echo_model, N_CANDIDATES)
 
 
+def _no_model(texts: list, n: int) -> list:
+    raise AssertionError("asked again")
+
+
+@register("generate_stored", f"""
+SELECT question_id, CAST(j AS INTEGER) AS ord,
+       '```sql' || {NL} || 'SELECT ' || CAST(j AS VARCHAR) || ' AS candidate, ' || CAST(length(prompt) AS VARCHAR)
+       || ' AS prompt_chars' || {NL} || '```' AS response
+FROM (SELECT item_id AS question_id, text AS prompt, unnest(range({N_CANDIDATES})) AS j FROM benchmark) x
+""")
+def q_generate_stored(spark, sf_dir):
+    """G8 + S8: generations kept by the first run; the second asks nothing."""
+    p = TB.bench_questions(spark, sf_dir).select("question_id", F.col("question").alias("prompt"))
+    store = scratch_path(spark, "generations")
+    generate.stored_generations(p, TB.echo_model, N_CANDIDATES, store, "echo")
+    return generate.stored_generations(p, _no_model, N_CANDIDATES, store, "echo")
+
+
 @register("first_valid_attempt", f"""
 SELECT a.conv_id, v.sql, v.attempt, a.n_attempts FROM (
   SELECT conv_id, CAST(count(*) AS BIGINT) AS n_attempts FROM ({_EXTRACT}) e

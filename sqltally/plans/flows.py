@@ -54,10 +54,12 @@ def _stored(spark: SparkSession, responses: DataFrame) -> DataFrame:
 
 def generate_and_vote(spark: SparkSession, prompt_table: DataFrame, questions: DataFrame, fn: Callable,
                       n: int, databases: dict, timeout: float = 30.0,
-                      results_path: str | None = None) -> dict:
+                      results_path: str | None = None, store: str | None = None, model: str = "") -> dict:
     """Flow B.  ``prompt_table(question_id, db_id, prompt)``,
-    ``questions(question_id, gold_sql, difficulty)``."""
-    responses = _stored(spark, generate.generate_candidates(prompt_table, fn, n))
+    ``questions(question_id, gold_sql, difficulty)``.  With a ``store``,
+    generations of ``model`` are kept there and read by later runs."""
+    responses = (generate.stored_generations(prompt_table, fn, n, store, model) if store
+                 else _stored(spark, generate.generate_candidates(prompt_table, fn, n)))
     cands = prompt_table.select("question_id", "db_id").join(responses, "question_id", "left") \
                         .select("question_id", F.coalesce("ord", F.lit(0)).alias("ord"), "db_id",
                                 extract_sql("response").alias("sql"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sqltally.operators import keys, profile, schema_text
 from sqltally.plans import tables as TB
+from sqltally.session import checkpoint_dir
 
 
 def databases(spark: SparkSession, sf_dir: str) -> dict:
@@ -33,7 +34,9 @@ def columns(spark: SparkSession, dbs: dict) -> DataFrame:
     return out
 
 
-def examples(dbs: dict, k: int = 5) -> DataFrame:
+def examples(dbs: dict, k: int = 5, store: str | None = None) -> DataFrame:
+    if store:
+        return profile.stored_examples(dbs, store, k)
     out = None
     for db_id in sorted(dbs):
         e = profile.database_examples(db_id, dbs[db_id], k)
@@ -60,11 +63,15 @@ def defaults(tables: dict) -> DataFrame:
     return keys.column_defaults(tables, keys.candidate_keys(tables, 1, statistics), statistics)
 
 
-def mschema(spark: SparkSession, sf_dir: str, example_num: int = 3, k: int = 5) -> dict:
-    """Frames of the whole profiling flow."""
+def mschema(spark: SparkSession, sf_dir: str, example_num: int = 3, k: int = 5, only: set | None = None) -> dict:
+    """Frames of the whole profiling flow (P1-P9), of all tables or ``only`` some;
+    examples are kept file by file under the scratch folder."""
     dbs = databases(spark, sf_dir)
+    if only is not None:
+        dbs = {d: {t: df for t, df in ts.items() if t in only} for d, ts in dbs.items()}
+        dbs = {d: ts for d, ts in dbs.items() if ts}
     cols = columns(spark, dbs)
-    ex = profile.clean_examples(examples(dbs, k))
+    ex = profile.clean_examples(examples(dbs, k, f"{checkpoint_dir(spark)}/sqltally/examples"))
     pks, fks = primary_keys(spark), foreign_keys(spark)
     lines = schema_text.column_lines(cols, ex, pks, example_num)
     tables_text = schema_text.table_texts(lines)
@@ -75,7 +82,8 @@ def mschema(spark: SparkSession, sf_dir: str, example_num: int = 3, k: int = 5)
 def subset_text(spark: SparkSession, sf_dir: str, db_id: str, selected_columns: list[str],
                 example_num: int = 3) -> DataFrame:
     """M-Schema text of a column selection (``table.column`` names)."""
-    m = mschema(spark, sf_dir, example_num)
+    tables = {s.rsplit(".", 1)[0].lower() for s in selected_columns}
+    m = mschema(spark, sf_dir, example_num, only=tables)  # the selection comes before the scan
     sel = spark.createDataFrame([(db_id, s) for s in selected_columns], "db_id string, name string")
     cols, fks = schema_text.select_subset(m["columns"].filter(F.col("db_id") == db_id), m["fks"],
                                           selected_columns=sel)
@@ -87,16 +95,18 @@ def cached_mschema(spark: SparkSession, sf_dir: str, example_num: int = 3, k: in
                    cache_root: str | None = None) -> DataFrame:
     """Database texts read from a Parquet cache when present, else built
     and written.  The cache key holds everything the text depends on: the
-    table folder, the database/table set, example settings and the library
-    version (so a changed database list never reuses a stale text)."""
+    tables' files with their sizes and times of change, the database/table
+    set, example settings and the library version."""
     import hashlib
 
     import sqltally
-    from sqltally.session import checkpoint_dir
     from sqltally.sources.files import cached_table
+    from sqltally.sources.stored import files_version
 
     layout = ";".join(f"{TB.db_of(t)}.{t}" for t in sorted(TB.STAR_TABLES + TB.TEXT_TABLES))
-    key = hashlib.sha256(f"{sf_dir}|{layout}|{example_num}|{k}|{sqltally.__version__}".encode()).hexdigest()[:16]
+    tabs = all_tables(databases(spark, sf_dir))
+    version = files_version([tabs[t] for t in sorted(tabs)])
+    key = hashlib.sha256(f"{version}|{layout}|{example_num}|{k}|{sqltally.__version__}".encode()).hexdigest()[:16]
     root = cache_root or f"{checkpoint_dir(spark)}/sqltally"
     return cached_table(spark, f"{root}/mschema-{key}",
                         lambda: mschema(spark, sf_dir, example_num, k)["databases"])

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 import sqltally
 from sqltally.operators import execute, vote
 from sqltally.plans import tables
+from sqltally.sources.stored import files_version
 from sqltally.session import checkpoint_dir, table_path
 
 WORKLOAD_FILE = os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(
@@ -57,7 +58,8 @@ def star_database(spark: SparkSession, sf_dir: str, cache: bool = False) -> exec
 
 def _results_path(spark: SparkSession, sf_dir: str, path: str) -> str:
     with open(path, "rb") as fh:
-        digest = hashlib.sha256(fh.read() + sf_dir.encode() + sqltally.__version__.encode()).hexdigest()[:16]
+        version = files_version([tables.read(spark, sf_dir, t) for t in tables.STAR_TABLES])
+        digest = hashlib.sha256(fh.read() + version.encode() + sqltally.__version__.encode()).hexdigest()[:16]
     return f"{checkpoint_dir(spark)}/sqltally/workload-results-{digest}"
 
 
