@@ -7,9 +7,13 @@ Input: an *executions* frame with one row per candidate::
 ``fp`` is the result fingerprint (equal results, equal ``fp``); ``correct`` is
 0/1 against the gold result (see :func:`label_correct`).
 
-Every step is an aggregation (partial, map-side combined) or an equi-join on
-``question_id``; no window is used, so a question with a huge number of
-candidates is still split over many tasks.
+``(question_id, ord)`` names a row, and ``ord`` counts from 0.
+
+The vote runs on numbers: results are grouped by a 128-bit hash of ``fp`` and
+every aggregate has a fixed width (a hash aggregation, combined map-side, so a
+question with a huge number of candidates is still split over many tasks; only
+its different results meet).  SQL text is fetched at the end, by ``(question_id,
+ord)``, for the rows that are shown, and only where text is shown at all.
 
 Rules (kept from the original evaluation kit):
 
@@ -28,8 +32,7 @@ Rules (kept from the original evaluation kit):
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ERROR_SQL = "Error SQL"
@@ -66,139 +69,117 @@ def label_correct(execs: DataFrame, gold: DataFrame, empty_gold_counts: bool = F
                  .drop("gold_valid", "gold_n_distinct", "gold_fp")
 
 
+_LOW = (1 << 31) - 1  # places are below this
+
+
 def result_groups(execs: DataFrame, carry: tuple = ()) -> DataFrame:
-    """One pass over the candidates: a partial (map-side combined) aggregation
-    per (question, valid, result).  Invalid candidates form one group per
-    question.  Vote groups and the per-question summary both derive from this
-    much smaller frame, so the candidate table is scanned and shuffled once."""
-    right_ord = F.when(F.col("correct") == 1, F.col("ord"))
-    return (execs.withColumn("fp", F.when(F.col("valid"), F.col("fp")))
-            .groupBy("question_id", "valid", "fp")
-            .agg(F.count(F.lit(1)).alias("votes"),
-                 F.min("ord").alias("first_ord"),
-                 F.min_by("sql", "ord").alias("sql"),
-                 F.max("correct").alias("correct"),
-                 F.max(right_ord).alias("last_correct_ord"),
-                 F.max_by("sql", right_ord).alias("last_correct_sql"),
-                 *[F.any_value(c).alias(c) for c in carry]))
-
-
-def vote_groups(execs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Numbers of each (question, valid, result): ``votes, first_ord, correct, last_correct_ord``.
+
+    Invalid candidates form one group per question; ``carry`` names columns that
+    are the same for all candidates of a question."""
+    valid = F.coalesce("valid", F.lit(False))
+    rows = execs.select(
+        "question_id", *carry, valid.alias("valid"), F.when(valid, F.xxhash64("fp")).alias("h1"),
+        F.when(valid, F.xxhash64(F.lit("fp"), "fp")).alias("h2"), F.col("ord").cast("int").alias("ord"),
+        F.coalesce("correct", F.lit(0)).cast("int").alias("correct"))
+    return rows.groupBy("question_id", *carry, "valid", "h1", "h2").agg(
+        F.count(F.lit(1)).alias("votes"), F.min("ord").alias("first_ord"), F.max("correct").alias("correct"),
+        F.max(F.when(F.col("correct") == 1, F.col("ord"))).alias("last_correct_ord"))
+
+
+def _with_text(frame: DataFrame, execs: DataFrame, ord_col: str, **columns: str) -> DataFrame:
+    """``frame`` with columns of the candidate that ``ord_col`` names."""
+    text = execs.select("question_id", F.col("ord").cast("int").alias(ord_col), *[F.col(c).alias(n) for n, c in columns.items()])
+    return frame.join(text, ["question_id", ord_col], "left")
+
+
+def vote_groups(execs: DataFrame) -> DataFrame:
     """V2: one row per (question, distinct valid result)."""
-    g = groups if groups is not None else result_groups(execs)
-    return g.filter(F.col("valid")).select("question_id", "fp", "votes", "first_ord", "sql", "correct")
-
-
-def question_summary(execs: DataFrame, groups: DataFrame | None = None, carry: tuple = ()) -> DataFrame:
-    """Per question over all candidates: size, fallback SQL and pass@n parts."""
-    g = groups if groups is not None else result_groups(execs, carry)
-    return (g.groupBy("question_id")
-            .agg(F.sum("votes").cast("bigint").alias("sampling_num"),
-                 F.coalesce(F.sum(F.when(F.col("valid"), F.col("votes"))), F.lit(0)).cast("bigint").alias("n_valid"),
-                 F.min_by("sql", "first_ord").alias("first_sql"),
-                 F.max("correct").alias("any_correct"),
-                 F.max_by("last_correct_sql", "last_correct_ord").alias("last_correct_sql"),
-                 *[F.any_value(c).alias(c) for c in carry]))
-
-
-def _winners(groups: DataFrame) -> DataFrame:
-    best = F.max(F.struct(F.col("votes"), (-F.col("first_ord")).alias("neg_ord"),
-                          F.col("first_ord"), F.col("sql"), F.col("correct")))
-    return groups.groupBy("question_id").agg(best.alias("w")).select(
-        "question_id",
-        F.col("w.votes").alias("w_votes"),
-        F.col("w.first_ord").alias("w_ord"),
-        F.col("w.sql").alias("w_sql"),
-        F.col("w.correct").alias("w_correct"))
-
-
-def _runner_up(groups: DataFrame, winners: DataFrame) -> DataFrame:
-    g = groups.join(winners.select("question_id", "w_ord"), "question_id")
-    before = F.max(F.when(F.col("first_ord") < F.col("w_ord"),
-                          F.struct("votes", "first_ord", "sql", "correct")))
-    after = F.max(F.when(F.col("first_ord") > F.col("w_ord"),
-                         F.struct(F.col("votes"), (-F.col("first_ord")).alias("neg_ord"),
-                                  "first_ord", "sql", "correct")))
-    return g.groupBy("question_id").agg(before.alias("b"), after.alias("a"))
-
-
-def consensus(execs: DataFrame, all_invalid_sql: str = "first", carry: tuple = (),
-              persist: bool = True) -> dict[str, DataFrame]:
-    """V2-V6 in one plan; returns ``groups, winner, top2, pass_at_n,
-    per_question`` and ``result_groups``.
+    g = result_groups(execs).filter(F.col("valid"))
+    return _with_text(g, execs, "first_ord", fp="fp", sql="sql").select("question_id", "fp", "votes", "first_ord", "sql", "correct")
+
+
+def _code(votes, place, correct):
+    """Votes, place and correctness in one number, which orders by them."""
+    return F.shiftleft(votes, 32).bitwiseOR(F.shiftleft(place.cast("bigint"), 1)).bitwiseOR(correct.cast("bigint"))
+
+
+def _votes(code):
+    return F.shiftright(code, 32)
+
+
+def _place(code):
+    return F.shiftright(code, 1).bitwiseAND(F.lit(_LOW)).cast("int")
+
+
+def _right(code):
+    return code.bitwiseAND(F.lit(1)).cast("int")
+
+
+def question_numbers(execs: DataFrame, carry: tuple = ()) -> DataFrame:
+    """Per question over all candidates: sizes, winner, runner-up and pass@n, as numbers only."""
+    key = ["question_id", *carry]
+    groups = result_groups(execs, carry)
+    first, votes, right, low = F.col("first_ord"), F.col("votes"), F.col("correct"), F.lit(_LOW)
+    won = F.max(F.when(F.col("valid"), _code(votes, low - first, right)))
+    groups = groups.withColumn("w", won.over(Window.partitionBy(*key)))
+    w_ord = low - _place(F.col("w"))
+    before = F.max(F.when(F.col("valid") & (first < w_ord), _code(votes, first, right)))
+    after = F.max(F.when(F.col("valid") & (first > w_ord), _code(votes, low - first, right)))
+    q = groups.groupBy(*key).agg(
+        F.sum("votes").cast("bigint").alias("sampling_num"),
+        F.coalesce(F.sum(F.when(F.col("valid"), votes)), F.lit(0)).cast("bigint").alias("n_valid"),
+        F.min("first_ord").alias("zero_ord"), F.max("correct").alias("any_correct"),
+        F.max("last_correct_ord").alias("last_correct_ord"), F.max("w").alias("w"), before.alias("b"), after.alias("a"))
+    w, b, a = F.col("w"), F.col("b"), F.col("a")
+    has_valid = w.isNotNull()
+    t_votes = F.greatest(_votes(b), _votes(a))
+    same = t_votes.isNull() | (t_votes == _votes(w))
+    from_before = _votes(b) == t_votes
+    return q.select(
+        *key, "sampling_num", "n_valid", "zero_ord", "any_correct", "last_correct_ord", has_valid.alias("has_valid"), same.alias("single"),
+        F.when(has_valid, _votes(w)).otherwise(F.lit(1)).cast("bigint").alias("votes"),
+        F.when(has_valid, _right(w)).otherwise(F.lit(0)).cast("int").alias("correct"),
+        F.when(has_valid, low - _place(w)).cast("int").alias("winner_ord"),
+        F.when(has_valid, F.when(same, low - _place(w)).when(from_before, _place(b)).otherwise(low - _place(a))).cast("int").alias("r_ord"),
+        F.when(same, _right(w)).when(from_before, _right(b)).otherwise(_right(a)).alias("r_correct"),
+        F.when(same, _votes(w)).otherwise(t_votes).alias("r_votes"))
+
+
+def consensus(execs: DataFrame, all_invalid_sql: str = "first", carry: tuple = ()) -> dict[str, DataFrame]:
+    """V2-V6: ``groups, winner, top2, pass_at_n`` and ``per_question`` (numbers only).
 
     ``all_invalid_sql``: ``"first"`` (candidate 0, deterministic) or
     ``"error"`` (the text ``Error SQL``).  ``carry`` names per-question
     columns (e.g. ``difficulty``) passed through to every output.
-
-    The grouped frame feeds both the summary and the vote path; Catalyst
-    would push each path's filters below the aggregation and scan the
-    candidates twice, so it is persisted (memory and disk; lost blocks are
-    recomputed from lineage).  Call ``result_groups.unpersist()`` when done.
     """
-    rg = result_groups(execs, carry)
-    if persist:
-        rg = rg.persist(StorageLevel.MEMORY_AND_DISK)
-    groups = vote_groups(execs, rg)
-    summary = question_summary(execs, rg, carry)
-    winners = _winners(groups)
-    runners = _runner_up(groups, winners)
-
-    fallback = F.col("first_sql") if all_invalid_sql == "first" else F.lit(ERROR_SQL)
-
-    top = (summary.join(winners, "question_id", "left")
-           .join(runners, "question_id", "left"))
-    t_votes = F.greatest(F.col("b.votes"), F.col("a.votes"))
-    same = t_votes.isNull() | (t_votes == F.col("w_votes"))
-    pick_before = F.col("b.votes") == t_votes
-    r_sql = F.when(same, F.col("w_sql")).when(pick_before, F.col("b.sql")).otherwise(F.col("a.sql"))
-    r_correct = F.when(same, F.col("w_correct")).when(pick_before, F.col("b.correct")).otherwise(F.col("a.correct"))
-    r_votes = F.when(same, F.col("w_votes")).otherwise(t_votes)
-    has_valid = F.col("w_votes").isNotNull()
-
-    top = top.select(
-        "question_id", "sampling_num", *carry,
-        F.when(has_valid, F.col("w_votes")).otherwise(F.lit(1)).cast("bigint").alias("votes"),
-        F.when(has_valid, F.col("w_correct")).otherwise(F.lit(0)).cast("int").alias("correct"),
-        F.when(has_valid, F.col("w_sql")).otherwise(fallback).alias("sql"),
-        F.when(has_valid, F.col("w_ord")).alias("winner_ord"),
-        has_valid.alias("has_valid"),
-        same.alias("single"),
-        r_sql.alias("r_sql"), r_correct.alias("r_correct"), r_votes.alias("r_votes"),
-        F.col("any_correct"), F.col("last_correct_sql"), F.col("first_sql"),
-    )
-
-    winner = top.select("question_id", *carry, "votes", "correct", "sql", "winner_ord")
-
-    both = F.col("single") | ~F.col("has_valid")
-    top2 = top.select(
+    top = question_numbers(execs, carry)
+    valid = F.col("has_valid")
+
+    def shown(frame: DataFrame, ord_col: str) -> DataFrame:
+        frame = _with_text(frame, execs, ord_col, sql="sql")
+        return frame if all_invalid_sql == "first" else frame.withColumn("sql", F.when(valid, F.col("sql")).otherwise(F.lit(ERROR_SQL)))
+
+    winner = shown(top.withColumn("shown_ord", F.coalesce("winner_ord", "zero_ord")), "shown_ord")
+    both = F.col("single") | ~valid
+    top2 = _with_text(winner, execs, "r_ord", r_sql="sql").select(
         "question_id", *carry, "sampling_num",
-        F.when(F.col("has_valid"), F.greatest(F.col("correct"), F.col("r_correct")))
-         .otherwise(F.lit(0)).cast("int").alias("correct"),
+        F.when(valid, F.greatest(F.col("correct"), F.col("r_correct"))).otherwise(F.lit(0)).cast("int").alias("correct"),
         F.when(both, F.array(F.col("correct"))).otherwise(
             F.array(F.col("correct"), F.col("r_correct").cast("int"))).alias("correctness_list"),
-        F.when(~F.col("has_valid"), F.array(F.lit(0).cast("bigint"))).when(
+        F.when(~valid, F.array(F.lit(0).cast("bigint"))).when(
             F.col("single"), F.array(F.col("votes"))).otherwise(
             F.array(F.col("votes"), F.col("r_votes").cast("bigint"))).alias("vote_list"),
-        F.when(both, F.array(F.col("sql"))).otherwise(F.array(F.col("sql"), F.col("r_sql"))).alias("sql_list"),
-    )
-
-    pass_at_n = top.select(
-        "question_id", *carry,
-        F.when(F.col("has_valid"), F.coalesce(F.col("any_correct"), F.lit(0))).otherwise(F.lit(0))
-         .cast("int").alias("correct"),
-        F.when(F.col("has_valid"), F.coalesce(F.col("last_correct_sql"), F.col("first_sql")))
-         .otherwise(F.col("sql")).alias("sql"),
-    )
+        F.when(both, F.array(F.col("sql"))).otherwise(F.array(F.col("sql"), F.col("r_sql"))).alias("sql_list"))
+    passed = F.when(valid, F.coalesce(F.col("any_correct"), F.lit(0))).otherwise(F.lit(0)).cast("int")
+    pass_ord = F.when(valid, F.coalesce("last_correct_ord", "zero_ord")).otherwise(F.col("zero_ord"))
+    pass_at_n = shown(top.withColumn("pass_ord", pass_ord), "pass_ord").select("question_id", *carry, passed.alias("correct"), "sql")
     per_question = top.select(
-        "question_id", *carry,
-        F.col("correct").alias("vote_correct"),
-        F.when(F.col("has_valid"), F.greatest(F.col("correct"), F.col("r_correct"))).otherwise(F.lit(0))
-         .cast("int").alias("top2_correct"),
-        F.when(F.col("has_valid"), F.coalesce(F.col("any_correct"), F.lit(0))).otherwise(F.lit(0))
-         .cast("int").alias("pass_correct"))
-    return {"groups": groups, "winner": winner, "top2": top2, "pass_at_n": pass_at_n,
-            "per_question": per_question, "result_groups": rg}
+        "question_id", *carry, F.col("correct").alias("vote_correct"),
+        F.when(valid, F.greatest(F.col("correct"), F.col("r_correct"))).otherwise(F.lit(0)).cast("int").alias("top2_correct"),
+        passed.alias("pass_correct"))
+    return {"groups": vote_groups(execs), "winner": winner.select("question_id", *carry, "votes", "correct", "sql", "winner_ord"),
+            "top2": top2, "pass_at_n": pass_at_n, "per_question": per_question}
 
 
 def vote_winner(execs: DataFrame, all_invalid_sql: str = "first") -> DataFrame:
@@ -215,6 +196,5 @@ def pass_at_n(execs: DataFrame, all_invalid_sql: str = "first") -> DataFrame:
 
 def all_invalid(execs: DataFrame) -> DataFrame:
     """V6: questions where no candidate is valid, with the fallback SQL."""
-    s = question_summary(execs)
-    return s.filter(F.col("n_valid") == 0).select(
-        "question_id", "sampling_num", F.col("first_sql").alias("sql"))
+    q = question_numbers(execs).filter(F.col("n_valid") == 0)
+    return _with_text(q, execs, "zero_ord", sql="sql").select("question_id", "sampling_num", "sql")

@@ -134,3 +134,14 @@ def test_explode_and_slice_candidates(spark):
     flat = spark.range(7).withColumnRenamed("id", "idx")
     got = [(r.question_id, r.ord) for r in vote.candidate_slice(flat, 3).orderBy("idx").collect()]
     assert got == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2), (2, 0)]
+
+
+def test_vote_on_numbers_needs_no_text(spark, capsys):
+    from sqltally.plans import tables as TB
+    execs = TB.event_executions(spark, "/root/testdata/sf0.001")
+    c = vote.consensus(execs, carry=("difficulty",))
+    c["per_question"].explain("formatted")
+    plan = capsys.readouterr().out
+    assert "SortAggregate" not in plan and "candidate" not in plan and "sql#" not in plan
+    c["winner"].explain("formatted")
+    assert "SortAggregate" not in capsys.readouterr().out
