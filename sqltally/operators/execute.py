@@ -15,6 +15,7 @@ driver or executor costs at most one batch.
 
 from __future__ import annotations
 
+import collections
 import concurrent.futures as cf
 import threading
 import time
@@ -192,21 +193,72 @@ def run_one(db: Database, sql: str, timeout: float | None) -> dict:
     return out
 
 
-def run_batch(db: Database, items: list[tuple[str, str]], timeout: float | None) -> list[dict]:
+class PlanResults:
+    """Results of statements by the meaning of their analysed plans, of one database and run.
+
+    Statements that differ in spelling only (spaces, case, table aliases, order of
+    a conjunction) have equal plans and run once.  Plans are found by
+    ``semanticHash`` and confirmed by ``sameSemantics``.  The last ``most`` plans
+    are kept; one that is not there any more runs again.
+    """
+
+    def __init__(self, most: int = 4096):
+        self.most, self.plans, self.lock, self.reused = most, collections.OrderedDict(), threading.Lock(), 0
+
+    def find(self, df: DataFrame) -> dict | None:
+        with self.lock:
+            near = list(self.plans.get(df.semanticHash(), ()))
+        for other, result in near:
+            if other.sameSemantics(df):
+                with self.lock:
+                    self.reused += 1
+                return {**result, "seconds": 0.0}
+        return None
+
+    def add(self, df: DataFrame, result: dict) -> None:
+        if result["status"] == "success":
+            with self.lock:
+                self.plans.setdefault(df.semanticHash(), []).append((df, result))
+                while len(self.plans) > self.most:
+                    self.plans.popitem(last=False)
+
+
+def run_batch(db: Database, items: list[tuple[str, str]], timeout: float | None,
+              known: PlanResults | None = None) -> list[dict]:
     """Run several statements of one database as one Spark job.
 
-    Each statement is analysed alone (errors need no job); the analysed ones
-    are hashed and fingerprinted together, grouped by statement key.  If the
-    job fails or misses the sum of their deadlines, every statement is run
-    alone, so a bad or slow statement gets its own status and the others theirs.
+    Each statement is analysed alone (errors need no job), and those of equal
+    meaning run once; the rest are hashed and fingerprinted together, grouped by
+    statement key.  If the job fails or misses the sum of their deadlines, every
+    statement is run alone, so a bad or slow statement gets its own status and
+    the others theirs.
     """
-    out, analysed = [], []
+    known = known or PlanResults()
+    out, first, again = [], [], []
     for key, sql in items:
         t0 = time.time()
         try:
-            analysed.append((key, sql, db.session.sql(readonly_sql(sql))))
+            df = db.session.sql(readonly_sql(sql))
         except Exception as e:  # noqa: BLE001
             out.append({**_error_row(e), "stmt_key": key, "seconds": time.time() - t0})
+            continue
+        result = known.find(df)
+        if result is not None:
+            out.append({**result, "stmt_key": key})
+        elif any(df.semanticHash() == d.semanticHash() and df.sameSemantics(d) for _, _, d in first):
+            again.append((key, sql, df))
+        else:
+            first.append((key, sql, df))
+    ran = {r["stmt_key"]: r for r in _run_together(db, first, timeout)}
+    for key, _, df in first:
+        known.add(df, ran[key])
+    for key, sql, df in again:
+        ran[key] = {**(known.find(df) or run_one(db, sql, timeout)), "stmt_key": key}
+    return out + list(ran.values())
+
+
+def _run_together(db: Database, analysed: list[tuple[str, str, DataFrame]], timeout: float | None) -> list[dict]:
+    out: list[dict] = []
     if len(analysed) <= 1:
         return out + [{**run_one(db, sql, timeout), "stmt_key": key} for key, sql, _ in analysed]
 
@@ -244,7 +296,8 @@ def run_workload(spark: SparkSession, statements: DataFrame, databases: dict,
 
     Returns ``statements`` with ``stmt_key, status, detail, message, valid,
     arity, n_rows, n_distinct, fp, seconds``.  Identical statements on the
-    same database run once; up to ``statements_per_job`` statements of one
+    same database run once, and so do those whose analysed plans mean the same
+    (:class:`PlanResults`); up to ``statements_per_job`` statements of one
     database share a Spark job (:func:`run_batch`).  A NULL ``sql`` is status
     ``no_sql``.  ``results_path`` (default: a new folder under
     ``spark.checkpoint.dir``) makes the run resumable; results are appended
@@ -277,12 +330,14 @@ def run_workload(spark: SparkSession, statements: DataFrame, databases: dict,
             spark.createDataFrame(pending, RESULT_SCHEMA).write.mode("append").parquet(results_path)
             pending.clear()
 
+    known = {d: PlanResults() for d in databases}
+
     def task(db_id, items):
         db = databases.get(db_id)
         if db is None:
             return [{"stmt_key": k, "status": "error", "detail": "no such table",
                      "message": f"unknown database {db_id}", "seconds": 0.0} for k, _ in items]
-        return run_batch(db, items, timeout)
+        return run_batch(db, items, timeout, known[db_id])
 
     with cf.ThreadPoolExecutor(max_workers=parallelism) as pool:
         inflight: set = set()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sqltally.operators import compare, execute, fingerprint, metrics
 from sqltally.plans import workload as W
-from sqltally.plans.catalog import register
+from sqltally.plans.catalog import ORACLE, register
 
 _WL = W.oracle_rows()
 
@@ -267,3 +267,10 @@ FROM ({_DIFF_B} EXCEPT {_DIFF_A}) d
 def q_result_diff(spark, sf_dir):
     db = W.star_database(spark, sf_dir)
     return compare.diff_results(execute.run_rows(db, _DIFF_A), execute.run_rows(db, _DIFF_B))
+
+
+@register("result_diff_ranges", ORACLE["result_diff"])
+def q_result_diff_ranges(spark, sf_dir):
+    """R6 by digests of hash ranges: only rows of ranges that differ are compared."""
+    db = W.star_database(spark, sf_dir)
+    return compare.diff_by_ranges(execute.run_rows(db, _DIFF_A), execute.run_rows(db, _DIFF_B))

@@ -116,3 +116,25 @@ def test_batch_falls_back_on_timeout(db):
     got = {r["stmt_key"]: r for r in execute.run_batch(db, items, timeout=6.0)}
     assert got["fast"]["status"] == "success"
     assert got["slow"]["status"] == "timeout"
+
+
+def test_statements_of_equal_meaning_run_once(spark):
+    db = execute.register_database(spark, "d", {"t": spark.range(10).selectExpr("id", "id % 3 as m")})
+    known = execute.PlanResults()
+    items = [("a", "SELECT id FROM t WHERE m = 1 AND id > 2"), ("b", "select  y.ID from t y where Id > 2 and y.m = 1;"),
+             ("c", "SELECT id FROM t WHERE m = 2"), ("d", "SELECT nope FROM t"), ("e", "SELECT id, m FROM t WHERE m = 2")]
+    got = {r["stmt_key"]: r for r in execute.run_batch(db, items, 30, known)}
+    alone = {k: execute.run_one(db, s, 30) for k, s in items}
+    for k in "abcde":
+        assert (got[k]["status"], got[k].get("fp"), got[k].get("n_rows")) == (alone[k]["status"], alone[k].get("fp"), alone[k].get("n_rows"))
+    assert known.reused == 1 and got["b"]["seconds"] == 0.0
+    more = execute.run_batch(db, [("f", "SELECT x.id FROM t x WHERE x.m = 2"), ("g", "SELECT rand() FROM t"), ("h", "SELECT rand() FROM t WHERE true")], 30, known)
+    assert {r["stmt_key"]: r for r in more}["f"]["fp"] == got["c"]["fp"] and known.reused == 2
+
+
+def test_kept_plans_are_bounded(spark):
+    db = execute.register_database(spark, "d", {"t": spark.range(3).toDF("id")})
+    known = execute.PlanResults(most=2)
+    for i in range(5):
+        execute.run_batch(db, [(str(i), f"SELECT id + {i} FROM t")], 30, known)
+    assert len(known.plans) == 2 and execute.run_batch(db, [("x", "SELECT id + 0 FROM t")], 30, known)[0]["n_rows"] == 3

@@ -146,3 +146,19 @@ def test_fingerprint_equals_python_set_semantics(spark, data):
         expect = True
     got = fp(spark, a, schema(ta))["fp"] == fp(spark, b, schema(tb))["fp"]
     assert got == expect, (ta, a, tb, b)
+
+
+def test_range_diff_is_the_diff(spark):
+    import random
+
+    from sqltally.operators import compare
+    r = random.Random(6)
+    base = [(i % 700, r.choice(["x", "y", None]), r.random() < 0.5) for i in range(2000)]
+    kind = "a int, b string, c boolean"
+    a = spark.createDataFrame(base, kind)
+    for rows in (base, base + base[:50], base[:-3], base + [(1, "new", None)], [(i + 1, s, c) for i, s, c in base], []):
+        b = spark.createDataFrame(rows, kind)
+        for bits, levels in ((12, 2), (2, 3), (1, 1)):
+            want = sorted(tuple(x) for x in compare.diff_results(a, b).collect())
+            assert sorted(tuple(x) for x in compare.diff_by_ranges(a, b, bits, levels).collect()) == want
+    assert compare.diff_by_ranges(a, spark.range(3)).count() == compare.diff_results(a, spark.range(3)).count()
