@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sqltally.functions import text as T
-from sqltally.operators import execute, generate, prompts
+from sqltally.operators import execute, generate, profile, prompts
 from sqltally.plans import schema as S
 from sqltally.plans import tables as TB
 from sqltally.plans import workload as W
 from sqltally.plans.catalog import register
 from sqltally.session import scratch_path
+from sqltally.sources import files, sinks
 from sqltally.plans.catalog_schema import _db_sql, _fk_values, _lines_sql, _q, _tables_sql
 
 WS = T.PY_SPACE
@@ -315,3 +316,42 @@ def q_retry_until_answer(spark, sf_dir):
     r = generate.generate_candidates(q, thinking_model, 1, max_attempts=3, is_valid=generate.has_think_answer)
     both = q.join(r, "question_id", "left").withColumn("x", T.extract_answer("response"))
     return both.select("question_id", F.col("x.think").alias("thinking"), F.col("x.answer").alias("sql"))
+
+
+@register("question_paths", f"""
+SELECT question_id, 'dbs/' || db_id || '/' || db_id || '.sqlite' AS path, coalesce(evidence, '') AS evidence FROM ({_QUESTIONS}) q
+""")
+def q_question_paths(spark, sf_dir):
+    """Each question with its database's place and its evidence."""
+    q = TB.bench_questions(spark, sf_dir)
+    return q.select("question_id", files.db_file_path("dbs/", "db_id").alias("path"), F.coalesce("evidence", F.lit("")).alias("evidence"))
+
+
+@register("lines_kept", "SELECT DISTINCT regexp_replace(text, '[\\r\\n]', ' ', 'g') AS value FROM benchmark")
+def q_lines_kept(spark, sf_dir):
+    """K2 twice (the first write stays) -> S5."""
+    path = scratch_path(spark, "lines")
+    flat = TB.read(spark, sf_dir, "benchmark").select(F.regexp_replace("text", "[\\r\\n]", " ").alias("value")).distinct()
+    sinks.write_text_if_absent(flat, path)
+    sinks.write_text_if_absent(flat.limit(1), path)
+    return files.read_lines(spark, path)
+
+
+@register("json_kept", "SELECT doc_id, quality, toxic FROM labels")
+def q_json_kept(spark, sf_dir):
+    """K1 twice (the first write stays), read back."""
+    path = scratch_path(spark, "json")
+    labels = TB.read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    sinks.write_json_if_absent(labels, path)
+    sinks.write_json_if_absent(labels.limit(1), path)
+    return spark.read.schema(labels.schema).json(path)
+
+
+@register("table_comments", " UNION ALL ".join(
+    f"SELECT {_q(TB.db_of(t))} AS db_id, {_q(t)} AS table_name, count(*) || ' rows' AS comment FROM {t}" for t in TB.STAR_TABLES + TB.TEXT_TABLES))
+def q_table_comments(spark, sf_dir):
+    """Comments of all tables, here their sizes."""
+    dbs = S.databases(spark, sf_dir)
+    counts = {t: f" {df.count()} rows " for d in dbs.values() for t, df in d.items()}
+    out = [profile.table_comments(spark, d, ts, counts) for d, ts in sorted(dbs.items())]
+    return out[0].unionByName(out[1])

@@ -274,3 +274,19 @@ def q_result_diff_ranges(spark, sf_dir):
     """R6 by digests of hash ranges: only rows of ranges that differ are compared."""
     db = W.star_database(spark, sf_dir)
     return compare.diff_by_ranges(execute.run_rows(db, _DIFF_A), execute.run_rows(db, _DIFF_B))
+
+
+# a million steps a line: cut off long before its end
+_SLOW = "SELECT sum(size(filter(sequence(1, 1000000), x -> x % l_orderkey = l_linenumber))) FROM lineitem"
+
+
+@register("workload_timeout", """
+SELECT 0::BIGINT AS question_id, 'timeout' AS status, 'execute sql timeout.' AS message
+UNION ALL SELECT 1, 'success', NULL
+""")
+def q_workload_timeout(spark, sf_dir):
+    """A statement that passes its deadline, next to one that does not."""
+    db = W.star_database(spark, sf_dir)
+    rows = spark.createDataFrame([(0, "star", _SLOW), (1, "star", "SELECT count(*) FROM region")], "question_id bigint, db_id string, sql string")
+    ran = execute.run_workload(spark, rows, {"star": db}, timeout=5.0, statements_per_job=1)
+    return ran.select("question_id", "status", "message")
