@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, ShortType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from sqltally.llm.common import col, discard, text_of, written
 from sqltally.llm.tokens import classes, hashes, mixed, steps, words_of
@@ -47,7 +47,6 @@ TOP = 2000
 SHARDS = 3
 SLOTS = 1 << 25
 SCALE = 2_000_000
-STEP_BYTES = 8 << 20
 
 _KINDS = classes(b" \t", b".,;:!?\n\v\f\r")
 _NEVER = 255  # in the table of slots: not reached
@@ -80,34 +79,41 @@ def _phrases(texts: pa.Array, lang: str, table: np.ndarray, scan: int, shards: i
         number = np.full(len(w.ids) + 1, -1)
         number[place] = np.where(ready[unit] != _NEVER, unit, -1)
         place = place[(number[place] >= 0) & (number[place + 1] >= 0) & w.joined[place + length - 1]]
+        left, right = number[place], number[place + 1]
+        since = np.maximum(ready, start)  # a slot may be older than its phrase, which was not looked at before its own start
+        first, second = h * np.uint64(3), mixed(h)
+        # of those, only phrases that are open or have reached the threshold matter
+        begin = np.maximum(since[left], since[right])
+        matter = (begin <= scan) & (scan < begin + shards)
+        if length + 1 < LENGTHS:
+            matter |= table[(mixed(mixed(first[left] + second[right])) >> _SLOT).astype(np.int64)] != _NEVER
+        place, left, right = place[matter], left[matter], right[matter]
         if not len(place):
             return
-        different, at, unit = np.unique(number[place] * many + number[place + 1], return_index=True, return_inverse=True)
-        left, right = different // many, different % many
+        _, at, unit = np.unique(left * many + right, return_index=True, return_inverse=True)
+        left, right, many = left[at], right[at], len(at)
         parts = np.column_stack([parts[left], w.ids[place[at] + length]])
-        both = np.maximum(ready, start)  # a slot may be older than its phrase, which was not looked at before its own start
-        start = np.maximum(both[left], both[right])
-        h, many = mixed(h[left] * np.uint64(3) + mixed(h[right])), len(different)
+        start = np.maximum(since[left], since[right])
+        h = mixed(first[left] + second[right])
 
 
-_ROW = StructType([StructField("length", ShortType()), StructField("key", StringType()), StructField("slot", IntegerType()),
-                   StructField("start", ShortType()), StructField("n", LongType())])
+# ``marks`` of a phrase: its slot, first scan and length in one number
+_ROW = StructType([StructField("key", StringType()), StructField("marks", LongType()), StructField("n", LongType())])
 
 
 def scan(docs: DataFrame, packed: bytes, number: int, shards: int) -> DataFrame:
-    """(length, key, slot, start, n): open phrases of one scan; a key is phrase, tab, language; words also count under "", of length 0."""
+    """(key, marks, n): open phrases of one scan; a key is phrase, tab, language; words also count under "", of length 0."""
     shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     def rows(length: int, keys: list, slot: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(keys), length, np.int16)), pa.array(keys, pa.binary()).view(pa.string()),
-             pa.array(slot.astype(np.int32)), pa.array(start.astype(np.int16)), pa.array(n.astype(np.int64))],
-            names=["length", "key", "slot", "start", "n"])
+        marks = slot.astype(np.int64) << 16 | start.astype(np.int64) << 8 | length
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).view(pa.string()), pa.array(marks), pa.array(n.astype(np.int64))],
+                                          names=["key", "marks", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(shared.value)
         with np.errstate(over="ignore"):
-            for b in steps(batches, 1, STEP_BYTES):
+            for b in steps(batches, 1):
                 langs = b.column(0).dictionary_encode()
                 for k, lang in enumerate(langs.dictionary.to_pylist()):
                     mine = pa.array(np.flatnonzero(langs.indices.to_numpy() == k))
@@ -120,10 +126,18 @@ def scan(docs: DataFrame, packed: bytes, number: int, shards: int) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, _ROW)
 
 
+def _length() -> Column:
+    return F.col("marks").bitwiseAND(F.lit(255))
+
+
+def _start() -> Column:
+    return F.shiftright("marks", 8).bitwiseAND(F.lit(255))
+
+
 def _reached(now: DataFrame, least: int) -> np.ndarray:
     """Which slots have phrases that have just reached the threshold."""
-    fresh = now.where((F.col("n") >= least) & (F.col("before") < least) & F.col("length").between(1, LENGTHS - 1))
-    at = F.col("slot").cast("bigint") + 1  # bitmaps count from 1
+    fresh = now.where((F.col("n") >= least) & (F.col("before") < least) & _length().between(1, LENGTHS - 1))
+    at = F.shiftright("marks", 16) + 1  # bitmaps count from 1
     maps = fresh.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     out = np.zeros(SLOTS, bool)
@@ -144,12 +158,11 @@ def count(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, lang_col: s
         new = scan(dealt.where(F.col("shard") == number % shards), zlib.compress(table.tobytes(), 1), number, shards)
         new = new.withColumn("before", F.lit(0).cast("bigint"))
         if open_ is not None:
-            new = new.unionByName(open_.where(F.col("start") + shards > number).withColumn("before", F.col("n")))
-        now = new.groupBy("key").agg(*[F.first(c).alias(c) for c in ("length", "slot", "start")],
-                                     F.sum("n").alias("n"), F.sum("before").alias("before"))
+            new = new.unionByName(open_.where(_start() + shards > number).withColumn("before", F.col("n")))
+        now = new.groupBy("key").agg(F.min("marks").alias("marks"), F.sum("n").alias("n"), F.sum("before").alias("before"))
         now = written(now, f"phrase-counts-{number}")
-        whole = now.where((F.col("start") + shards - 1 == number) & ((F.col("n") >= least) | (F.col("length") == 0)))
-        whole = written(whole.select("key", "length", "n"), f"phrases-{number}")
+        whole = now.where((_start() + shards - 1 == number) & ((F.col("n") >= least) | (_length() == 0)))
+        whole = written(whole.select("key", _length().alias("length"), "n"), f"phrases-{number}")
         done = whole if done is None else done.unionByName(whole)
         hit = _reached(now, least)
         fresh = hit & (table == _NEVER)
