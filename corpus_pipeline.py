@@ -10,6 +10,13 @@ scratch folder and reads them again as the next one's ``docs``:
 4. secrets: found secrets are replaced in the texts, every row stays;
 5. packing: the texts are tokenised and packed into sequences.
 
+Defined results: a null text counts as empty (it is never toxic by its words, has no
+lines to remove, no near copies and no secrets, and packs as its closing id); a
+row without an id stays a row, but for near copies and repeated texts, of which
+the row with the smallest id stays (any one, if none has an id); very long texts
+are handled whole; ties go to the smaller id; empty tables give an empty result;
+further columns pass through the first four stages.
+
 All but the last return the columns of ``documents``.  The model of the first
 stage is trained on the labels, so that SQL cannot express the whole.
 """

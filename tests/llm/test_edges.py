@@ -4,7 +4,7 @@ import public_tokenizers as P
 import pytest
 
 import corpus_pipeline
-from sqltally.llm import bpe, hamming, licenses, lines, neardup, packing, quality, secrets, spotsigs, toxicity
+from sqltally.llm import alignment, bpe, collocations, hamming, jaccard, licenses, lines, neardup, packing, quality, secrets, spotsigs, toxicity
 
 QUERIES = {
     "licenses": lambda d, l: licenses.query(d),
@@ -16,6 +16,8 @@ QUERIES = {
     "neardup": lambda d, l: neardup.query(d),
     "packing": lambda d, l: packing.query(d, P.path("byte_bpe_50k.json")),
     "spotsigs": lambda d, l: spotsigs.query(d),
+    "alignment": lambda d, l: alignment.query(d, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")),
+    "jaccard": lambda d, l: jaccard.query(d),
 }
 STAGES = {
     "toxicity": lambda d, l: toxicity.stage(d, l),
@@ -68,3 +70,33 @@ def test_hamming_edges(spark):
     out = hamming.query(spark.createDataFrame(rows, kind)).collect()
     assert [tuple(r) for r in sorted(out)] == [(0, 2, 2, 2), (0, 3, 0, 1)]
     assert hamming.query(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_jaccard_and_alignment_of_odd_rows(odd):
+    of = {(r.doc_id, r.n_shingles): r for r in jaccard.query(odd).collect()}
+    assert of[1, 2].component_id == 1 and of[8, 2].component_id == 1 and of[1, 2].component_size == 3
+    assert of[2, 0].component_id == 2 and of[None, 1].component_id is None and of[5, 1].component_id == 5
+    a = {r.doc_id: r for r in alignment.query(odd, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")).collect()}
+    for i in (2, 3, 7):
+        assert (a[i].n_a, a[i].n_b, a[i].n_groups, a[i].n_links, a[i].n_best, a[i].count_sum, a[i].groups_sha256) == (0,) * 6 + ("",)
+    assert a[1] .n_links == a[8].n_links > 0 and a[4].n_a > 40_000
+
+
+def test_collocations_edges(spark, odd, empty, clashing):
+    got = [tuple(r) for r in collocations.query(odd).collect()]
+    assert [r[:3] for r in got] == [("en", 1, "word word word word")]
+    assert collocations.query(empty).count() == 0 and collocations.query(clashing).count() == 0
+
+
+def test_pipeline_runs_on_odd_empty_and_clashing_tables(spark, tmp_path, odd, empty, clashing, no_labels):
+    for name, docs in (("odd", odd), ("empty", empty), ("clashing", clashing)):
+        at = str(tmp_path / name)
+        docs.write.parquet(f"{at}/documents.parquet")
+        no_labels.write.parquet(f"{at}/labels.parquet")
+        out = corpus_pipeline.run(spark, at).select("doc_id", "piece", "length").collect()
+        if name == "empty":
+            assert out == []
+        if name == "odd":  # equal texts stay once: 1 stands for 8 and the second 1, 2 for the empty ones
+            assert {r.doc_id for r in out} == {None, 1, 2, 4, 5, 6} and sum(r.length for r in out if r.doc_id == 2) == 1
+        if name == "clashing":
+            assert {r.doc_id for r in out} == {1, 2, 3}
