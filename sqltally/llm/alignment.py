@@ -75,36 +75,51 @@ def _side(encode: Callable[[list[str]], Ids], tokens: list[bytes]) -> Side:
     return Side(encode, pa.array(tokens, pa.large_binary()), np.array([len(x) for x in tokens], np.int64))
 
 
-@functools.lru_cache(maxsize=2)
-def byte_level(blob: str) -> Side:
-    """A, from the JSON of a byte-level BPE tokenizer.
-
-    Where its ids are in the order of its merges, ranks say the same as merges do.
-    """
-    t, given = Tokenizer.from_str(blob), json.loads(blob)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    of, special = byte_characters(), {x["id"] for x in given.get("added_tokens", [])}
-    vocabulary = t.get_vocab()
-    tokens = [b""] * (1 + max(vocabulary.values()))
+def byte_tokens(vocabulary: dict[str, int], special: set[int]) -> list[bytes]:
+    """The bytes of each token of a byte-level vocabulary; of special ones their text."""
+    of, tokens = byte_characters(), [b""] * (1 + max(vocabulary.values()))
     for s, i in vocabulary.items():
         tokens[i] = s.encode() if i in special else bytes(of[c] for c in s)
+    return tokens
+
+
+def by_ranks(blob: str) -> tuple[tiktoken.Encoding | None, tuple[str, ...]]:
+    """The same encoding by ranks, and the strings of the special tokens.
+
+    Where a byte-level BPE's ids are in the order of its merges, ranks say the same
+    as merges do; for another tokenizer there is none.
+    """
+    given = json.loads(blob)
+    vocabulary = Tokenizer.from_str(blob).get_vocab()
+    special = {x["id"]: x["content"] for x in given.get("added_tokens", [])}
+    splits = {k: v for k, v in (given.get("pre_tokenizer") or {}).items() if k != "trim_offsets"}
+    if splits != {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}:
+        return None, tuple(special.values())
+    tokens = byte_tokens(vocabulary, set(special))
     merges = [x.split(" ") if isinstance(x, str) else x for x in given["model"]["merges"]]
     made = [vocabulary[x + y] for x, y in merges]
-    splits = {k: v for k, v in (given.get("pre_tokenizer") or {}).items() if k != "trim_offsets"}
     ranks = {tokens[i]: i for i in vocabulary.values() if i not in special}
-    simple = (made == sorted(set(made)) and splits == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-              and len(ranks) == len(made) + 256 and not given.get("normalizer") and not given["model"].get("ignore_merges"))
-    by_rank = tiktoken.Encoding("a", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}) if simple else None
+    simple = (made == sorted(set(made)) and len(ranks) == len(made) + 256 and not given.get("normalizer")
+              and not given["model"].get("ignore_merges"))
+    return (tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}) if simple else None,
+            tuple(special.values()))
+
+
+@functools.lru_cache(maxsize=2)
+def byte_level(blob: str) -> Side:
+    """A, from the JSON of a byte-level BPE tokenizer."""
+    t, ranks = Tokenizer.from_str(blob), by_ranks(blob)[0]
+    t.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def one(text: str) -> bytes:
         return np.array(t.encode(" " + text, add_special_tokens=False).ids, np.uint32).tobytes() if text else b""
 
     def encode(texts: list[str]) -> Ids:
-        if by_rank is None:
+        if ranks is None:
             return _joined([one(x) for x in texts])
-        return _joined([by_rank.encode_to_numpy(" " + x, disallowed_special=()).tobytes() if x else b"" for x in texts])
+        return _joined([ranks.encode_to_numpy(" " + x, disallowed_special=()).tobytes() if x else b"" for x in texts])
 
-    return _side(encode, tokens)
+    return _side(encode, byte_tokens(t.get_vocab(), {x["id"] for x in json.loads(blob).get("added_tokens", [])}))
 
 
 @functools.lru_cache(maxsize=2)

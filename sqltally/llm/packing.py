@@ -1,6 +1,7 @@
 """Best-two-fit packing of tokenised documents into sequences of bounded length.
 
-A document's tokens end with a closing id.  Only a document longer than a
+A document's tokens are the plain call's of its tokenizer (a special token's string
+is that token) and end with a closing id.  Only a document longer than a
 sequence is cut, into pieces of a full sequence; its first piece may be shorter.
 
 Only lengths matter for packing, and there are at most ``capacity`` of them, so
@@ -32,68 +33,41 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 
-from sqltally.llm.bpe import CACHE_CHARS, IRREGULAR
+from sqltally.llm.alignment import by_ranks
 from sqltally.llm.common import col, text_of, written
+from sqltally.llm.tokens import steps
 
 CAPACITY = 1024
 END_ID = 2
-CACHE_ENTRIES = 600_000  # chunks that a worker remembers
-STEP_ROWS = 4096  # texts encoded at once
 GROUP_ROWS = 50_000  # pieces that a (length, salt) group has on average, at most
 
 
 @functools.lru_cache(maxsize=2)
-def _tokenizer(blob: str) -> Tokenizer:
+def _encoders(blob: str) -> tuple[Tokenizer, tiktoken.Encoding | None, tuple[str, ...]]:
+    """The tokenizer; the same by ranks, where its merges are a plain byte-level BPE's; its special tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    t = Tokenizer.from_str(blob)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
-
-
-@functools.lru_cache(maxsize=2)
-def _kept(blob: str) -> dict[str, bytes]:
-    return {}
+    return Tokenizer.from_str(blob), *by_ranks(blob)
 
 
 def encode_texts(texts: list[str], blob: str) -> list[bytes]:
-    """Ids of each text as 32-bit integers in the machine's byte order.
+    """Ids of each text as 32-bit integers in the machine's byte order, as the tokenizer's plain call gives them.
 
-    A text without doubled white space is encoded chunk by chunk at its spaces,
-    which gives the same ids; each chunk is encoded once and the first ones are kept.
+    A text that holds a special token's string goes to the tokenizer itself; nothing
+    is kept between texts.
     """
-    kept, t = _kept(blob), _tokenizer(blob)
-
-    def encode(strings: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in t.encode_batch_fast(strings, add_special_tokens=False)]
-
-    first, rest = [], []
-    for x in texts:
-        head, *tail = [x] if IRREGULAR.search(x) else x.split(" ")
-        first.append(head)
-        rest.append(tail)
-    new = list(set().union(*rest).difference(kept))
-    known = _Known(zip(new, encode([" " + c for c in new]), strict=True))
-    known.kept = kept
-    out = [a + b"".join(map(known.__getitem__, chunks)) for a, chunks in zip(encode(first), rest, strict=True)]
-    for c in new[:max(0, CACHE_ENTRIES - len(kept))]:
-        if len(c) <= CACHE_CHARS:
-            kept[c] = known[c]
-    return out
-
-
-class _Known(dict):
-    """Chunks of these texts, or else of earlier ones."""
+    t, ranks, special = _encoders(blob)
 
-    kept: dict[str, bytes]
+    def plain(x: str) -> bytes:
+        return array("I", t.encode(x, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        v = self[chunk] = self.kept[chunk]
-        return v
+    return [plain(x) if ranks is None or any(s in x for s in special) else ranks.encode_to_numpy(x, disallowed_special=()).tobytes()
+            for x in texts]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -107,7 +81,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in (batch.slice(k, STEP_ROWS) for k in range(0, batch.num_rows, STEP_ROWS)):
+            for b in steps(iter([batch]), 1):
                 row, number, start, length, ids = [], [], [], [], []
                 for i, x in enumerate(encode_texts(b.column(1).to_pylist(), shared.value)):
                     x = np.append(np.frombuffer(x, np.uint32), np.uint32(end_id)).astype("<u4").tobytes()
