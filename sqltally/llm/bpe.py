@@ -23,19 +23,21 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from sqltally.llm.common import add_column, col, text_of
+from sqltally.llm.tokens import bytes_of, steps
 
 # A space with white space next to it: the chunks between spaces are then not
 # independent, and the text is split as a whole.
@@ -239,14 +241,48 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
 
     def made(ids: pa.Array) -> pa.Array:
-        of = decoder(ranks.value).__getitem__
-        return pa.array([b"".join(map(of, x or ())) for x in ids.to_pylist()], pa.binary())
+        flat = tokens_of(ranks.value).take(ids.flatten())
+        ends = np.concatenate([[0], np.cumsum(np.nan_to_num(pc.list_value_length(ids).to_numpy(zero_copy_only=False)).astype(np.int64))])
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), flat), pa.scalar(b"", pa.large_binary())).cast(pa.binary())
 
     return add_column(df, bytes_col, BinaryType(), made, ids_col)
 
 
+@functools.lru_cache(maxsize=2)
+def tokens_of(blob: bytes) -> pa.Array:
+    """The bytes of each token, by rank."""
+    tokens = [b""] * (1 + max(decoder(blob), default=-1))
+    for r, t in decoder(blob).items():
+        tokens[r] = t
+    return pa.array(tokens, pa.large_binary())
+
+
+@functools.lru_cache(maxsize=2)
+def _decimals(size: int) -> pa.Array:
+    return pa.array([str(i) for i in range(size)], pa.large_string())
+
+
 def query(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    out = decode(encode(docs.select("doc_id", "text"), ranks_path, pattern), ranks_path)
-    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-                      F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Digests of the ids and of the bytes decoded from them, in the pass that encodes."""
+    with open(ranks_path, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
+    rows = docs.select("doc_id", text_of("text").alias("_text"))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = tokens_of(ranks.value)
+        length = pc.binary_length(tokens).to_numpy()
+        for b in steps(batches, 1):
+            encoded = encode_texts(b.column(1).to_pylist(), ranks.value, pattern)
+            n = np.array([len(x) // 4 for x in encoded], np.int64)
+            ids, ends = np.frombuffer(b"".join(encoded), np.int32), np.concatenate([[0], np.cumsum(n)])
+            at = pa.array(ids)
+            lists = pa.LargeListArray.from_arrays(pa.array(ends), _decimals(len(tokens)).take(at))
+            texts = [hashlib.sha256(x.as_buffer()).hexdigest() for x in pc.binary_join(lists, pa.scalar(" ", pa.large_string()))]
+            data = memoryview(bytes_of(tokens.take(at))[1])
+            places = np.concatenate([[0], np.cumsum(length[ids])])[ends].tolist()
+            decoded = [hashlib.sha256(data[p:q]).hexdigest() for p, q in zip(places[:-1], places[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(texts, pa.string()), pa.array(decoded, pa.string())], names=names)
+
+    kinds = [LongType(), StringType(), StringType()]
+    return rows.mapInArrow(run, StructType([rows.schema.fields[0], *[StructField(c, k) for c, k in zip(names[1:], kinds)]]))
