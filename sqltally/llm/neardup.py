@@ -34,6 +34,7 @@ gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -53,7 +54,7 @@ LEVELS = (1, 3)  # how many smallest k-mers make up a bucket's tuple; all pairs
 SHORT = 24  # pairs in which the shorter text has up to so many words are found without sketches
 BLOCK = 256  # texts of a bucket that are compared at once
 BAG = 128  # counters in a text's bag of words
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 
 _WORDS = re.compile(r"\w+").findall
 _RANDOM = np.random.default_rng(5)
@@ -149,7 +150,7 @@ def buckets_of(hashes: np.ndarray) -> np.ndarray:
                            np.unique(finer | one)]).view(np.int64)
 
 
-def _describe(texts: pa.Array, known=_Hashes()) -> pa.Array:
+def _describe(known: _Hashes, texts: pa.Array) -> pa.Array:
     out = []
     with np.errstate(over="ignore"):
         for t in texts.to_pylist():
@@ -173,7 +174,8 @@ def text_key(text_col: str = "text") -> Column:
 def sketches(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, n, bag, buckets) for each different text with words, written."""
     rows = docs.select(text_key(text_col).alias("key"), text_of(text_col).alias("_t"))
-    rows = add_column(rows, "d", _DESCRIBED, _describe, "_t").where("d.n > 0").select("key", "d.*")
+    described = functools.partial(_describe, _Hashes())  # each task has its own cache
+    rows = add_column(rows, "d", _DESCRIBED, described, "_t").where("d.n > 0").select("key", "d.*")
     return written(rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "bag", "buckets")]), "order-minhash")
 
 
