@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
@@ -49,10 +50,11 @@ SHINGLE = 5
 PERCENT = 80
 SLOTS = 1 << 22  # counters of shingles, whatever the corpus
 SLOT_BLOCK = 1 << 16
-LEAST_BITS, MOST_BITS = 64, 1 << 14  # of a bitmap; it has at least two bits a shingle in between
+LEAST_BITS, MOST_BITS = 64, 1 << 11  # of a bitmap; it has at least a bit a shingle in between
 BLOCK = 1024  # sets of a shingle that a tile holds on each side
 PLACE = 256  # sets of connected pairs that meet on each side when their arrays are compared
-PAIRS = 400_000  # pairs looked at at once
+PAIRS = 200_000  # pairs looked at at once
+HELD = 20_000  # sets unpacked at once, about
 BAND = 100 / PERCENT  # sizes of a band differ by less than this factor
 
 _SPACE = classes(b" \t\n\v\f\r")
@@ -126,7 +128,7 @@ def frequencies(texts: DataFrame) -> bytes:
 
 def bits_of(n: np.ndarray) -> np.ndarray:
     """How many bits the bitmap of a set of ``n`` shingles has: a power of two."""
-    return np.clip(2 ** np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    return np.clip(2 ** np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
 
 
 def bitmaps(doc: np.ndarray, value: np.ndarray, n: np.ndarray) -> list[bytes]:
@@ -195,7 +197,7 @@ def can_link(a: Sets, i: np.ndarray, b: Sets, j: np.ndarray) -> np.ndarray:
     words = np.minimum(a.words[i], b.words[j])
     for w in np.unique(words[out]).tolist():
         at = np.flatnonzero(out & (words == w))
-        for k in (at[p:p + (1 << 22) // w] for p in range(0, len(at), (1 << 22) // w)):
+        for k in (at[p:p + (1 << 19) // w] for p in range(0, len(at), (1 << 19) // w)):
             apart = np.bitwise_count(a.rows(i[k], w) ^ b.rows(j[k], w)).sum(1, dtype=np.int64)
             total = na[k] + nb[k]
             # overlap <= (total - apart) / 2, and it must be at least PERCENT of the union
@@ -211,22 +213,31 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
+    for whole in batches:
+        for b in (whole.slice(k, HELD) for k in range(0, whole.num_rows, HELD)):
             x, y = (Sets(b["n" + s].to_numpy(zero_copy_only=False).astype(np.int64), b["x" + s]) for s in "ab")
             at = np.arange(b.num_rows)
             yield b.select(["a", "b"]).filter(pa.array(can_link(x, at, y, at)))
 
 
+def _few_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of tiles that hold about HELD sets."""
+    for b in batches:
+        ends = np.cumsum(pc.list_value_length(b["sets"]).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs of different components of each tile that the bound lets pass."""
-    for b in batches:
-        m = b["sets"].values
-        if not len(m):
-            continue
+    for b in _few_sets(batches):
+        m = b["sets"].flatten()
         band, own, root, sid, n = (m.field(c).to_numpy().astype(np.int64) for c in ("band", "own", "root", "sid", "n"))
         sets = Sets(n, m.field("bits"))
-        size = np.diff(b["sets"].offsets.to_numpy())
+        size = pc.list_value_length(b["sets"]).to_numpy(zero_copy_only=False)
         tile, apart = (np.repeat(x, size) for x in (b["tile"].to_numpy(), b["x"].to_numpy() != b["y"].to_numpy()))
         after = np.repeat(np.cumsum(size), size) - np.arange(len(n)) - 1  # sets that follow each in its tile
         done = np.concatenate([[0], np.cumsum(after)])
