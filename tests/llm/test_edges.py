@@ -86,17 +86,3 @@ def test_collocations_edges(spark, odd, empty, clashing):
     got = [tuple(r) for r in collocations.query(odd).collect()]
     assert [r[:3] for r in got] == [("en", 1, "word word word word")]
     assert collocations.query(empty).count() == 0 and collocations.query(clashing).count() == 0
-
-
-def test_pipeline_runs_on_odd_empty_and_clashing_tables(spark, tmp_path, odd, empty, clashing, no_labels):
-    for name, docs in (("odd", odd), ("empty", empty), ("clashing", clashing)):
-        at = str(tmp_path / name)
-        docs.write.parquet(f"{at}/documents.parquet")
-        no_labels.write.parquet(f"{at}/labels.parquet")
-        out = corpus_pipeline.run(spark, at).select("doc_id", "piece", "length").collect()
-        if name == "empty":
-            assert out == []
-        if name == "odd":  # equal texts stay once: 1 stands for 8 and the second 1, 2 for the empty ones
-            assert {r.doc_id for r in out} == {None, 1, 2, 4, 5, 6} and sum(r.length for r in out if r.doc_id == 2) == 1
-        if name == "clashing":
-            assert {r.doc_id for r in out} == {1, 2, 3}
