@@ -230,10 +230,6 @@ def q_generate_candidates(spark, sf_dir):
     return generate.generate_candidates(p, TB.echo_model, N_CANDIDATES)
 
 
-def _no_model(texts: list, n: int) -> list:
-    raise AssertionError("asked again")
-
-
 @register("generate_stored", f"""
 SELECT question_id, CAST(j AS INTEGER) AS ord,
        '```sql' || {NL} || 'SELECT ' || CAST(j AS VARCHAR) || ' AS candidate, ' || CAST(length(prompt) AS VARCHAR)
@@ -245,7 +241,7 @@ def q_generate_stored(spark, sf_dir):
     p = TB.bench_questions(spark, sf_dir).select("question_id", F.col("question").alias("prompt"))
     store = scratch_path(spark, "generations")
     generate.stored_generations(p, TB.echo_model, N_CANDIDATES, store, "echo")
-    return generate.stored_generations(p, _no_model, N_CANDIDATES, store, "echo")
+    return generate.stored_generations(p, TB.no_model, N_CANDIDATES, store, "echo")
 
 
 @register("first_valid_attempt", f"""
@@ -300,11 +296,6 @@ def q_prompts_by_family(spark, sf_dir):
     return prompts.build_prompts_by_family(q, _schemas(spark, sf_dir), "family", FAMILIES)
 
 
-def thinking_model(texts: list, n: int) -> list:
-    """A stand-in model: the answer's tags are there for every other length of prompt only."""
-    return [[f"<think> {len(t)} </think> <answer> SELECT {j} </answer>" if len(t) % 2 else f"SELECT {j}" for j in range(n)] for t in texts]
-
-
 @register("retry_until_answer", """
 SELECT item_id AS question_id, CASE WHEN length(text) % 2 = 1 THEN CAST(length(text) AS VARCHAR) END AS thinking,
        CASE WHEN length(text) % 2 = 1 THEN 'SELECT 0' END AS sql
@@ -313,7 +304,7 @@ FROM benchmark
 def q_retry_until_answer(spark, sf_dir):
     """Three attempts at most until thinking and answer are both there; a question without them stays, empty."""
     q = TB.bench_questions(spark, sf_dir).select("question_id", F.col("question").alias("prompt"))
-    r = generate.generate_candidates(q, thinking_model, 1, max_attempts=3, is_valid=generate.has_think_answer)
+    r = generate.generate_candidates(q, TB.thinking_model, 1, max_attempts=3, is_valid=generate.has_think_answer)
     both = q.join(r, "question_id", "left").withColumn("x", T.extract_answer("response"))
     return both.select("question_id", F.col("x.think").alias("thinking"), F.col("x.answer").alias("sql"))
 

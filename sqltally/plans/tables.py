@@ -165,3 +165,15 @@ def echo_model(prompts: list, n: int) -> list:
     prompt length."""
     return [[f"```sql\nSELECT {j} AS candidate, {len(p)} AS prompt_chars\n```" for j in range(n)]
             for p in prompts]
+
+
+# Executors import this module to find the stand-ins; the catalogs read the
+# workload's file as they are imported, which executors don't have.
+
+def thinking_model(texts: list, n: int) -> list:
+    """A stand-in model: the answer's tags are there for every other length of prompt only."""
+    return [[f"<think> {len(t)} </think> <answer> SELECT {j} </answer>" if len(t) % 2 else f"SELECT {j}" for j in range(n)] for t in texts]
+
+
+def no_model(texts: list, n: int) -> list:
+    raise AssertionError("asked again")
