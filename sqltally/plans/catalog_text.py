@@ -133,7 +133,9 @@ def q_error_category(spark, sf_dir):
 
 # Plain templates: what a prompt says is up to the user.
 PLAIN = "{dialect}\n{db_schema}\n{evidence}\n{question}"
-FAMILIES = {"plain": PLAIN, "short": "{question} | {db_schema}"}
+# every slot in each, in another order; the question stands on both sides of a long schema
+FAMILIES = {"sql_expert": "{dialect}\n{question}\n{db_schema}\n{evidence}\n{question}",
+            "reasoning": "{dialect} | {db_schema} | {evidence} | {question}"}
 GIVEN, MISSING = "{db_schema}\n-- {evidence}\n-- {question}", "{db_schema}\n-- {question}"
 
 _QUESTIONS = """
@@ -274,12 +276,12 @@ def q_resume(spark, sf_dir):
 
 def _family_sql() -> str:
     vals = {"question": "q.question", "db_schema": "s.text", "evidence": "q.evidence", "dialect": "'Spark SQL'"}
-    fam = "CASE WHEN q.question_id % 5 = 4 THEN 'unknown' WHEN q.question_id % 2 = 0 THEN 'plain' ELSE 'short' END"
+    fam = "CASE WHEN q.question_id % 5 = 4 THEN 'unknown' WHEN q.question_id % 2 = 0 THEN 'sql_expert' ELSE 'reasoning' END"
     return f"""
 SELECT question_id, db_id, family, prompt, schema_found, prompt IS NOT NULL AS template_found FROM (
   SELECT q.question_id, q.db_id, {fam} AS family,
-         CASE WHEN {fam} = 'plain' THEN {_template_sql(PLAIN, vals)}
-              WHEN {fam} = 'short' THEN {_template_sql(FAMILIES['short'], vals)} END AS prompt,
+         CASE WHEN {fam} = 'sql_expert' THEN {_template_sql(FAMILIES['sql_expert'], vals)}
+              WHEN {fam} = 'reasoning' THEN {_template_sql(FAMILIES['reasoning'], vals)} END AS prompt,
          s.text IS NOT NULL AS schema_found
   FROM ({_QUESTIONS}) q LEFT JOIN ({_schemas_sql()}) s ON q.db_id = s.db_id) x
 """
@@ -290,8 +292,8 @@ def q_prompts_by_family(spark, sf_dir):
     """Template chosen per question by a model-family column (one family
     has no template and is flagged)."""
     qid = F.col("question_id")
-    fam = (F.when(qid % 5 == 4, F.lit("unknown")).when(qid % 2 == 0, F.lit("plain"))
-           .otherwise(F.lit("short")))
+    fam = (F.when(qid % 5 == 4, F.lit("unknown")).when(qid % 2 == 0, F.lit("sql_expert"))
+           .otherwise(F.lit("reasoning")))
     q = TB.bench_questions(spark, sf_dir).withColumn("family", fam)
     return prompts.build_prompts_by_family(q, _schemas(spark, sf_dir), "family", FAMILIES)
 
