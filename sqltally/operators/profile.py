@@ -59,6 +59,9 @@ def table_comments(spark: SparkSession, db_id: str, tables: dict,
     return spark.createDataFrame(rows, "db_id string, table_name string, comment string")
 
 
+STEP_BYTES = 4 << 20  # of a column, looked at in one step
+
+
 def _local_smallest(k: int, string_cols: set, by_file: bool = False):
     """Keeps the k smallest distinct values of each column of a partition, or of
     each file in it (``by_file``: the last column names the file; a partition's
@@ -68,7 +71,24 @@ def _local_smallest(k: int, string_cols: set, by_file: bool = False):
         import pyarrow.compute as pc
 
         best: dict = {}
-        schema = file = None
+        schema = file = rb = None
+
+        def smallest(i, column, text):
+            """Takes a column into ``best``, some megabytes at a time: each step copies what it looks at."""
+            step = max(1, len(column) * STEP_BYTES // max(column.nbytes, 1))
+            for at in range(0, len(column), step):
+                arr = column.slice(at, step).drop_null()
+                if text:
+                    arr = arr.filter(pc.not_equal(arr, ""))
+                found = best.get(i)
+                if found is not None:
+                    if len(found) == k > 0 and not (pa.types.is_floating(found.type) and pc.is_nan(found[k - 1]).as_py()):
+                        arr = arr.filter(pc.less(arr, found[k - 1]))
+                    if not len(arr):
+                        continue
+                    arr = pa.concat_arrays([found, arr])
+                u = pc.unique(arr)
+                best[i] = u.take(pc.array_sort_indices(u)[:k])
 
         def held():
             names = schema.names + ["__pos"]
@@ -95,15 +115,9 @@ def _local_smallest(k: int, string_cols: set, by_file: bool = False):
                     yield from held()
                     best, file = {}, rb.column(rb.num_columns - 1)[0].as_py()
                 for i, name in enumerate(schema.names[:-1] if by_file else schema.names):
-                    arr = rb.column(i).drop_null()
-                    if name in string_cols:
-                        arr = arr.filter(pc.not_equal(arr, ""))
-                    if i in best:
-                        arr = pa.concat_arrays([best[i], arr])
-                    u = pc.unique(arr)
-                    if len(u) > k:
-                        u = u.take(pc.array_sort_indices(u)[:k])
-                    best[i] = u
+                    smallest(i, rb.column(i), name in string_cols)
+            whole = rb = None  # or the next batch is read while this one is still held
+            pa.default_memory_pool().release_unused()
         if schema is not None:
             yield from held()
     return fn
