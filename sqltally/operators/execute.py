@@ -42,6 +42,10 @@ ERROR_CATEGORIES = [
 ]
 OTHERS = "others"
 
+# Rows a scan hands on between two looks at whether its task was cancelled: a
+# slow expression goes on to the end of a batch, whatever the deadline.
+ROWS_BETWEEN_CHECKS = 64
+
 RESULT_SCHEMA = T.StructType([
     T.StructField("stmt_key", T.StringType()),
     T.StructField("status", T.StringType()),
@@ -107,6 +111,8 @@ def register_database(spark: SparkSession, db_id: str, tables: dict,
     """
     sess = spark.newSession()
     sess.conf.set("spark.sql.ansi.enabled", "true" if ansi else "false")
+    for kind in ("parquet", "orc"):
+        sess.conf.set(f"spark.sql.{kind}.columnarReaderBatchSize", str(ROWS_BETWEEN_CHECKS))
     frames = {}
     for name, src in tables.items():
         if isinstance(src, str):
