@@ -25,6 +25,8 @@ from sqltally.operators.profile import ATOMIC
 
 ERROR = 0.02  # relative standard error of distinct counts
 SLACK = 0.2  # a set is ruled out where its estimate is so far below the rows: ten standard errors
+MANY_ROWS = 500_000  # from so many on, a set is looked at in one of PARTS parts of its values before all are counted
+PARTS = 64
 TRACKED = 32  # values a heavy-hitter sketch holds; more than half of the rows can't escape it
 
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -63,22 +65,29 @@ def union_all(frames: list[DataFrame]) -> DataFrame | None:
     return out
 
 
-def column_statistics(tables: dict) -> list:
-    """Rows (table_name, column_name, n, filled, distinct, low, high, top): one pass over each table."""
+def column_statistics(tables: dict, counts_only: bool = False) -> list:
+    """Rows (table_name, column_name, n, filled, distinct, low, high, top): one pass over each table.
+
+    ``counts_only``: up to distinct, which is all that keys need.
+    """
     frames = []
     for t, df in tables.items():
         measures = {}
         for f in _atomic(df):
             whole = isinstance(f.dataType, _INTEGERS)
-            top = F.expr(f"approx_top_k(`{f.name.replace('`', '``')}`, 1, {TRACKED})")
             measures[f.name] = [
                 F.count(F.lit(1)).alias("n"), F.count(_col(f.name)).alias("filled"),
-                F.approx_count_distinct(_short(f), ERROR).alias("distinct"),
+                F.approx_count_distinct(_short(f), ERROR).alias("distinct")]
+            if counts_only:
+                continue
+            top = F.expr(f"approx_top_k(`{f.name.replace('`', '``')}`, 1, {TRACKED})")
+            measures[f.name] += [
                 (F.min(_col(f.name)) if whole else F.lit(None)).cast("bigint").alias("low"),
                 (F.max(_col(f.name)) if whole else F.lit(None)).cast("bigint").alias("high"),
                 F.get(F.transform(top, lambda x: x["item"].cast("string")), F.lit(0)).alias("top")]
         if measures:
-            frames.append(_by_column(df, t, measures, "n bigint, filled bigint, distinct bigint, low bigint, high bigint, top string"))
+            rest = "" if counts_only else ", low bigint, high bigint, top string"
+            frames.append(_by_column(df, t, measures, "n bigint, filled bigint, distinct bigint" + rest))
     found = union_all(frames)
     return found.collect() if found is not None else []
 
@@ -95,16 +104,50 @@ def _unique(tables: dict, candidates: list[tuple[str, tuple[str, ...]]]) -> set:
     return {(r.table_name, tuple(r.names)) for r in found.collect() if not r.twice} if found is not None else set()
 
 
+def _text(f: T.StructField) -> Column:
+    """The value as a text that no other value has."""
+    return F.md5(_col(f.name)) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else _col(f.name).cast("string")
+
+
+def _seen_twice(tables: dict, candidates: list[tuple[str, tuple[str, ...]]]) -> set:
+    """Of column sets without nulls, some of which a value occurs twice, for certain.
+
+    Looks at all rows, but only at values whose hash is one in ``PARTS``: equal
+    values have equal hashes, so both of a pair are there or none.  One pass and
+    one shuffle of a ``PARTS``-th of the values serve all sets of a table.  Sets
+    that are not found may have a value twice all the same.
+    """
+    frames, tried = [], []
+    for t, group in itertools.groupby(candidates, key=lambda x: x[0]):
+        fields = {f.name: f for f in _atomic(tables[t])}
+        sets = [names for _, names in group]
+        used = sorted({c for names in sets for c in names})
+        place = {c: i for i, c in enumerate(used)}
+        hashed = tables[t].select(*[_text(fields[c]).alias(f"v{i}") for c, i in place.items()],
+                                  *[F.xxhash64(_col(c)).alias(f"h{i}") for c, i in place.items()])
+        cells = [F.when(F.pmod(F.xxhash64(*[F.col(f"h{place[c]}") for c in names]), F.lit(PARTS)) == 0,
+                        F.struct(F.lit(len(tried) + j).alias("s"), F.concat_ws("\x1f", *[F.col(f"v{place[c]}") for c in names]).alias("v")))
+                 for j, names in enumerate(sets)]
+        tried += [(t, names) for names in sets]
+        frames.append(hashed.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.s", "x.v"))
+    cells = union_all(frames)
+    if cells is None:
+        return set()
+    return {tried[r.s] for r in cells.groupBy("s", "v").count().where("count > 1").select("s").distinct().collect()}
+
+
 def candidate_keys(tables: dict, most: int = 2, statistics: list | None = None) -> list[tuple[str, tuple[str, ...]]]:
     """(table, columns) of all minimal keys of up to ``most`` columns: no nulls, no value twice.
 
     Level by level: sets of one more column are looked at only if they hold no
     key yet and their estimated distinct counts could reach the rows; the sets
     left are estimated in one pass a table, and only those that come near are
-    counted exactly.  A table without rows has no keys.
+    counted exactly.  In a table of many rows, sets of which one value in some is
+    seen twice are left out before that, as a count moves all rows.  A table
+    without rows has no keys.
     """
     rows: dict = {}
-    for r in statistics if statistics is not None else column_statistics(tables):
+    for r in statistics if statistics is not None else column_statistics(tables, counts_only=True):
         if r.n and r.filled == r.n:
             rows.setdefault(r.table_name, {})[r.column_name] = r
     found: list = []
@@ -120,6 +163,8 @@ def candidate_keys(tables: dict, most: int = 2, statistics: list | None = None)
                     level.append((t, names))
         if size > 1:
             level = _estimated(tables, level, rows)
+        twice = _seen_twice(tables, [x for x in level if rows[x[0]][x[1][0]].n >= MANY_ROWS])
+        level = [x for x in level if x not in twice]
         unique = _unique(tables, level)
         found += [x for x in level if x in unique]
     return found
@@ -131,8 +176,9 @@ def _estimated(tables: dict, level: list, rows: dict) -> list:
     for t, group in itertools.groupby(level, key=lambda x: x[0]):
         fields = {f.name: f for f in _atomic(tables[t])}
         measures = {",".join(map(str, map(list(fields).index, names))):
-                    [F.approx_count_distinct(F.xxhash64(*[_col(c) for c in names]), ERROR).alias("distinct")] for _, names in group}
-        frames.append(_by_column(tables[t], t, measures, "distinct bigint"))
+                    [F.approx_count_distinct(F.xxhash64(*[_col(f"h{c}") for c in names]), ERROR).alias("distinct")] for _, names in group}
+        hashed = tables[t].select(*[F.xxhash64(_col(c)).alias(f"h{c}") for c in fields])  # each column once, not once a set
+        frames.append(_by_column(hashed, t, measures, "distinct bigint"))
     near = union_all(frames)
     near = {(r.table_name, r.column_name): r.distinct for r in near.collect()} if near is not None else {}
     place = {t: [f.name for f in _atomic(df)] for t, df in tables.items()}

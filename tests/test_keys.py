@@ -101,3 +101,15 @@ def test_schema_document_keeps_all_fields(spark):
     assert (rows["b"]["default"], rows["b"]["autoincrement"], rows["b"]["comment"], rows["b"]["examples"]) == (None, False, "", [])
     assert [tuple(r) for r in back["tables"].collect()] == [("d", "t", "all of it")]
     assert back["foreign_keys"].count() == 1
+
+
+def test_sets_with_a_value_seen_twice_are_not_counted(spark, tables, monkeypatch):
+    want = keys.candidate_keys(tables)
+    monkeypatch.setattr(keys, "MANY_ROWS", 1)
+    monkeypatch.setattr(keys, "PARTS", 2)
+    counted, exact = [], keys._unique
+    monkeypatch.setattr(keys, "_unique", lambda t, c: counted.extend(c) or exact(t, c))
+    assert set(keys.candidate_keys(tables)) == set(want)
+    nan = spark.createDataFrame([(i, float("nan") if i < 2 else i / 3, f"{i % 90}") for i in range(100)], "id int, near double, text string")
+    counted.clear()
+    assert keys.candidate_keys({"t": nan}) == [("t", ("id",))] and ("t", ("text",)) not in counted
