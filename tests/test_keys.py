@@ -112,4 +112,4 @@ def test_sets_with_a_value_seen_twice_are_not_counted(spark, tables, monkeypatch
     assert set(keys.candidate_keys(tables)) == set(want)
     nan = spark.createDataFrame([(i, float("nan") if i < 2 else i / 3, f"{i % 90}") for i in range(100)], "id int, near double, text string")
     counted.clear()
-    assert keys.candidate_keys({"t": nan}) == [("t", ("id",))] and ("t", ("text",)) not in counted
+    assert keys.candidate_keys({"t": nan}, most=1) == [("t", ("id",))] and ("t", ("text",)) not in counted
