@@ -12,7 +12,8 @@
 5. Tiles.  Under each shingle that still holds several components, sets are dealt
    into bands of sizes (a link joins equal or neighbouring bands only) and blocks
    of ``BLOCK``; a tile is two blocks.  All its pairs of different components are
-   looked at, none is left out.
+   looked at, none is left out; of those that the bound lets pass, a tile passes on
+   as many as connect its sets, so that they grow with the sets.
 6. Bound.  Each set has a bitmap in which every shingle flips one bit; larger sets
    have longer ones, and the halves of a longer one, put together, are the shorter.
    The bits in which two bitmaps differ are a lower bound of the shingles that only
@@ -20,7 +21,10 @@
 7. The pairs left are settled by intersecting their sorted arrays, made again from
    the texts.  Pairs that hang together go to one place, in blocks, so that an array
    travels once a block and not once a pair.
-8. Components of the links, by grouped minima.
+8. Groups.  Where pairs of tiles did not link, two components that they connect may
+   link by others: there all sets of different components meet, in blocks, and are
+   held against the bound and each other, until links connect them.
+9. Components of the links, by grouped minima.
 
 Defined results: words are runs without white space, A-Z as a-z; a text of fewer
 than five words is one shingle; one without words (a null is empty) has an empty
@@ -38,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
@@ -231,12 +235,50 @@ def _few_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = end
 
 
+class Joined:
+    """Which of a batch's components have been found to hang together."""
+
+    def __init__(self, root: np.ndarray):
+        self.roots, self.at = np.unique(root, return_inverse=True)
+        self.of = np.arange(len(self.roots))
+
+    def find(self, c: int) -> int:
+        of = self.of
+        while of[c] != c:
+            of[c] = of[of[c]]
+            c = of[c]
+        return c
+
+    def component(self) -> np.ndarray:
+        """Of each set, its component by now."""
+        while (self.of[self.of] != self.of).any():
+            self.of = self.of[self.of]
+        return self.of[self.at]
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether sets ``i`` and ``j`` were apart; they are together from here on."""
+        a, b = self.find(self.at[i]), self.find(self.at[j])
+        self.of[max(a, b)] = min(a, b)
+        return a != b
+
+    def forest(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Places of pairs (i, j) that, joined, connect all that the pairs connect: fewer than there are components."""
+        of = self.component()
+        low, high = np.minimum(of[i], of[j]), np.maximum(of[i], of[j])
+        _, first = np.unique(low * len(self.roots) + high, return_index=True)
+        return np.array([k for k in first.tolist() if self.join(i[k], j[k])], np.int64)
+
+
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of different components of each tile that the bound lets pass."""
+    """Pairs that connect all sets of different components that the bound lets pass in a tile.
+
+    Every pair of a tile is looked at, but for those that others connect already:
+    fewer pairs come out than sets went in.
+    """
     for b in _few_sets(batches):
         m = b["sets"].flatten()
         band, own, root, sid, n = (m.field(c).to_numpy().astype(np.int64) for c in ("band", "own", "root", "sid", "n"))
-        sets = Sets(n, m.field("bits"))
+        sets, joined = Sets(n, m.field("bits")), Joined(root)
         size = pc.list_value_length(b["sets"]).to_numpy(zero_copy_only=False)
         tile, apart = (np.repeat(x, size) for x in (b["tile"].to_numpy(), b["x"].to_numpy() != b["y"].to_numpy()))
         after = np.repeat(np.cumsum(size), size) - np.arange(len(n)) - 1  # sets that follow each in its tile
@@ -246,17 +288,20 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             end = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS, "right")) - 1)
             i = np.repeat(np.arange(at, end), after[at:end])
             j = i + 1 + np.arange(len(i)) - np.repeat(done[at:end] - done[at], after[at:end])
-            good = (root[i] != root[j]) & (abs(band[i] - band[j]) < 2)
+            of = joined.component()
+            good = (of[i] != of[j]) & (abs(band[i] - band[j]) < 2)
             # a pair belongs to the higher band's tile; pairs inside one block have a tile of their own
             good &= ((tile[i] < 0) | (np.maximum(band[i], band[j]) == tile[i])) & (~apart[i] | (own[i] != own[j]))
             i, j = i[good], j[good]
             keep = can_link(sets, i, sets, j)
-            yield _pairs(*np.unique(np.stack([sid[i[keep]], sid[j[keep]]]), axis=1))
+            i, j = i[keep], j[keep]
+            some = joined.forest(i, j)
+            yield _pairs(sid[i[some]], sid[j[some]])
             at = end
 
 
 def crossing(members: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b): the pairs of different components under a shared shingle that the bound lets pass."""
+    """(a, b): pairs that connect all sets of different components that the bound lets pass under a shared shingle."""
     root = known.select(F.col("key").alias("sid"), "root")
     rows = members.join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     several = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
@@ -272,24 +317,35 @@ def crossing(members: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame
     return tiles.select("tile", "x", "y", "sets").mapInArrow(_tiles, _PAIR).distinct()
 
 
-def verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by intersecting their arrays, written."""
-    pairs = written(pairs, "jaccard-pairs")
-    sides = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in steps(batches, 1):
+        with np.errstate(over="ignore"):
+            doc, value = shingles(b.column(1))
+        ends = np.searchsorted(doc, np.arange(b.num_rows + 1))
+        made = [value[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["sid", "values"])
+
+
+def arrays_of(sides: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(sid, values): the sorted shingles of the sets ``sides`` (sid), made again from the texts."""
     wanted = sets.select("sid", "text_key").join(sides, "sid", "left_semi")
     # copies of a text are one before it travels
     found = texts.join(wanted, "text_key").groupBy("sid").agg(F.first("text").alias("text"))
+    kind = StructType([StructField("sid", LongType()), StructField("values", BinaryType())])
+    return found.select("sid", "text").mapInArrow(_arrays, kind)
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, 1):
-            with np.errstate(over="ignore"):
-                doc, value = shingles(b.column(1))
-            ends = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            made = [value[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["sid", "values"])
 
-    kind = StructType([StructField("sid", LongType()), StructField("values", BinaryType())])
-    made = found.select("sid", "text").mapInArrow(arrays, StructType([StructField("sid", LongType()), StructField("values", BinaryType())]))
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted arrays of shingles link."""
+    if len(y) < len(x):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a written table that link, by intersecting their arrays, written."""
+    made = arrays_of(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), sets, texts)
     # where pairs meet: the sets that they connect, in blocks
     group = components(pairs)
     nodes = written(group.union(group.select(F.col("root").alias("key"), "root").distinct()), "jaccard-nodes")
@@ -304,19 +360,73 @@ def verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
 
     def linked(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         of = {k: np.frombuffer(v.as_buffer(), np.uint64) for k, v in zip(sets["sid"].to_pylist(), sets["values"])}
-        keep = []
-        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
-            x, y = of[a], of[b]
-            if len(y) < len(x):
-                x, y = y, x
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        keep = [_alike(of[a], of[b]) for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist())]
         return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     where = ["root", "x", "y"]
     return written(placed.groupBy(*where).cogroup(spread.groupBy(*where)).applyInArrow(linked, _PAIR), "jaccard-links")
 
 
+def _blocks_met(group: pa.Table) -> pa.Table:
+    """Pairs of two blocks of a group that link and connect all components that such pairs connect."""
+    group = group.combine_chunks()
+    n, root, sid, part = (group[c].to_numpy().astype(np.int64) for c in ("n", "root", "sid", "part"))
+    values = [np.frombuffer(v.as_buffer(), np.uint64) for v in group["values"]]
+    sets, joined = Sets(n, group["bits"]), Joined(root)
+    low, high = int(group["x"][0].as_py()), int(group["y"][0].as_py())
+    first, second = np.flatnonzero(part == low), np.flatnonzero(part == high)
+    out = []
+    step = max(1, PAIRS // max(1, len(second)))
+    for k in range(0, len(first), step):
+        i, j = (x.ravel() for x in np.meshgrid(first[k:k + step], second, indexing="ij"))
+        of = joined.component()
+        good = (of[i] != of[j]) & ((low != high) | (i < j))
+        i, j = i[good], j[good]
+        keep = can_link(sets, i, sets, j)
+        for p, q in zip(i[keep].tolist(), j[keep].tolist()):
+            if joined.find(joined.at[p]) != joined.find(joined.at[q]) and _alike(values[p], values[q]):
+                joined.join(p, q)
+                out.append((p, q))
+    p, q = (np.array([x[k] for x in out], np.int64) for k in (0, 1))
+    return pa.Table.from_batches([_pairs(sid[p], sid[q])])
+
+
+def settle(pairs: DataFrame, sets: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame | None:
+    """(a, b): links that connect what links within the groups of components that ``pairs`` connect, written; None without groups.
+
+    The sets of a group are dealt into blocks of PLACE, a large component into
+    blocks of its own, that need not meet each other; all other blocks meet, two
+    at a time, so that no large group lands in one task.
+    """
+    root = lambda s: known.select(F.col("key").alias(s), F.col("root").alias(f"r{s}"))
+    ends = (pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+            .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a != b"))
+    group = components(written(ends.distinct(), "jaccard-ends"))
+    group = written(group.union(group.select(F.col("root").alias("key"), "root").distinct())
+                    .select(F.col("key").alias("root"), F.col("root").alias("group")), "jaccard-groups")
+    if group.isEmpty():
+        return None
+    nodes = group.join(known, "root").select("group", "root", F.col("key").alias("sid")).union(
+        group.select("group", "root", F.col("root").alias("sid")))  # known names no root as a key
+    large = nodes.groupBy("group", "root").agg(F.count("*").alias("size"))
+    label = F.when(F.col("size") > PLACE, F.col("root"))  # null: the small components of a group share blocks
+    nodes = written(nodes.join(large.select("root", label.alias("label")), "root"), "jaccard-nodes")
+    parts = nodes.groupBy("group", "label").agg(F.ceil(F.count("*") / PLACE).cast("int").alias("parts"))
+    before = F.sum("parts").over(Window.partitionBy("group").orderBy("label").rowsBetween(Window.unboundedPreceding, -1))
+    parts = written(parts.withColumn("before", F.coalesce(before, F.lit(0)).cast("int")), "jaccard-parts")
+    own = F.col("before") + F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
+    placed = nodes.join(parts.withColumnRenamed("group", "g").withColumnRenamed("label", "l"),
+                        (F.col("group") == F.col("g")) & F.col("label").eqNullSafe(F.col("l")))
+    placed = placed.select("group", "root", "sid", "label", own.alias("part"))
+    others = parts.select("group", F.col("label").alias("l"), F.explode(F.sequence("before", F.col("before") + F.col("parts") - 1)).alias("other"))
+    meet = ~F.col("label").eqNullSafe(F.col("l")) | F.col("label").isNull()
+    placed = placed.join(others, "group").where(meet).select(
+        "group", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "sid", "root", "part")
+    made = written(arrays_of(nodes.select("sid"), sets, texts), "jaccard-arrays")
+    sides = placed.join(sets.select("sid", "n", "bits"), "sid").join(made, "sid")
+    return written(sides.groupBy("group", "x", "y").applyInArrow(_blocks_met, _PAIR), "jaccard-settled")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, component_size) for every row of ``docs``."""
     texts = docs.select(F.unhex(F.md5(text_of(text_col))).alias("text_key"), text_of(text_col).alias("text"))
@@ -332,10 +442,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     side = lambda s: sets.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"x{s}"))
     pairs = members.where("sid != first").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_bounded, _PAIR)
-    known = components(verify(pairs, sets, texts))
-    more = verify(crossing(members, sets, known), sets, texts)
-    known = components(known.select(F.col("key").alias("a"), F.col("root").alias("b")).union(more))
+    known = components(verify(written(pairs, "jaccard-pairs"), sets, texts))
+    more = lambda links: components(known.select(F.col("key").alias("a"), F.col("root").alias("b")).union(links))
+    pairs = written(crossing(members, sets, known), "jaccard-crossing")
     discard(members)
+    if not pairs.isEmpty():
+        known = more(verify(pairs, sets, texts))
+        links = settle(pairs, sets, texts, known)
+        known = known if links is None else more(links)
 
     per_set = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
     root = known.select(F.col("key").alias("sid"), "root")

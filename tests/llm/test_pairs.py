@@ -276,3 +276,28 @@ def test_bound_never_loses_a_link():
             x, y = (jaccard.Sets(m, pa.array(jaccard.bitmaps(np.zeros(len(s), np.int64), s, m)))
                     for s in (a, b) for m in [np.array([len(s)])])
         assert not linked or jaccard.can_link(x, np.array([0]), y, np.array([0]))[0]
+
+
+def test_a_tile_passes_on_fewer_pairs_than_sets():
+    """60 sets that may all link with each other: as many pairs as connect them, not all 1,770."""
+    n, sid = 40, list(range(60))
+    bits = jaccard.bitmaps(np.zeros(n, np.int64), np.arange(n, dtype=np.uint64) * np.uint64(7919), np.array([n]))[0]
+    sets = [{"band": 16, "own": 0, "root": s, "sid": s, "n": n, "bits": bits} for s in sid]
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("band", "own", "root", "sid", "n")] + [("bits", pa.binary())]))
+    tile = pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0]), pa.array([0]), pa.array([sets], kind)],
+                                      names=["tile", "x", "y", "sets"])
+    links = [(r["a"], r["b"]) for b in jaccard._tiles(iter([tile])) for r in b.to_pylist()]
+    assert len(links) == 59
+    joined = jaccard.Joined(np.array(sid))
+    assert all(joined.join(a, b) for a, b in links) and len(set(joined.component())) == 1
+
+
+def test_jaccard_links_that_the_passed_on_pairs_miss(spark, monkeypatch):
+    """Components that meet by other pairs than those that tiles pass on, in several blocks."""
+    monkeypatch.setattr(jaccard, "PLACE", 4)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = [edited(r, base, k % 4) for k in range(70)] + [edited(r, [f"v{i}" for i in range(25)], 1) for _ in range(20)]
+    got = jaccard.query(documents(spark, texts)).select("doc_id", "n_shingles", "component_id").collect()
+    want = plain_components(texts)
+    assert len({c for _, _, c in want}) > 2 and sorted(tuple(x) for x in got) == want
