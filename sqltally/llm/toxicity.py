@@ -118,29 +118,38 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return bags.toPandas().sort_values("_id", ignore_index=True)
 
 
-def _features(rows: pd.DataFrame, y: np.ndarray, min_docs: int, min_z: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text: buckets and how much of the text's mean each makes up.
+def _shares(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text: buckets and how much of the text's mean each makes up."""
+    for ws, cs in zip(rows["words"], rows["counts"], strict=True):
+        count, some = np.frombuffer(cs, np.int32), ws.split(" ") if ws else []
+        row, bucket = grams(some)
+        size = np.bincount(row, minlength=len(some))
+        g, at = np.unique(bucket.astype(np.int32), return_inverse=True)
+        yield g, np.bincount(at, (count / np.maximum(1, size * count.sum()))[row], len(g)).astype(np.float32)
+
+
+def _features(rows: pd.DataFrame, y: np.ndarray, min_docs: int, min_z: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, ends, places, shares): the trained buckets and, text after text, which of them it has and its shares.
 
     The mean of the words' means is linear in the embeddings, so that a text's
     n-grams can be summed up once, before training.  Only buckets that
     ``min_docs`` texts have and whose share of the texts differs between the
     classes by ``min_z`` standard errors are trained; the others would only
-    learn single texts by heart, and their embeddings stay zero.
+    learn single texts by heart, and their embeddings stay zero.  The texts are
+    gone through twice, as the buckets of all of them take much memory.
     """
-    texts, df = [], np.zeros((2, BUCKETS), np.int32)
-    for ws, cs, label in zip(rows["words"], rows["counts"], y, strict=True):
-        count, some = np.frombuffer(cs, np.int32), ws.split(" ") if ws else []
-        row, bucket = grams(some)
-        size = np.bincount(row, minlength=len(some))
-        g, at = np.unique(bucket.astype(np.int32), return_inverse=True)
-        texts.append((g, np.bincount(at, (count / np.maximum(1, size * count.sum()))[row], len(g)).astype(np.float32)))
+    df = np.zeros((2, BUCKETS), np.int32)
+    for (g, _), label in zip(_shares(rows), y, strict=True):
         df[label, g] += 1
     n = np.bincount(y, minlength=2)
     share = df.sum(0) / n.sum()
     error = np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1])) + 1e-9
     told = (df.sum(0) >= min_docs) & (abs(df[1] / n[1] - df[0] / n[0]) >= min_z * error)
-    none = np.zeros(1, np.int32), np.zeros(1, np.float32)  # keeps a text without such buckets
-    return [(np.append(g[k], none[0]), np.append(x[k], none[1])) for g, x in texts for k in [told[g]]]
+    buckets = np.union1d(0, np.flatnonzero(told))  # bucket 0 keeps a text without such buckets
+    kept = [(np.append(g[k], np.int32(0)), np.append(x[k], np.float32(0))) for g, x in _shares(rows) for k in [told[g]]]
+    ends = np.cumsum([0] + [len(g) for g, _ in kept])
+    places = np.searchsorted(buckets, np.concatenate([g for g, _ in kept])).astype(np.int32)
+    return buckets, ends, places, np.concatenate([x for _, x in kept])
 
 
 def train(rows: pd.DataFrame, epochs: int = 15, batch: int = 32, rate: float = 2.0, seed: int = 7,
@@ -150,16 +159,16 @@ def train(rows: pd.DataFrame, epochs: int = 15, batch: int = 32, rate: float = 2
     prior = math.log((y.sum() + 1) / (len(y) - y.sum() + 2))  # without labels a text counts as clean
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), prior)
-    texts = _features(rows, y, min_docs, min_z)
+    buckets, ends, places, shares = _features(rows, y, min_docs, min_z)
     rnd = np.random.default_rng(seed)
-    emb = np.zeros((BUCKETS, DIM), np.float32)  # an n-gram that training never saw adds nothing
+    emb = np.zeros((len(buckets), DIM), np.float32)  # an n-gram that training never saw adds nothing
     soft, bias = rnd.uniform(-1, 1, (DIM, 2)).astype(np.float32), np.array([-prior / 2, prior / 2], np.float32)
     emb_sum, soft_sum, bias_sum = (np.full_like(x, 1e-10) for x in (emb, soft, bias))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        for some in np.array_split(rnd.permutation(len(texts)), max(1, len(texts) // batch)):
-            size = np.array([len(texts[i][0]) for i in some])
-            g, x = np.concatenate([texts[i][0] for i in some]), np.concatenate([texts[i][1] for i in some])
+        for some in np.array_split(rnd.permutation(len(y)), max(1, len(y) // batch)):
+            size = ends[some + 1] - ends[some]
+            g, x = (np.concatenate([v[ends[i]:ends[i + 1]] for i in some]) for v in (places, shares))
             doc = np.add.reduceat(emb[g] * x[:, None], np.concatenate([[0], np.cumsum(size)[:-1]]))
             z = doc @ soft + bias
             p = np.exp(z - z.max(1, keepdims=True))
@@ -173,7 +182,9 @@ def train(rows: pd.DataFrame, epochs: int = 15, batch: int = 32, rate: float = 2
             for v, total, d in ((soft, soft_sum, doc.T @ p), (bias, bias_sum, p.sum(0))):
                 total += d * d
                 v -= step * d / np.sqrt(total)
-    return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    every = np.zeros((BUCKETS, DIM), np.float32)
+    every[buckets] = emb
+    return Model((every @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

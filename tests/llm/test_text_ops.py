@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -13,6 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from sqltally.llm import bpe, hamming, licenses, lines, neardup, packing, quality, queries, secrets, spotsigs, toxicity
+from sqltally.session import checkpoint_dir, local_path
 from .conftest import LABELS, SCHEMA, row
 
 
@@ -407,3 +409,16 @@ def test_secret_bare_tokens_of_copies_and_of_one_case(spark):
     red = {r.doc_id: r.text for r in secrets.stage(docs).collect()}
     assert red[1] == red[2] == "see [secret] here" and red[3] == "[secret] x" and red[4] == "[secret] y"
     assert red[7] == rows[6][1]
+
+
+def test_toxicity_training_keeps_only_trained_buckets():
+    """What training holds of the texts grows with the buckets it trains, not with all their n-grams."""
+    r = random.Random(5)
+    said = [[f"t{r.randrange(10 ** 9)}" for _ in range(60)] + (["badword"] if i % 2 else ["goodword"]) for i in range(200)]
+    rows = pd.DataFrame({"_label": [i % 2 for i in range(200)], "words": [" ".join(w) for w in said],
+                         "counts": [np.ones(61, np.int32).tobytes()] * 200})
+    buckets, ends, places, shares = toxicity._features(rows, rows["_label"].to_numpy(), 5, 5.0)
+    assert len(ends) == 201 and len(places) == len(shares) == ends[-1] < 200 * 61
+    assert places.max() < len(buckets) < 2_000
+    model = toxicity.train(rows)
+    assert model.of_words(["badword"])[0] > 0 > model.of_words(["goodword"])[0]
