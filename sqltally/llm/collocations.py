@@ -33,20 +33,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from sqltally.llm.common import col, discard, text_of, written
+from sqltally.llm.common import col, discard, release, text_of, written
 from sqltally.llm.tokens import classes, hashes, mixed, steps, words_of
 
 LEAST = 30
 LENGTHS = 4
 ABSORB = 80  # percent of a phrase's occurrences in a longer one that make it a part only
 TOP = 2000
-SHARDS = 3
+SHARDS = 2
 SLOTS = 1 << 25
 SCALE = 2_000_000
+STEP = 8 << 20  # bytes of text whose phrases are counted at once
+KEYS = 100_000  # phrases made into text at once
 
 _KINDS = classes(b" \t", b".,;:!?\n\v\f\r")
 _NEVER = 255  # in the table of slots: not reached
@@ -59,19 +62,26 @@ def _table(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), np.uint8)
 
 
+def _wide(value: bytes) -> pa.Scalar:
+    return pa.scalar(value, pa.large_binary())
+
+
 def _phrases(texts: pa.Array, lang: str, table: np.ndarray, scan: int, shards: int) -> Iterator[tuple]:
     """(length, phrases with their language, slots, first scans, counts) of the open phrases of texts of one language."""
     w = words_of(texts, _KINDS)
-    names, tail = w.names.to_pylist(), b"\t" + lang.encode("utf-8", "surrogatepass")
-    many, h = len(names), mixed(hashes(names) + hashes([tail]))
+    tail = b"\t" + lang.encode("utf-8", "surrogatepass")
+    many, h = len(w.names), mixed(hashes(w.names.to_pylist()) + hashes([tail]))
+    last = pc.binary_join_element_wise(w.names, _wide(tail), _wide(b""))
     place, unit = np.arange(len(w.ids)), w.ids.astype(np.int64)  # where phrases of this length begin, and the number of each
     parts, start = np.arange(many)[:, None], np.zeros(many, np.int64)  # of each phrase, its words and first scan
     for length in range(1, LENGTHS + 1):
         slot = (mixed(h) >> _SLOT).astype(np.int64)
         some = np.flatnonzero((start <= scan) & (scan < start + shards))
-        if len(some):
-            text = [b" ".join([names[i] for i in row]) + tail for row in parts[some].tolist()]
-            yield length, text, slot[some], start[some], np.bincount(unit, minlength=many)[some]
+        times = np.bincount(unit, minlength=many)
+        for at in (some[k:k + KEYS] for k in range(0, len(some), KEYS)):
+            text = [w.names.take(pa.array(x)) for x in parts[at, :-1].T] + [last.take(pa.array(parts[at, -1]))]
+            text = pc.binary_join_element_wise(*text, _wide(b" "))
+            yield length, text.to_numpy(zero_copy_only=False), slot[at], start[at], times[at]
         if length == LENGTHS:
             return
         # a longer phrase begins where two phrases of this length that have reached the threshold follow each other
@@ -105,7 +115,7 @@ def scan(docs: DataFrame, packed: bytes, number: int, shards: int) -> DataFrame:
     """(key, marks, n): open phrases of one scan; a key is phrase, tab, language; words also count under "", of length 0."""
     shared = docs.sparkSession.sparkContext.broadcast(packed)
 
-    def rows(length: int, keys: list, slot: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def rows(length: int, keys: list | np.ndarray, slot: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         marks = slot.astype(np.int64) << 16 | start.astype(np.int64) << 8 | length
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).view(pa.string()), pa.array(marks), pa.array(n.astype(np.int64))],
                                           names=["key", "marks", "n"])
@@ -113,15 +123,14 @@ def scan(docs: DataFrame, packed: bytes, number: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(shared.value)
         with np.errstate(over="ignore"):
-            for b in steps(batches, 1):
+            for b in steps(batches, 1, STEP):
                 langs = b.column(0).dictionary_encode()
                 for k, lang in enumerate(langs.dictionary.to_pylist()):
                     mine = pa.array(np.flatnonzero(langs.indices.to_numpy() == k))
                     for part in _phrases(b.column(1).take(mine), lang, table, number, shards):
                         if part[0] == 1:
                             yield rows(0, [b"\t" + lang.encode("utf-8", "surrogatepass")], np.zeros(1), np.zeros(1), part[4].sum(keepdims=True))
-                        for at in range(0, len(part[1]), 100_000):
-                            yield rows(part[0], *[x[at:at + 100_000] for x in part[1:]])
+                        yield rows(*part)
 
     return docs.select("lang", "text").mapInArrow(run, _ROW)
 
@@ -135,8 +144,8 @@ def _start() -> Column:
 
 
 def _reached(now: DataFrame, least: int) -> np.ndarray:
-    """Which slots have phrases that have just reached the threshold."""
-    fresh = now.where((F.col("n") >= least) & (F.col("before") < least) & _length().between(1, LENGTHS - 1))
+    """Which slots have open phrases that have reached the threshold."""
+    fresh = now.where((F.col("n") >= least) & _length().between(1, LENGTHS - 1))
     at = F.shiftright("marks", 16) + 1  # bitmaps count from 1
     maps = fresh.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
@@ -156,10 +165,9 @@ def count(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, lang_col: s
     open_, done, number, since = None, None, 0, 0
     while number < shards or since < shards:  # a phrase starts after its parts' scan, so it is whole ``shards`` scans on
         new = scan(dealt.where(F.col("shard") == number % shards), zlib.compress(table.tobytes(), 1), number, shards)
-        new = new.withColumn("before", F.lit(0).cast("bigint"))
         if open_ is not None:
-            new = new.unionByName(open_.where(_start() + shards > number).withColumn("before", F.col("n")))
-        now = new.groupBy("key").agg(F.min("marks").alias("marks"), F.sum("n").alias("n"), F.sum("before").alias("before"))
+            new = new.unionByName(open_.where(_start() + shards > number))
+        now = new.groupBy("key").agg(F.min("marks").alias("marks"), F.sum("n").alias("n"))
         now = written(now, f"phrase-counts-{number}")
         whole = now.where((_start() + shards - 1 == number) & ((F.col("n") >= least) | (_length() == 0)))
         whole = written(whole.select("key", _length().alias("length"), "n"), f"phrases-{number}")
@@ -171,7 +179,7 @@ def count(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, lang_col: s
         if open_ is not None:
             discard(open_)
         open_, number = now, number + 1
-        spark._jvm.System.gc()  # lets Spark drop the shuffle files of the scans before
+        release(spark)
     discard(open_)
     discard(dealt)
     phrase = F.substring_index("key", "\t", 1)

@@ -301,3 +301,18 @@ def test_jaccard_links_that_the_passed_on_pairs_miss(spark, monkeypatch):
     got = jaccard.query(documents(spark, texts)).select("doc_id", "n_shingles", "component_id").collect()
     want = plain_components(texts)
     assert len({c for _, _, c in want}) > 2 and sorted(tuple(x) for x in got) == want
+
+
+def test_phrases_come_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(collocations, "KEYS", 7)
+    texts = pa.array(random_texts(3, 40))
+    table = np.full(collocations.SLOTS, 0, np.uint8)  # every phrase is open
+    with np.errstate(over="ignore"):
+        got = list(collocations._phrases(texts, "en", table, 0, 3))
+    assert max(len(keys) for _, keys, *_ in got) == 7
+    want = Counter()
+    for t in texts.to_pylist():
+        for piece in re.split("[.,;:!?\x0a-\x0d]", t.lower()):
+            w = re.findall("[^ \t]+", piece)
+            want.update(" ".join(w[i:i + m]).encode() + b"\ten" for m in range(1, 5) for i in range(len(w) - m + 1))
+    assert {k: int(x) for _, keys, _, _, n in got for k, x in zip(keys, n)} == want
