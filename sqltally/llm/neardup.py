@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from sqltally.llm.common import add_column, col, text_of, written
+from sqltally.llm.common import add_column, col, discard, release, text_of, written
 
 K = 4
 SIMILARITY = 0.8
@@ -55,11 +55,13 @@ SHORT = 24  # pairs in which the shorter text has up to so many words are found
 BLOCK = 256  # texts of a bucket that are compared at once
 BAG = 128  # counters in a text's bag of words
 CACHE_WORDS = 100_000
+HASHED = 1 << 17  # values of hash functions that are held at once
 
 _WORDS = re.compile(r"\w+").findall
 _RANDOM = np.random.default_rng(5)
 _MULTIPLY = _RANDOM.integers(1, 1 << 63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RANDOM.integers(0, 1 << 63, SKETCHES, np.uint64)
+_LAST = np.uint64((1 << 64) - 1)
 _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
 
@@ -98,10 +100,12 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     h = kmers(hashes)
     most = min(LEVELS[-1], len(h))
     low = np.empty((SKETCHES, most), np.int64)  # places of the smallest k-mers, smallest first
-    for i in range(SKETCHES):
-        x = h * _MULTIPLY[i] + _ADD[i]
-        least = np.argpartition(x, most - 1)[:most] if most < len(x) else np.arange(len(x))
-        low[i] = least[np.argsort(x[least], kind="stable")]
+    many = max(1, HASHED // len(h))
+    for i in range(0, SKETCHES, many):
+        x = h * _MULTIPLY[i:i + many, None] + _ADD[i:i + many, None]  # different k-mers keep different values
+        for k in range(most):
+            low[i:i + many, k] = x.argmin(1)
+            np.put_along_axis(x, low[i:i + many, k:k + 1], _LAST, 1)
     out = []
     for size in LEVELS:
         v = np.arange(SKETCHES, dtype=np.uint64)
@@ -330,16 +334,18 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(key, root): the smallest key of each linked key's component (alternating star contraction)."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    before = None
+    before, last = None, None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("near")).select("v", F.least("v", "near").alias("m"))
         # large star: the larger neighbours of a node are hung on its smallest neighbour
-        edges = written(edges.join(low, "v").select("u", F.col("m").alias("v")).where("u != v").distinct(), "star")
+        edges = wide = written(edges.join(low, "v").select("u", F.col("m").alias("v")).where("u != v").distinct(), "star")
         # small star: a node and its smaller neighbours are hung on the smallest of them
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
         hung = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(hung.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "star")
+        discard(wide, *([last] if last else []))
+        last = edges
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("key"), F.col("v").alias("root"))
@@ -348,27 +354,41 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes_of_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, root) of the texts that share a class with a different text."""
+    spark = docs.sparkSession
     described = sketches(docs, text_col)
     side = lambda s: described.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("bag").alias(f"bag_{s}"))
     kind = StructType([*_PAIR.fields, StructField("shared", LongType())])
-    kind = StructType([*_PAIR.fields, StructField("shared", LongType())])
     rows = members(described)
+    release(spark)
     pairs = written(candidates(rows).join(side("a"), "a").join(side("b"), "b").mapInArrow(_possible, kind), "near-pairs")
     texts = (docs.select(text_key(text_col).alias("key"), text_of(text_col).alias("text"))
              .groupBy("key").agg(F.first("text").alias("text")))
     texts = written(texts.join(rows.select("key").distinct(), "key", "left_semi"), "near-texts")
+    release(spark)
     best = pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    known = components(verify(best, texts))
-    rest = apart(pairs.join(best, ["a", "b"], "left_anti"), known)
-    known = joined(known, verify(rest, texts))
+    known = linked(None, best, texts)
+    known = linked(known, apart(pairs.join(best, ["a", "b"], "left_anti"), known), texts)
     # every other pair of a bucket whose texts are not in one class yet
-    pairs = written(crossing(rows, described, known).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "near-crossing")
-    if pairs.isEmpty():
-        return known
-    best = written(most_wanted(pairs), "near-wanted")
-    known = joined(known, verify(best, texts))
-    rest = apart(pairs.join(best, ["a", "b"], "left_anti"), known)
-    return joined(known, verify(rest, texts))
+    more = written(crossing(rows, described, known).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "near-crossing")
+    discard(rows, described, pairs)
+    release(spark)
+    if not more.isEmpty():
+        best = written(most_wanted(more), "near-wanted")
+        known = linked(known, best, texts)
+        known = linked(known, apart(more.join(best, ["a", "b"], "left_anti"), known), texts)
+        discard(best)
+    discard(more, texts)
+    return known
+
+
+def linked(known: DataFrame | None, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The components with the links among ``pairs``."""
+    links = verify(pairs, texts)
+    release(pairs.sparkSession)
+    known = components(links if known is None else known.select(F.col("key").alias("a"), F.col("root").alias("b")).union(links))
+    discard(links)
+    release(pairs.sparkSession)
+    return known
 
 
 def apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -378,11 +398,6 @@ def apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
             .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
 
 
-def joined(known: DataFrame, links: DataFrame) -> DataFrame:
-    """The components with more links."""
-    return components(known.select(F.col("key").alias("a"), F.col("root").alias("b")).union(links))
-
-
 def most_wanted(pairs: DataFrame) -> DataFrame:
     """(a, b): of each text, the pair with the partner that has the most pairs."""
     ends = pairs.select(F.col("a").alias("key"), F.col("b").alias("mate"), "shared").union(

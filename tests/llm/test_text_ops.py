@@ -411,6 +411,17 @@ def test_secret_bare_tokens_of_copies_and_of_one_case(spark):
     assert red[7] == rows[6][1]
 
 
+def test_near_duplicates_leave_only_their_classes_on_disk(spark):
+    """Tables in between are deleted once nothing reads them any more."""
+    base = [f"word{i}" for i in range(50)]
+    texts = [" ".join(base[:k] + ["x"] + base[k + 1:]) for k in range(30)] + [" ".join(f"u{j}-{i}" for i in range(40)) for j in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    tables = Path(local_path(checkpoint_dir(spark)), "sqltally")
+    before = set(tables.iterdir()) if tables.exists() else set()
+    assert [r.class_id for r in neardup.query(docs).orderBy("doc_id").collect()] == [0] * 30 + list(range(30, 40))
+    assert {p.name.rsplit("-", 1)[0] for p in set(tables.iterdir()) - before} == {"star"}
+
+
 def test_toxicity_training_keeps_only_trained_buckets():
     """What training holds of the texts grows with the buckets it trains, not with all their n-grams."""
     r = random.Random(5)
