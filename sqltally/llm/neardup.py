@@ -12,9 +12,12 @@
 3. The rest.  In each bucket that still holds several classes, all pairs of
    texts of different classes are compared, in blocks of ``BLOCK`` texts, so
    that no large bucket lands in one task.  None is left out or cut short: their
-   number grows with the square of a bucket of texts that are not similar.
-   Partners with the most possible pairs (such as the text that the others were
-   made from) go first; pairs that are in one class by then need no comparison.
+   number grows with the square of a bucket of texts that are not similar, so
+   that a matrix product compares their bags of words, in order of length.
+   A block with many possible pairs passes on one a text first, and afterwards
+   all whose texts are still in different classes.  Partners with the most
+   possible pairs (such as the text that the others were made from) go first;
+   pairs that are in one class by then need no comparison.
 4. Verification.  Pairs whose length or bag of words already rules them out go
    first; both are exact bounds.  The rest are aligned, word by word, within the
    band that the similarity allows (bit-parallel edit distance).
@@ -36,10 +39,11 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,8 +56,13 @@ SIMILARITY = 0.8
 SKETCHES = 32
 LEVELS = (1, 3)  # how many smallest k-mers make up a bucket's tuple; all pairs of the first level are settled
 SHORT = 24  # pairs in which the shorter text has up to so many words are found without sketches
-BLOCK = 256  # texts of a bucket that are compared at once
-BAG = 128  # counters in a text's bag of words
+BLOCK = 4096  # texts of a bucket that are compared at once with as many others
+BAG = 128  # counters in a short text's bag of words
+LONG, MOST_COUNTERS = 512, 1 << 14  # texts of LONG words or more have about a counter for each word, up to so many
+TIERS = 4  # counts of a bag that are compared at once by a matrix product
+CELLS = 1 << 22  # numbers in such a matrix
+DENSE = 8  # pairs a text, from which a block passes on one pair a text first
+FEW = 1 << 16  # pairs whose texts are picked without a shuffle of all texts
 CACHE_WORDS = 100_000
 HASHED = 1 << 17  # values of hash functions that are held at once
 
@@ -105,7 +114,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
         x = h * _MULTIPLY[i:i + many, None] + _ADD[i:i + many, None]  # different k-mers keep different values
         for k in range(most):
             low[i:i + many, k] = x.argmin(1)
-            np.put_along_axis(x, low[i:i + many, k:k + 1], _LAST, 1)
+            x[np.arange(len(x)), low[i:i + many, k]] = _LAST
     out = []
     for size in LEVELS:
         v = np.arange(SKETCHES, dtype=np.uint64)
@@ -154,17 +163,38 @@ def buckets_of(hashes: np.ndarray) -> np.ndarray:
                            np.unique(finer | one)]).view(np.int64)
 
 
+def _counters(n: int) -> int:
+    """Counters in the bag of a text of ``n`` words: a power of two, as the longer text's bag is folded to the shorter's."""
+    return BAG if n < LONG else min(1 << (n.bit_length() - 1), MOST_COUNTERS)
+
+
+def bag_of(hashes: np.ndarray) -> np.ndarray:
+    size = _counters(len(hashes))
+    return np.minimum(np.bincount((hashes % np.uint64(size)).astype(np.int64), minlength=size), 255).astype(np.uint8)
+
+
+def folded(bags: list[bytes], size: int) -> np.ndarray:
+    """The bags, a row each, as they are with ``size`` counters."""
+    if all(len(b) == size for b in bags):
+        return np.frombuffer(b"".join(bags), np.uint8).reshape(-1, size)
+    return np.stack([np.minimum(np.frombuffer(b, np.uint8).reshape(-1, size).sum(0), 255).astype(np.uint8) for b in bags])
+
+
 def _describe(known: _Hashes, texts: pa.Array) -> pa.Array:
-    out = []
+    sizes, bags, buckets = [], [], [np.zeros(0, np.int64)]
     with np.errstate(over="ignore"):
         for t in texts.to_pylist():
             ws = words(t)
             h = np.array(list(map(known.__getitem__, ws)), np.uint64)
             if len(known) > CACHE_WORDS:
                 known.clear()
-            bag = np.minimum(np.bincount((h % np.uint64(BAG)).astype(np.int64), minlength=BAG), 255).astype(np.uint8)
-            out.append({"n": len(ws), "bag": bag.tobytes(), "buckets": buckets_of(h).tolist() if ws else []})
-    return pa.array(out, pa.struct([("n", pa.int32()), ("bag", pa.binary()), ("buckets", pa.list_(pa.int64()))]))
+            sizes.append(len(ws))
+            bags.append(bag_of(h).tobytes())
+            buckets.append(buckets_of(h) if ws else buckets[0])
+    ends = np.cumsum([len(x) for x in buckets], dtype=np.int32)
+    return pa.StructArray.from_arrays(
+        [pa.array(sizes, pa.int32()), pa.array(bags, pa.binary()), pa.ListArray.from_arrays(ends, np.concatenate(buckets))],
+        ["n", "bag", "buckets"])
 
 
 _DESCRIBED = StructType([StructField("n", IntegerType()), StructField("bag", BinaryType()),
@@ -196,54 +226,113 @@ def candidates(rows: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("shared")))
 
 
+def _least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """An edit distance that texts with these bags, row by row, have at least."""
+    d = x.astype(np.int16) - y
+    more, all_ = np.maximum(d, 0).sum(1), d.sum(1)
+    return np.maximum(more, more - all_)
+
+
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs that lengths and bags of words don't rule out."""
     for b in batches:
         if not b.num_rows:
             continue
-        n = np.maximum(b["na"].to_numpy(False), b["nb"].to_numpy(False))
-        x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
-                for c in ("bag_a", "bag_b"))
-        d = x - y
-        least = np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1))
-        least = np.maximum(least, abs(b["na"].to_numpy(False) - b["nb"].to_numpy(False)))
-        yield b.select(["a", "b", "shared"]).filter(pa.array(least <= _allowed(n)))
-
-
-def _bound(n: np.ndarray, bags: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which of the pairs (i, j) lengths and bags of words don't rule out."""
-    far = np.maximum(n[i], n[j])
-    near = np.flatnonzero(abs(n[i] - n[j]) <= _allowed(far))
-    out = np.zeros(len(i), bool)
-    for at in (near[k:k + 50_000] for k in range(0, len(near), 50_000)):
-        d = bags[i[at]] - bags[j[at]]
-        more, all_ = np.maximum(d, 0).sum(1), d.sum(1)
-        out[at] = np.maximum(more, more - all_) <= _allowed(far[at])
-    return out
-
-
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The possible pairs of different classes in each block of a bucket."""
+        na, nb = b["na"].to_numpy(False), b["nb"].to_numpy(False)
+        most = _allowed(np.maximum(na, nb))
+        good = abs(na - nb) <= most
+        bags_a, bags_b = b["bag_a"].to_pylist(), b["bag_b"].to_pylist()
+        size = np.array([min(len(x), len(y)) for x, y in zip(bags_a, bags_b, strict=True)])
+        for s in np.unique(size[good]):
+            of = np.flatnonzero(good & (size == s))
+            for at in (of[k:k + CELLS // s] for k in range(0, len(of), CELLS // s)):
+                good[at] = _least(folded([bags_a[i] for i in at], s), folded([bags_b[i] for i in at], s)) <= most[at]
+        yield b.select(["a", "b", "shared"]).filter(pa.array(good))
+
+
+def _tiers(bags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first TIERS of each count as zeros and ones, of which a product counts the words two bags share; how many are above."""
+    return (np.concatenate([bags > t for t in range(TIERS)], 1).astype(np.float32),
+            np.maximum(bags.astype(np.int16) - TIERS, 0).sum(1))
+
+
+def _near(n: np.ndarray, bags: list[bytes], root: np.ndarray, own: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (i, j) of different roots (and of different ``own``, if given) that lengths and
+    bags don't rule out; the texts are in the order of their lengths."""
+    size, most = np.array([len(x) for x in bags]), _allowed(n)
+    end = np.searchsorted(n, n / SIMILARITY + 1e-6, "right")  # longer texts are too long
+    for s in np.unique(size):
+        first, last = np.searchsorted(size, [s, s + 1])
+        words_of = folded(bags[first:end[last - 1]], s)
+        total = words_of.sum(1)
+        step = max(1, CELLS // (s * TIERS))
+        for at in range(first, last, min(step, 512)):
+            i = np.arange(at, min(at + min(step, 512), last))
+            for start in range(at, end[i[-1]], step):
+                j = np.arange(start, min(start + step, end[i[-1]]))
+                x, y = words_of[i - first], words_of[j - first]
+                good = (i[:, None] < j) & (root[i][:, None] != root[j]) & (n[j] - n[i][:, None] <= most[j])
+                if own is not None:
+                    good &= own[i][:, None] != own[j]
+                if np.count_nonzero(good) > 4 * (len(i) + len(j)):  # else one by one is cheaper
+                    (tx, rx), (ty, ry) = _tiers(x), _tiers(y)
+                    shared = tx @ ty.T + np.minimum(rx[:, None], ry)  # as many words or more are in both
+                    good &= shared >= np.maximum(total[i - first][:, None], total[j - first]) - most[j]
+                p, q = np.nonzero(good)
+                for k in range(0, len(p), many := max(1, CELLS // s)):
+                    u, v = p[k:k + many], q[k:k + many]
+                    close = _least(x[u], y[v]) <= most[j[v]]
+                    yield i[u[close]], j[v[close]]
+
+
+def _leading(near: Callable[[], Iterator[tuple[np.ndarray, np.ndarray]]], many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text's pairs, the one with the partner that has the most pairs."""
+    degree, best = np.zeros(many, np.int64), np.full(many, -1)
+    for i, j in near():
+        degree += np.bincount(i, minlength=many) + np.bincount(j, minlength=many)
+    for i, j in near():
+        for text, mate in ((i, j), (j, i)):
+            np.maximum.at(best, text, degree[mate] * many + mate)
+    text = np.flatnonzero(best >= 0)
+    pairs = np.unique(np.sort(np.stack([text, best[text] % many], 1), 1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _crossing(every: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The possible pairs of different classes in each block of a bucket.
+
+    Unless ``every``, a block with many passes on one pair a text, with its bucket as ``left``.
+    """
     for b in batches:
         for row in range(b.num_rows):
             m = b["texts"][row].values
-            key, root, bag = (b"".join(m.field(c).to_pylist()) for c in ("key", "root", "bag"))
-            root = np.frombuffer(root, np.uint64).reshape(-1, 2)
-            bags = np.frombuffer(bag, np.uint8).reshape(-1, BAG).astype(np.int16)
-            n, own = m.field("n").to_numpy(), m.field("own").to_numpy()
-            i, j = np.triu_indices(len(n), 1)
-            cross = (root[i] != root[j]).any(1)
-            if b["x"][row].as_py() != b["y"][row].as_py():
-                cross &= own[i] != own[j]  # pairs inside one block have a group of their own
-            i, j = i[cross], j[cross]
-            good = _bound(n, bags, i, j)
-            if good.any():
-                pairs = [sorted((key[16 * p:16 * p + 16], key[16 * q:16 * q + 16])) for p, q in zip(i[good], j[good])]
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
-
-
-def crossing(rows: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b, shared): all possible pairs of different classes in a bucket of the first level."""
+            m = m.take(pa.array(np.argsort(m.field("n").to_numpy(), kind="stable")))
+            root = m.field("root").dictionary_encode().indices.to_numpy()
+            # pairs inside one block have a group of their own
+            own = m.field("own").to_numpy() if b["x"][row].as_py() != b["y"][row].as_py() else None
+            near = functools.partial(_near, m.field("n").to_numpy(), m.field("bag").to_pylist(), root, own)
+            left, key, found, room = None, m.field("key"), near(), DENSE * len(m)
+            if not every:
+                found = []
+                for pairs in near():
+                    found.append(pairs)
+                    room -= len(pairs[0])
+                    if room < 0:
+                        left, found = b["bucket"][row].as_py(), [_leading(near, len(m))]
+                        break
+            for i, j in found:
+                if len(i):
+                    x, y = key.take(pa.array(i)), key.take(pa.array(j))
+                    low = pc.less(x, y)
+                    yield pa.RecordBatch.from_arrays([pc.if_else(low, x, y), pc.if_else(low, y, x), pa.array([left] * len(i), pa.int64())],
+                                                     ["a", "b", "left"])
+
+
+def crossing(rows: DataFrame, texts: DataFrame, known: DataFrame, every: bool = True) -> DataFrame:
+    """(a, b, shared, left): all possible pairs of different classes in a bucket of the first level.
+
+    Unless ``every``, ``left`` lists buckets that may have more of them than were passed on.
+    """
     sides = (texts.join(known, "key", "left")
              .select("key", "n", "bag", F.coalesce("root", "key").alias("root")))
     rows = rows.where("bucket % 2 = 0").select("bucket", "key", "size").join(sides, "key")
@@ -254,7 +343,9 @@ def crossing(rows: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
     blocks = rows.groupBy("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(
         F.collect_list(F.struct("key", "n", "bag", "root", "own")).alias("texts")).where(F.size("texts") > 1)
-    return blocks.select("x", "y", "texts").mapInArrow(_crossing, _PAIR).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    kind = StructType([*_PAIR.fields, StructField("left", LongType())])
+    return (blocks.select("bucket", "x", "y", "texts").mapInArrow(functools.partial(_crossing, every), kind)
+            .groupBy("a", "b").agg(F.count("*").alias("shared"), F.collect_set("left").alias("left")))
 
 
 def _allowed(longer):
@@ -325,10 +416,16 @@ _PAIR = StructType([StructField("a", BinaryType()), StructField("b", BinaryType(
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough, written."""
-    both = (pairs.select("a", "b").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+    pairs = written(pairs.select("a", "b"), "near-pairs")
+    if pairs.count() <= FEW:
+        ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        texts = texts.join(F.broadcast(ends), "key", "left_semi")
+    both = (pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
             .join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
             .select("a", "b", "ta", "tb"))
-    return written(both.mapInArrow(_aligned, _PAIR), "near-links")
+    links = written(both.mapInArrow(_aligned, _PAIR), "near-links")
+    discard(pairs)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -369,15 +466,23 @@ def classes_of_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     known = linked(None, best, texts)
     known = linked(known, apart(pairs.join(best, ["a", "b"], "left_anti"), known), texts)
     # every other pair of a bucket whose texts are not in one class yet
-    more = written(crossing(rows, described, known).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "near-crossing")
-    discard(rows, described, pairs)
-    release(spark)
-    if not more.isEmpty():
-        best = written(most_wanted(more), "near-wanted")
-        known = linked(known, best, texts)
-        known = linked(known, apart(more.join(best, ["a", "b"], "left_anti"), known), texts)
-        discard(best)
-    discard(more, texts)
+    seen, every, spent = pairs.select("a", "b"), False, [described, pairs, texts]
+    while True:
+        found = crossing(rows, described, known, every).join(seen.withColumn("seen", F.lit(True)), ["a", "b"], "left")
+        more = written(found.where(F.col("seen").isNull() | (F.size("left") > 0)).drop("seen"), "near-crossing")
+        spent += [rows, more]
+        release(spark)
+        if not more.isEmpty():
+            best = written(most_wanted(more), "near-wanted")
+            known = linked(known, best, texts)
+            known = linked(known, apart(more.join(best, ["a", "b"], "left_anti"), known), texts)
+            discard(best)
+        left = more.select(F.explode("left").alias("bucket")).distinct()
+        if every or left.isEmpty():
+            break
+        # what is still apart in the blocks that passed on one pair a text
+        rows, every, seen = written(rows.join(left, "bucket", "left_semi"), "near-buckets"), True, seen.union(more.select("a", "b"))
+    discard(*spent)
     return known
 
 

@@ -1,6 +1,7 @@
 """Licences, secrets, BPE, toxicity, quality, lines and fingerprints against plain versions."""
 
 import hashlib
+import itertools
 import random
 import re
 from pathlib import Path
@@ -9,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -433,3 +435,58 @@ def test_toxicity_training_keeps_only_trained_buckets():
     assert places.max() < len(buckets) < 2_000
     model = toxicity.train(rows)
     assert model.of_words(["badword"])[0] > 0 > model.of_words(["goodword"])[0]
+
+
+def bags_of(texts):
+    return neardup._describe(neardup._Hashes(), pa.array([" ".join(t) for t in texts]))
+
+
+def test_long_unlike_texts_are_not_aligned():
+    rnd = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(20000)]
+    texts = [[rnd.choice(vocabulary) for _ in range(n)] for n in (1400, 1450, 1500, 1550, 1600, 3000, 3100)]
+    texts += [scattered(rnd, t, len(t) // 10) for t in texts]
+    d, a, b = bags_of(texts), *zip(*itertools.combinations(range(len(texts)), 2))
+    batch = pa.RecordBatch.from_pydict({
+        "a": [bytes([i]) for i in a], "b": [bytes([i]) for i in b], "shared": [1] * len(a),
+        "na": d.field("n").take(pa.array(a)), "nb": d.field("n").take(pa.array(b)),
+        "bag_a": d.field("bag").take(pa.array(a)), "bag_b": d.field("bag").take(pa.array(b))})
+    got = {(x[0], y[0]) for p in neardup._possible(iter([batch])) for x, y in zip(p["a"].to_pylist(), p["b"].to_pylist())}
+    assert got == {(i, j) for i, j in zip(a, b) if neardup.similar(texts[i], texts[j])} == {(i, i + 7) for i in range(7)}
+
+
+def test_pairs_of_a_block_by_brute_force(monkeypatch):
+    rnd, texts = random.Random(32), [["the"] * 900]
+    for n in (1, 2, 4, 30, 120, 500, 520, 1000, 1100, 2100):
+        base = [rnd.choice(["the", "of", "and", *map(str, range(n))]) for _ in range(n)]
+        texts += [base] + [changed(rnd, base, rnd.random() * 0.3) for _ in range(7)]
+    texts = sorted(texts, key=len)
+    d = bags_of(texts)
+    n, bags = d.field("n").to_numpy(), d.field("bag").to_pylist()
+    root, own = np.array([rnd.randrange(30) for _ in texts]), np.array([rnd.randrange(2) for _ in texts])
+    like = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if neardup.similar(texts[i], texts[j])}
+    assert len(like) > 100
+    for cells in (1, 1 << 12, 1 << 22):
+        monkeypatch.setattr(neardup, "CELLS", cells)
+        for o in (None, own):
+            pairs = [p for i, j in neardup._near(n, bags, root, o) for p in zip(i.tolist(), j.tolist())]
+            assert len(pairs) == len(set(pairs))
+            assert all(i < j and root[i] != root[j] and (o is None or o[i] != o[j]) for i, j in pairs)
+            assert {(i, j) for i, j in like if root[i] != root[j] and (o is None or o[i] != o[j])} <= set(pairs)
+
+
+def test_a_dense_block_passes_on_one_pair_a_text_first():
+    rnd = random.Random(33)
+    base = [f"w{i}" for i in range(100)]
+    texts = [base] + [scattered(rnd, base, 6) for _ in range(199)]
+    d = bags_of(texts)
+    keys = [i.to_bytes(16, "big") for i in range(len(texts))]
+    members = [{"key": k, "n": n, "bag": bag, "root": k, "own": 0}
+               for k, n, bag in zip(keys, d.field("n").to_pylist(), d.field("bag").to_pylist())]
+    member = pa.struct([("key", pa.binary()), ("n", pa.int32()), ("bag", pa.binary()), ("root", pa.binary()), ("own", pa.int32())])
+    batch = pa.RecordBatch.from_arrays([pa.array([8]), pa.array([0]), pa.array([0]), pa.array([members], pa.list_(member))],
+                                       ["bucket", "x", "y", "texts"])
+    run = lambda every: [tuple(r.values()) for p in neardup._crossing(every, iter([batch])) for r in p.to_pylist()]
+    first, rest = run(False), run(True)
+    assert len(first) < len(texts) and {k for a, b, _ in first for k in (a, b)} == set(keys) and {r[2] for r in first} == {8}
+    assert len(rest) == len(set(rest)) == 200 * 199 // 2 and all(a < b and left is None for a, b, left in rest)
