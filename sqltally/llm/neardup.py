@@ -14,10 +14,8 @@
    that no large bucket lands in one task.  None is left out or cut short: their
    number grows with the square of a bucket of texts that are not similar, so
    that a matrix product compares their bags of words, in order of length.
-   A block with many possible pairs passes on one a text first, and afterwards
-   all whose texts are still in different classes.  Partners with the most
-   possible pairs (such as the text that the others were made from) go first;
-   pairs that are in one class by then need no comparison.
+   Partners with the most possible pairs (such as the text that the others were
+   made from) go first; pairs that are in one class by then need no comparison.
 4. Verification.  Pairs whose length or bag of words already rules them out go
    first; both are exact bounds.  The rest are aligned, word by word, within the
    band that the similarity allows (bit-parallel edit distance).
@@ -39,11 +37,10 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +58,6 @@ BAG = 128  # counters in a short text's bag of words
 LONG, MOST_COUNTERS = 512, 1 << 14  # texts of LONG words or more have about a counter for each word, up to so many
 TIERS = 4  # counts of a bag that are compared at once by a matrix product
 CELLS = 1 << 22  # numbers in such a matrix
-DENSE = 8  # pairs a text, from which a block passes on one pair a text first
 FEW = 1 << 16  # pairs whose texts are picked without a shuffle of all texts
 CACHE_WORDS = 100_000
 HASHED = 1 << 17  # values of hash functions that are held at once
@@ -285,24 +281,8 @@ def _near(n: np.ndarray, bags: list[bytes], root: np.ndarray, own: np.ndarray |
                     yield i[u[close]], j[v[close]]
 
 
-def _leading(near: Callable[[], Iterator[tuple[np.ndarray, np.ndarray]]], many: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text's pairs, the one with the partner that has the most pairs."""
-    degree, best = np.zeros(many, np.int64), np.full(many, -1)
-    for i, j in near():
-        degree += np.bincount(i, minlength=many) + np.bincount(j, minlength=many)
-    for i, j in near():
-        for text, mate in ((i, j), (j, i)):
-            np.maximum.at(best, text, degree[mate] * many + mate)
-    text = np.flatnonzero(best >= 0)
-    pairs = np.unique(np.sort(np.stack([text, best[text] % many], 1), 1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def _crossing(every: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The possible pairs of different classes in each block of a bucket.
-
-    Unless ``every``, a block with many passes on one pair a text, with its bucket as ``left``.
-    """
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The possible pairs of different classes in each block of a bucket."""
     for b in batches:
         for row in range(b.num_rows):
             m = b["texts"][row].values
@@ -310,29 +290,15 @@ def _crossing(every: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             root = m.field("root").dictionary_encode().indices.to_numpy()
             # pairs inside one block have a group of their own
             own = m.field("own").to_numpy() if b["x"][row].as_py() != b["y"][row].as_py() else None
-            near = functools.partial(_near, m.field("n").to_numpy(), m.field("bag").to_pylist(), root, own)
-            left, key, found, room = None, m.field("key"), near(), DENSE * len(m)
-            if not every:
-                found = []
-                for pairs in near():
-                    found.append(pairs)
-                    room -= len(pairs[0])
-                    if room < 0:
-                        left, found = b["bucket"][row].as_py(), [_leading(near, len(m))]
-                        break
-            for i, j in found:
-                if len(i):
-                    x, y = key.take(pa.array(i)), key.take(pa.array(j))
-                    low = pc.less(x, y)
-                    yield pa.RecordBatch.from_arrays([pc.if_else(low, x, y), pc.if_else(low, y, x), pa.array([left] * len(i), pa.int64())],
-                                                     ["a", "b", "left"])
-
-
-def crossing(rows: DataFrame, texts: DataFrame, known: DataFrame, every: bool = True) -> DataFrame:
-    """(a, b, shared, left): all possible pairs of different classes in a bucket of the first level.
-
-    Unless ``every``, ``left`` lists buckets that may have more of them than were passed on.
-    """
+            key = m.field("key").to_pylist()
+            for i, j in _near(m.field("n").to_numpy(), m.field("bag").to_pylist(), root, own):
+                pairs = [(key[p], key[q]) if key[p] < key[q] else (key[q], key[p]) for p, q in zip(i, j, strict=True)]
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def crossing(rows: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b, shared): all possible pairs of different classes in a bucket of the first level."""
     sides = (texts.join(known, "key", "left")
              .select("key", "n", "bag", F.coalesce("root", "key").alias("root")))
     rows = rows.where("bucket % 2 = 0").select("bucket", "key", "size").join(sides, "key")
@@ -343,9 +309,7 @@ def crossing(rows: DataFrame, texts: DataFrame, known: DataFrame, every: bool =
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
     blocks = rows.groupBy("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(
         F.collect_list(F.struct("key", "n", "bag", "root", "own")).alias("texts")).where(F.size("texts") > 1)
-    kind = StructType([*_PAIR.fields, StructField("left", LongType())])
-    return (blocks.select("bucket", "x", "y", "texts").mapInArrow(functools.partial(_crossing, every), kind)
-            .groupBy("a", "b").agg(F.count("*").alias("shared"), F.collect_set("left").alias("left")))
+    return blocks.select("x", "y", "texts").mapInArrow(_crossing, _PAIR).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def _allowed(longer):
@@ -466,23 +430,15 @@ def classes_of_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     known = linked(None, best, texts)
     known = linked(known, apart(pairs.join(best, ["a", "b"], "left_anti"), known), texts)
     # every other pair of a bucket whose texts are not in one class yet
-    seen, every, spent = pairs.select("a", "b"), False, [described, pairs, texts]
-    while True:
-        found = crossing(rows, described, known, every).join(seen.withColumn("seen", F.lit(True)), ["a", "b"], "left")
-        more = written(found.where(F.col("seen").isNull() | (F.size("left") > 0)).drop("seen"), "near-crossing")
-        spent += [rows, more]
-        release(spark)
-        if not more.isEmpty():
-            best = written(most_wanted(more), "near-wanted")
-            known = linked(known, best, texts)
-            known = linked(known, apart(more.join(best, ["a", "b"], "left_anti"), known), texts)
-            discard(best)
-        left = more.select(F.explode("left").alias("bucket")).distinct()
-        if every or left.isEmpty():
-            break
-        # what is still apart in the blocks that passed on one pair a text
-        rows, every, seen = written(rows.join(left, "bucket", "left_semi"), "near-buckets"), True, seen.union(more.select("a", "b"))
-    discard(*spent)
+    more = written(crossing(rows, described, known).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "near-crossing")
+    discard(rows, described, pairs)
+    release(spark)
+    if not more.isEmpty():
+        best = written(most_wanted(more), "near-wanted")
+        known = linked(known, best, texts)
+        known = linked(known, apart(more.join(best, ["a", "b"], "left_anti"), known), texts)
+        discard(best)
+    discard(more, texts)
     return known
 
 
